@@ -12,6 +12,7 @@ results are the same as without the cut, wherever the cuts fall.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,16 @@ def by_seconds(ts: Column, size: float = SECONDS_PER_STRETCH) -> Column:
 
 
 def _cut(df: DataFrame, stretch: Column) -> DataFrame:
-    return df.withColumn("__stretch", stretch)
+    return df.withColumn("__s_stretch", stretch)
+
+
+def _attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on ``on`` with null keys equal to each other; the key columns stay once."""
+    other = right
+    for name in on:
+        other = other.withColumnRenamed(name, f"__r_{name}")
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in on])
+    return left.join(other, same, how).drop(*[f"__r_{n}" for n in on])
 
 
 def previous_row(
@@ -39,15 +49,15 @@ def previous_row(
 ) -> DataFrame:
     """Add struct ``into``: ``values`` of the row before, by ``order`` within ``keys``; null on the first."""
     cut = _cut(df, stretch)
-    part = [*keys, "__stretch"]
-    local = cut.withColumn("__prev", F.lag(F.struct(*values)).over(Window.partitionBy(*part).orderBy(*order)))
-    ends = cut.groupBy(*part).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__end"))
-    along = Window.partitionBy(*keys).orderBy("__stretch")
-    carried = ends.select(*part, F.lag("__end").over(along).alias("__carried")).filter("__carried is not null")
+    part = [*keys, "__s_stretch"]
+    local = cut.withColumn("__s_prev", F.lag(F.struct(*values)).over(Window.partitionBy(*part).orderBy(*order)))
+    ends = cut.groupBy(*part).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__s_end"))
+    along = Window.partitionBy(*keys).orderBy("__s_stretch")
+    carried = ends.select(*part, F.lag("__s_end").over(along).alias("__s_carried")).filter("__s_carried is not null")
     return (
-        local.join(carried, part, "left")
-        .withColumn(into, F.coalesce("__prev", "__carried"))
-        .drop("__stretch", "__prev", "__carried")
+        _attach(local, carried, part, "left")
+        .withColumn(into, F.coalesce("__s_prev", "__s_carried"))
+        .drop("__s_stretch", "__s_prev", "__s_carried")
     )
 
 
@@ -55,24 +65,24 @@ def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, stretch: Column, into: str
 ) -> DataFrame:
     """Add ``into``: the latest non-null ``value`` up to and including each row."""
-    cut = _cut(df, stretch).withColumn("__value", value)
-    part = [*keys, "__stretch"]
+    cut = _cut(df, stretch).withColumn("__s_value", value)
+    part = [*keys, "__s_stretch"]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumn("__local", F.last("__value", ignorenulls=True).over(upto))
+    local = cut.withColumn("__s_local", F.last("__s_value", ignorenulls=True).over(upto))
     ends = (
-        cut.filter("__value is not null").groupBy(*part)
-        .agg(F.max_by("__value", F.struct(*order)).alias("__end"))
+        cut.filter("__s_value is not null").groupBy(*part)
+        .agg(F.max_by("__s_value", F.struct(*order)).alias("__s_end"))
     )
     # a stretch without a value of its own still has to receive the earlier one
-    all_parts = cut.select(*part).distinct().join(ends, part, "left")
-    before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    all_parts = _attach(cut.select(*part).distinct(), ends, part, "left")
+    before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = all_parts.select(
-        *part, F.last("__end", ignorenulls=True).over(before).alias("__carried")
-    ).filter("__carried is not null")
+        *part, F.last("__s_end", ignorenulls=True).over(before).alias("__s_carried")
+    ).filter("__s_carried is not null")
     return (
-        local.join(carried, part, "left")
-        .withColumn(into, F.coalesce("__local", "__carried"))
-        .drop("__stretch", "__value", "__local", "__carried")
+        _attach(local, carried, part, "left")
+        .withColumn(into, F.coalesce("__s_local", "__s_carried"))
+        .drop("__s_stretch", "__s_value", "__s_local", "__s_carried")
     )
 
 
@@ -80,17 +90,17 @@ def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, stretch: Column, into: str
 ) -> DataFrame:
     """Add ``into``: sum of ``amount`` up to and including each row."""
-    cut = _cut(df, stretch).withColumn("__amount", amount)
-    part = [*keys, "__stretch"]
+    cut = _cut(df, stretch).withColumn("__s_amount", amount)
+    part = [*keys, "__s_stretch"]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumn("__local", F.sum("__amount").over(upto))
-    sums = cut.groupBy(*part).agg(F.sum("__amount").alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*part, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    local = cut.withColumn("__s_local", F.sum("__s_amount").over(upto))
+    sums = cut.groupBy(*part).agg(F.sum("__s_amount").alias("__s_sum"))
+    before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*part, F.coalesce(F.sum("__s_sum").over(before), F.lit(0)).alias("__s_before"))
     return (
-        local.join(offsets, part)
-        .withColumn(into, F.col("__local") + F.col("__before"))
-        .drop("__stretch", "__amount", "__local", "__before")
+        _attach(local, offsets, part, "inner")
+        .withColumn(into, F.col("__s_local") + F.col("__s_before"))
+        .drop("__s_stretch", "__s_amount", "__s_local", "__s_before")
     )
 
 
@@ -105,17 +115,17 @@ def running_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, stretch: Column, into: str
 ) -> DataFrame:
     """Add ``into``: the largest ``value`` up to and including each row."""
-    cut = _cut(df, stretch).withColumn("__value", value)
-    part = [*keys, "__stretch"]
+    cut = _cut(df, stretch).withColumn("__s_value", value)
+    part = [*keys, "__s_stretch"]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumn("__local", F.max("__value").over(upto))
-    tops = cut.groupBy(*part).agg(F.max("__value").alias("__top"))
-    before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(*part, F.max("__top").over(before).alias("__carried")).filter("__carried is not null")
+    local = cut.withColumn("__s_local", F.max("__s_value").over(upto))
+    tops = cut.groupBy(*part).agg(F.max("__s_value").alias("__s_top"))
+    before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*part, F.max("__s_top").over(before).alias("__s_carried")).filter("__s_carried is not null")
     return (
-        local.join(carried, part, "left")
-        .withColumn(into, F.greatest("__local", "__carried"))
-        .drop("__stretch", "__value", "__local", "__carried")
+        _attach(local, carried, part, "left")
+        .withColumn(into, F.greatest("__s_local", "__s_carried"))
+        .drop("__s_stretch", "__s_value", "__s_local", "__s_carried")
     )
 
 
@@ -128,17 +138,17 @@ def trailing_rows(
     Rows are numbered along the key, cut into chunks of equal length, and the
     last ``length - 1`` rows of a chunk are repeated in front of the next one.
     """
-    numbered = running_number(df, keys, order, stretch, "__rn").withColumn("__item", item)
-    chunk = F.floor(F.col("__rn") / F.lit(rows_per_chunk)).cast("long")
-    ahead = F.floor((F.col("__rn") + F.lit(length - 1)) / F.lit(rows_per_chunk)).cast("long")
-    copies = numbered.withColumn("__home", chunk).withColumn("__chunk", F.explode(F.sequence(chunk, ahead)))
+    numbered = running_number(df, keys, order, stretch, "__s_rn").withColumn("__s_item", item)
+    chunk = F.floor(F.col("__s_rn") / F.lit(rows_per_chunk)).cast("long")
+    ahead = F.floor((F.col("__s_rn") + F.lit(length - 1)) / F.lit(rows_per_chunk)).cast("long")
+    copies = numbered.withColumn("__s_home", chunk).withColumn("__s_chunk", F.explode(F.sequence(chunk, ahead)))
     frame = (
-        Window.partitionBy(*keys, "__chunk").orderBy("__rn").rowsBetween(-(length - 1), Window.currentRow)
+        Window.partitionBy(*keys, "__s_chunk").orderBy("__s_rn").rowsBetween(-(length - 1), Window.currentRow)
     )
     return (
-        copies.withColumn(into, F.collect_list("__item").over(frame))
-        .filter(F.col("__chunk") == F.col("__home"))
-        .drop("__rn", "__item", "__home", "__chunk")
+        copies.withColumn(into, F.collect_list("__s_item").over(frame))
+        .filter(F.col("__s_chunk") == F.col("__s_home"))
+        .drop("__s_rn", "__s_item", "__s_home", "__s_chunk")
     )
 
 
@@ -175,20 +185,20 @@ def accepted_rows(
     changes. That is as exact as one pass in order, and normally one or two
     rounds, as the rules forget quickly.
     """
-    part = [*keys, "__stretch"]
+    part = [*keys, "__s_stretch"]
     pieces = cut_lineage(
         _cut(rows, stretch).groupBy(*part)
         .agg(F.sort_array(F.collect_list(F.struct(*order, *payload))).alias("__rows"))
         .withColumn("__entry", F.expr("if(false, __rows[0], null)"))
         .withColumn("__exit", _fold_last(F.col("__rows"), F.col("__entry"), accept))
     )
-    along = Window.partitionBy(*keys).orderBy("__stretch")
+    along = Window.partitionBy(*keys).orderBy("__s_stretch")
     while True:
         slim = pieces.select(*part, "__entry", "__exit", F.col("__rows")[0].alias("__first"))
-        following = slim.withColumn("__before", F.lag("__exit").over(along)).select(
+        following = slim.withColumn("__s_before", F.lag("__exit").over(along)).select(
             *part,
             # a last row that would let the first one through has no effect at all
-            F.when(~accept(F.col("__before"), F.col("__first")), F.col("__before")).alias("__next"),
+            F.when(~accept(F.col("__s_before"), F.col("__first")), F.col("__s_before")).alias("__next"),
             "__entry",
         )
         changed = following.filter(~F.col("__next").eqNullSafe(F.col("__entry"))).select(
@@ -197,7 +207,7 @@ def accepted_rows(
         if changed.isEmpty():
             break
         pieces = cut_lineage(
-            pieces.join(changed, part, "left")
+            _attach(pieces, changed, part, "left")
             .withColumn("__entry", F.when(F.col("__redo"), F.col("__next")).otherwise(F.col("__entry")))
             .withColumn(
                 "__exit",
