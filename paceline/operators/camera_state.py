@@ -43,14 +43,14 @@ def _run_all(
 
 
 def _settle(
-    rows: DataFrame, warm_up: Column, step: Callable[[pd.DataFrame, str], pd.DataFrame], out_ddl: str,
+    rows: DataFrame, parts: DataFrame, warm_up: Column, step: Callable[[pd.DataFrame, str], pd.DataFrame], out_ddl: str,
     guess_step: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``step`` over all stretches until each begins with the state the one before ended in.
 
-    ``warm_up`` marks the rows near the end of a stretch that the guess is made from.
+    ``parts`` lists the stretches; ``warm_up`` marks the rows near the end of
+    one that the guess is made from.
     """
-    parts = rows.select(*STRETCH).distinct()
     feeding = parts.select(*STRETCH, F.lead("__stretch").over(
         Window.partitionBy("stream_id").orderBy("__stretch")).alias("__following"))
     none = F.lit(None).cast("string")
@@ -195,7 +195,8 @@ def iou_tracker(
     )
     warm = warm_up_frames if warm_up_frames is not None else 5 * max_age
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
-    runs = _settle(rows, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL)
+    parts = frames.select("stream_id", S.by_frames(F.col("frame_idx"), frames_per_stretch).alias("__stretch")).distinct()
+    runs = _settle(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL)
     names = _track_names(runs.filter("__end").select(*STRETCH, "__refs", "__fresh"))
     found = runs.filter("not __end").select(*STRETCH, *_PASSED_ON, "ref")
     return (
@@ -338,13 +339,13 @@ def id_switches(
     back = S.previous_row(seen, key, order, ["ts"], stretch, "__last_seen")
     fresh = F.col("__last_seen").isNull() | (F.col("ts") - F.col("__last_seen.ts") > F.lit(memory_seconds))
     streaks = S.last_known(back, key, order, F.when(fresh, F.struct("frame_idx", "track_ord")), stretch, "__streak")
-    rows = streaks.select(
+    rows = cut_lineage(streaks.select(
         *seen.columns, F.col("__streak.frame_idx").alias("__streak_frame"),
         F.col("__streak.track_ord").alias("__streak_ord"), stretch.alias("__stretch"),
-    )
+    ))
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm_up_frames)
     runs = _settle(
-        rows, near_end, _switch_step(seconds, px, memory_seconds), _SWITCH_DDL,
+        rows, rows.select(*STRETCH).distinct(), near_end, _switch_step(seconds, px, memory_seconds), _SWITCH_DDL,
         _switch_step(seconds, px, memory_seconds, by_streak=True),
     )
     return runs.filter("not __end").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.text import density_notes
 from paceline.operators import stretches as S
+from paceline.session import cut_lineage
 
 ZONE = ["stream_id", "zone_id"]
 
@@ -44,6 +45,8 @@ def camera_rule(occupancy: DataFrame, cameras: DataFrame) -> DataFrame:
 def _above_rows(ruled: DataFrame, stretch: Column) -> DataFrame:
     """Rows above the threshold with ``run_start``, ``prev_ts`` and ``epoch`` (the reset they come after)."""
     has_reset = "reset" in ruled.columns
+    named = [*ZONE, "ts", "count", "threshold", "dwell_required", "cooldown", *(["reset"] if has_reset else [])]
+    ruled = ruled.select(*named)
     reset = F.coalesce(F.col("reset"), F.lit(False)) if has_reset else F.lit(False)
     rows = ruled.withColumn("__above", (F.col("count") > F.col("threshold")) & ~reset)
     order = ["ts"]
@@ -54,7 +57,9 @@ def _above_rows(ruled: DataFrame, stretch: Column) -> DataFrame:
         rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch")
     else:
         rows = rows.withColumn("epoch", F.lit(None).cast("double"))
-    rows = S.previous_row(rows, ZONE, order, ["__above", "ts"], stretch, "__prev").filter("__above")
+    rows = S.previous_row(cut_lineage(rows), ZONE, order, ["__above", "ts"], stretch, "__prev").filter("__above")
+    # from here on only crowded rows are left; they are looked at several times
+    rows = cut_lineage(rows)
     starts = F.when(~F.coalesce(F.col("__prev.__above"), F.lit(False)), F.col("ts"))
     rows = S.last_known(rows, ZONE, ["ts"], starts, stretch, "run_start")
     return (

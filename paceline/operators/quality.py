@@ -71,9 +71,12 @@ def _scores(df: DataFrame) -> DataFrame:
 def detection_quality(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """Per scenario: true and false positives, misses, precision, recall and F1."""
     hits = matches.groupBy("scenario").agg(
-        F.count_if(F.col("gt_id").isNotNull()).alias("tp"), F.count_if(F.col("gt_id").isNull()).alias("fp"))
-    misses = missed_ground_truth(matches, truth).groupBy("scenario").agg(F.count(F.lit(1)).alias("fn"))
-    return _scores(hits.join(misses, "scenario", "full").na.fill(0, ["tp", "fp", "fn"]))
+        F.count_if(F.col("gt_id").isNotNull()).alias("tp"), F.count_if(F.col("gt_id").isNull()).alias("fp"),
+        F.count_distinct(F.when(F.col("gt_id").isNotNull(), F.struct("frame_idx", "gt_id"))).alias("__found"),
+    )
+    people = truth.groupBy("scenario").agg(F.count(F.lit(1)).alias("__people"))
+    both = hits.join(people, "scenario", "full").na.fill(0, ["tp", "fp", "__found", "__people"])
+    return _scores(both.withColumn("fn", F.col("__people") - F.col("__found")).drop("__people", "__found"))
 
 
 def overall_quality(per_scenario: DataFrame, switches: DataFrame) -> DataFrame:

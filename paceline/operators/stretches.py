@@ -7,6 +7,10 @@ for example ``floor(frame_idx / 20000)``). Rows are shuffled by key and stretch,
 each stretch is worked on by itself, and what one stretch needs from those
 before it is carried over through a table with one small row per stretch. The
 results are the same as without the cut, wherever the cuts fall.
+
+The small table is a grouping of its own with map-side combining, so the input
+is read twice (the second time only the columns that are carried) and shuffled
+in full once. Put ``cut_lineage`` in front where the input is costly to make.
 """
 
 from __future__ import annotations
@@ -69,14 +73,11 @@ def last_known(
     part = [*keys, "__s_stretch"]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumn("__s_local", F.last("__s_value", ignorenulls=True).over(upto))
-    ends = (
-        cut.filter("__s_value is not null").groupBy(*part)
-        .agg(F.max_by("__s_value", F.struct(*order)).alias("__s_end"))
-    )
-    # a stretch without a value of its own still has to receive the earlier one
-    all_parts = _attach(cut.select(*part).distinct(), ends, part, "left")
+    # rows without a value do not compete, but their stretch still receives the earlier one
+    at = F.when(F.col("__s_value").isNotNull(), F.struct(*order))
+    ends = cut.groupBy(*part).agg(F.max_by("__s_value", at).alias("__s_end"))
     before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = all_parts.select(
+    carried = ends.select(
         *part, F.last("__s_end", ignorenulls=True).over(before).alias("__s_carried")
     ).filter("__s_carried is not null")
     return (

@@ -179,3 +179,43 @@ def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("case when event_type = 'purchase' then case user_id % 3 when 0 then 'unmatched' "
                "when 1 then 'tailgating' else 'high_density' end end").alias("kind"),
     )
+
+
+# One configured camera per customer, with all kinds of mistakes; the text is the same in Spark and DuckDB.
+CAMERA_DOC_SQL = """concat(
+  '{"id": "s', CAST(c_custkey % 140 AS STRING), '", "source": "', CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'rtsp://x' END, '"',
+  CASE WHEN c_custkey % 3 = 0 THEN ', "tracker_type": " BotSort "' WHEN c_custkey % 13 = 1 THEN ', "tracker_type": "deepsort"' ELSE '' END,
+  CASE WHEN c_custkey % 5 = 0 THEN ', "use_appearance": true' ELSE '' END,
+  CASE WHEN c_custkey % 4 = 0 THEN concat(', "buffer_seconds": ', CAST(c_custkey % 7 AS STRING)) ELSE '' END,
+  CASE WHEN c_custkey % 6 = 0 THEN concat(', "fps_fallback": ', CAST(c_custkey % 11 - 1 AS STRING)) ELSE '' END,
+  CASE WHEN c_custkey % 7 = 0 THEN concat(', "display_conf": ', CAST(c_custkey % 3 AS STRING), '.5') ELSE '' END,
+  CASE WHEN c_custkey % 8 = 0 THEN ', "centroid_mode": "Geometric_Center"' WHEN c_custkey % 29 = 0 THEN ', "centroid_mode": "top"' ELSE '' END,
+  CASE WHEN c_custkey % 19 = 0 THEN ', "frame_size": [0, 480]' WHEN c_custkey % 2 = 0 THEN ', "frame_size": [640, 480]' ELSE '' END,
+  CASE WHEN c_custkey % 9 = 0 THEN concat(', "max_density_threshold": ', CAST(c_custkey % 5 - 1 AS STRING), ', "density_dwell_seconds": ', CAST(c_custkey % 4 - 1 AS STRING), '.0') ELSE '' END,
+  CASE WHEN c_custkey % 23 = 0 THEN ', "density_cooldown_seconds": -1.0' ELSE '' END,
+  ', "zones": [{"id": "z0", "polygon": ', CASE WHEN c_custkey % 4 = 0 THEN '[[0,0],[100,100],[100,0],[0,100]]' WHEN c_custkey % 10 = 1 THEN '[[0,0],[9,9]]'
+    ELSE concat('[[0,0],[', CAST(50 + c_custkey % 60 AS STRING), ',0],[60,60],[0,', CAST(40 + c_custkey % 30 AS STRING), ']]') END,
+  '}, {"id": "', CASE WHEN c_custkey % 6 = 0 THEN 'z0' WHEN c_custkey % 31 = 0 THEN '' ELSE 'z1' END, '", "polygon": [[0,0],[100,0],[100,100],[50,', CAST(c_custkey % 140 AS STRING), '],[0,100]]}]',
+  ', "tripwires": [{"id": "', CASE WHEN c_custkey % 37 = 0 THEN '' ELSE 't0' END, '", "p1": [', CAST(c_custkey % 900 AS STRING), ',10], "p2": [', CAST(c_custkey % 70 AS STRING), ',10]',
+  CASE WHEN c_custkey % 5 = 1 THEN ', "direction_in": "right_to_left"' WHEN c_custkey % 41 = 0 THEN ', "direction_in": "up"' ELSE '' END,
+  CASE WHEN c_custkey % 12 = 0 THEN ', "recycle_after_frames": -5' WHEN c_custkey % 12 = 1 THEN ', "recycle_after_frames": 20' ELSE '' END,
+  CASE WHEN c_custkey % 15 = 0 THEN ', "recycle_distance_px": -1.0' ELSE '' END, '}]}')"""
+
+
+def camera_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.expr(CAMERA_DOC_SQL).alias("doc"))
+
+
+def scored_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks to be scored: drifting off by up to 20 px, one person missed every ninth frame."""
+    return tracks(spark, sf_dir).filter("not (det_ord = 1 and frame_idx % 9 = 0)").select(
+        F.col("stream_id").alias("scenario"), "frame_idx", "track_ord", "track_id",
+        *[(F.col(c) + F.expr("cast((frame_idx % 6) * 4 as double)")).alias(c) for c in ("x1", "x2")], "y1", "y2",
+    )
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks(spark, sf_dir).filter("not (det_ord = 5 and frame_idx % 7 = 0)").select(
+        F.col("stream_id").alias("scenario"), "frame_idx", "gt_id", F.col("det_ord").alias("gt_ord"),
+        "x1", "y1", "x2", "y2", "conf",
+    )
