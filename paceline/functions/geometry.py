@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,14 +96,14 @@ def polygon_edges(polygon: Column) -> Column:
     )
 
 
-def _ray_hit(px: Column, py: Column, e: Column) -> Column:
+def _ray_hit(px: Column, py: Column, e: dict[str, Column] | Column) -> Column:
     straddles = (e["y2"] > py) != (e["y1"] > py)
     at = F.try_divide((e["x1"] - e["x2"]) * (py - e["y2"]), e["y1"] - e["y2"]) + e["x2"]
     return straddles & F.coalesce(at > px, F.lit(False))
 
 
 def point_in_edges(px: Column, py: Column, edges: Column) -> Column:
-    """Even-odd test against prepared edges; the boundary belongs to the polygon."""
+    """Even-odd test against an array of edges; the boundary belongs to the polygon."""
     odd = F.pmod(F.size(F.filter(edges, lambda e: _ray_hit(px, py, e))), F.lit(2)) == 1
     touching = F.exists(
         edges, lambda e: point_on_segment(px, py, e["x1"], e["y1"], e["x2"], e["y2"])
@@ -109,6 +111,15 @@ def point_in_edges(px: Column, py: Column, edges: Column) -> Column:
     return (F.size(edges) >= 3) & (odd | touching)
 
 
+def point_in_listed_edges(px: Column, py: Column, edges: list[dict[str, Column]]) -> Column:
+    """The same against edges held in columns (null where a polygon has fewer), as plain arithmetic."""
+    no = F.lit(False)
+    hits = [F.when(F.coalesce(_ray_hit(px, py, e), no), 1).otherwise(0) for e in edges]
+    touches = [F.coalesce(point_on_segment(px, py, e["x1"], e["y1"], e["x2"], e["y2"]), no) for e in edges]
+    odd = reduce(lambda a, b: a + b, hits) % 2 == 1
+    return odd | reduce(lambda a, b: a | b, touches)
+
+
 def point_in_polygon(px: Column, py: Column, polygon: Column) -> Column:
     return point_in_edges(px, py, polygon_edges(polygon))
 

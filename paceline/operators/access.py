@@ -175,7 +175,7 @@ def occupancy_asof(
     return (
         S.last_known(
             line, ["stream_id", "zone_id"], ["ts", "__kind"], F.col("__count"),
-            S.by_seconds(F.col("ts"), seconds_per_stretch), "occupancy_at_crossing",
+            S.by_seconds(F.col("ts"), seconds_per_stretch), "occupancy_at_crossing", at=F.col("ts"),
         )
         .filter("__kind = 1").drop("__kind", "__count")
     )

@@ -297,13 +297,12 @@ _SWITCH_DDL = (
 def _switch_step(seconds: float, px: float, memory: float, by_streak: bool = False):
     def step(pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
         detector = SwitchDetector(seconds, px, memory, json.loads(entry))
-        entered: dict[int, tuple] = {}
+        entered: dict[int, int] = {}
         rows = []
         for frame_idx, ts, people in _frames_of(pdf, "track_ord"):
             listed = list(zip(people["track_id"].astype("int64"), people["x"], people["y"]))
             if by_streak:
-                for track_id, s0, s1 in zip(people["track_id"].astype("int64"), people["__streak_frame"], people["__streak_ord"]):
-                    entered[int(track_id)] = (s0, s1)
+                entered.update(zip(people["track_id"].astype("int64").tolist(), people["__streak"].tolist()))
             found = detector.frame(ts, [(int(t), float(x), float(y)) for t, x, y in listed])
             rows += [(frame_idx, ts, i, *map(float, s)) for i, s in enumerate(found)]
         slots = list(detector.slots.items())
@@ -336,12 +335,12 @@ def id_switches(
     stretch = S.by_frames(F.col("frame_idx"), frames_per_stretch)
     # since when an id has been in memory, but for ids that were taken: good enough to guess with
     key, order = ["stream_id", "track_id"], ["frame_idx", "track_ord"]
-    back = S.previous_row(seen, key, order, ["ts"], stretch, "__last_seen")
+    at = S.place(F.col("frame_idx"), F.col("track_ord"))
+    back = S.previous_row(seen, key, order, ["ts"], stretch, "__last_seen", at=at)
     fresh = F.col("__last_seen").isNull() | (F.col("ts") - F.col("__last_seen.ts") > F.lit(memory_seconds))
-    streaks = S.last_known(back, key, order, F.when(fresh, F.struct("frame_idx", "track_ord")), stretch, "__streak")
+    streaks = S.last_known(back, key, order, F.when(fresh, at), stretch, "__streak", at=at)
     rows = cut_lineage(streaks.select(
-        *seen.columns, F.col("__streak.frame_idx").alias("__streak_frame"),
-        F.col("__streak.track_ord").alias("__streak_ord"), stretch.alias("__stretch"),
+        *seen.columns, "__streak", stretch.alias("__stretch"),
     ))
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm_up_frames)
     runs = _settle(

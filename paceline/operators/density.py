@@ -49,14 +49,15 @@ def _above_rows(ruled: DataFrame, stretch: Column) -> DataFrame:
     ruled = ruled.select(*named)
     reset = F.coalesce(F.col("reset"), F.lit(False)) if has_reset else F.lit(False)
     rows = ruled.withColumn("__above", (F.col("count") > F.col("threshold")) & ~reset)
-    order = ["ts"]
+    order, never = ["ts"], F.lit(float("-inf"))
     if has_reset:
         # at one instant a reset comes before the count
         rows = rows.withColumn("__turn", F.when(reset, 0).otherwise(1))
         order = ["ts", "__turn"]
-        rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch")
+        rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch",
+                            at=F.col("ts")).withColumn("epoch", F.coalesce("epoch", never))
     else:
-        rows = rows.withColumn("epoch", F.lit(None).cast("double"))
+        rows = rows.withColumn("epoch", never)
     rows = S.previous_row(cut_lineage(rows), ZONE, order, ["__above", "ts"], stretch, "__prev").filter("__above")
     # from here on only crowded rows are left; they are looked at several times
     rows = cut_lineage(rows)

@@ -16,7 +16,6 @@ in full once. Put ``cut_lineage`` in front where the input is costly to make.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,34 +38,44 @@ def _cut(df: DataFrame, stretch: Column) -> DataFrame:
     return df.withColumn("__s_stretch", stretch)
 
 
-def _attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Join on ``on`` with null keys equal to each other; the key columns stay once."""
-    other = right
-    for name in on:
-        other = other.withColumnRenamed(name, f"__r_{name}")
-    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in on])
-    return left.join(other, same, how).drop(*[f"__r_{n}" for n in on])
+def place(frame_idx: Column, ord_in_frame: Column) -> Column:
+    """Frame and place in the frame's list as one number that sorts the same way."""
+    return F.shiftleft(frame_idx.cast("long"), 20) + ord_in_frame.cast("long")
+
+
+def _at(order: Sequence[str], at: Column | None) -> Column:
+    # one plain number lets the grouping hash instead of sort
+    if at is not None:
+        return at
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], stretch: Column, into: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], stretch: Column, into: str,
+    at: Column | None = None,
 ) -> DataFrame:
-    """Add struct ``into``: ``values`` of the row before, by ``order`` within ``keys``; null on the first."""
+    """Add struct ``into``: ``values`` of the row before, by ``order`` within ``keys``; null on the first.
+
+    Keys are not null, here and in the other functions. ``at`` is ``order`` as
+    one number, if there is more than one column to it.
+    """
     cut = _cut(df, stretch)
     part = [*keys, "__s_stretch"]
     local = cut.withColumn("__s_prev", F.lag(F.struct(*values)).over(Window.partitionBy(*part).orderBy(*order)))
-    ends = cut.groupBy(*part).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__s_end"))
+    ends = cut.groupBy(*part).agg(*[F.max_by(v, _at(order, at)).alias(v) for v in values]).select(
+        *part, F.struct(*values).alias("__s_end"))
     along = Window.partitionBy(*keys).orderBy("__s_stretch")
     carried = ends.select(*part, F.lag("__s_end").over(along).alias("__s_carried")).filter("__s_carried is not null")
     return (
-        _attach(local, carried, part, "left")
+        local.join(carried, part, "left")
         .withColumn(into, F.coalesce("__s_prev", "__s_carried"))
         .drop("__s_stretch", "__s_prev", "__s_carried")
     )
 
 
 def last_known(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, stretch: Column, into: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, stretch: Column, into: str,
+    at: Column | None = None,
 ) -> DataFrame:
     """Add ``into``: the latest non-null ``value`` up to and including each row."""
     cut = _cut(df, stretch).withColumn("__s_value", value)
@@ -74,14 +83,14 @@ def last_known(
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumn("__s_local", F.last("__s_value", ignorenulls=True).over(upto))
     # rows without a value do not compete, but their stretch still receives the earlier one
-    at = F.when(F.col("__s_value").isNotNull(), F.struct(*order))
-    ends = cut.groupBy(*part).agg(F.max_by("__s_value", at).alias("__s_end"))
+    ends = cut.groupBy(*part).agg(
+        F.max_by("__s_value", F.when(F.col("__s_value").isNotNull(), _at(order, at))).alias("__s_end"))
     before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *part, F.last("__s_end", ignorenulls=True).over(before).alias("__s_carried")
     ).filter("__s_carried is not null")
     return (
-        _attach(local, carried, part, "left")
+        local.join(carried, part, "left")
         .withColumn(into, F.coalesce("__s_local", "__s_carried"))
         .drop("__s_stretch", "__s_value", "__s_local", "__s_carried")
     )
@@ -99,7 +108,7 @@ def running_total(
     before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*part, F.coalesce(F.sum("__s_sum").over(before), F.lit(0)).alias("__s_before"))
     return (
-        _attach(local, offsets, part, "inner")
+        local.join(offsets, part)
         .withColumn(into, F.col("__s_local") + F.col("__s_before"))
         .drop("__s_stretch", "__s_amount", "__s_local", "__s_before")
     )
@@ -124,7 +133,7 @@ def running_max(
     before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*part, F.max("__s_top").over(before).alias("__s_carried")).filter("__s_carried is not null")
     return (
-        _attach(local, carried, part, "left")
+        local.join(carried, part, "left")
         .withColumn(into, F.greatest("__s_local", "__s_carried"))
         .drop("__s_stretch", "__s_value", "__s_local", "__s_carried")
     )
@@ -208,7 +217,7 @@ def accepted_rows(
         if changed.isEmpty():
             break
         pieces = cut_lineage(
-            _attach(pieces, changed, part, "left")
+            pieces.join(changed, part, "left")
             .withColumn("__entry", F.when(F.col("__redo"), F.col("__next")).otherwise(F.col("__entry")))
             .withColumn(
                 "__exit",
