@@ -22,36 +22,23 @@ def with_centroid(tracks: DataFrame, cameras: DataFrame | None = None, mode: str
     )
 
 
-MAX_LISTED_EDGES = 16
-_EDGE = ("x1", "y1", "x2", "y2")
-
-
-def _prepared(zones: DataFrame, n_listed: int) -> DataFrame:
-    """Zones with the box around them and their edges: as columns if ``n_listed``, else as an array."""
+def _prepared(zones: DataFrame) -> DataFrame:
+    """Zones with their edges and the box around them."""
     xs, ys = F.transform("polygon", lambda p: p["x"]), F.transform("polygon", lambda p: p["y"])
-    edges = G.polygon_edges(F.col("polygon"))
-    shape = [edges.alias("__edges")] if not n_listed else [
-        F.get(edges, F.lit(i))[c].alias(f"__{c}_{i}") for i in range(n_listed) for c in _EDGE
-    ]
-    return zones.filter(F.size("polygon") >= 3).select(
-        F.col("stream_id").alias("__stream"), "zone_id", *shape,
+    return zones.select(
+        F.col("stream_id").alias("__stream"), "zone_id", G.polygon_edges(F.col("polygon")).alias("__edges"),
         F.array_min(xs).alias("__x_lo"), F.array_max(xs).alias("__x_hi"),
         F.array_min(ys).alias("__y_lo"), F.array_max(ys).alias("__y_hi"),
     )
 
 
-def zone_membership(points: DataFrame, zones: DataFrame, max_listed_edges: int = MAX_LISTED_EDGES) -> DataFrame:
+def zone_membership(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Each row of ``points`` (stream_id, cx, cy, ...) with each zone of its camera that holds it.
 
     The box around a zone is part of the join, so the polygon test only sees
     the pairs that can match. There is no broadcast hint: the planner knows the
-    size of the zone table and decides by that. The number of corners of the
-    largest zone is looked up first: with few corners the edges become columns
-    and the test compiled arithmetic, otherwise they stay an array.
+    size of the zone table and decides by that.
     """
-    corners = zones.agg(F.max(F.size("polygon"))).first()[0] or 0
-    n_listed = corners if 3 <= corners <= max_listed_edges else 0
-    z = _prepared(zones, n_listed)
     eps = F.lit(G.EDGE_EPS)
     x, y = F.col("cx"), F.col("cy")
     near = (
@@ -59,11 +46,8 @@ def zone_membership(points: DataFrame, zones: DataFrame, max_listed_edges: int =
         & (x >= F.col("__x_lo") - eps) & (x <= F.col("__x_hi") + eps)
         & (y >= F.col("__y_lo") - eps) & (y <= F.col("__y_hi") + eps)
     )
-    if n_listed:
-        inside = G.point_in_listed_edges(x, y, [{c: F.col(f"__{c}_{i}") for c in _EDGE} for i in range(n_listed)])
-    else:
-        inside = G.point_in_edges(x, y, F.col("__edges"))
-    return points.join(z, near).filter(inside).select(*points.columns, "zone_id")
+    inside = G.point_in_edges(x, y, F.col("__edges"))
+    return points.join(_prepared(zones), near).filter(inside).select(*points.columns, "zone_id")
 
 
 def zone_occupancy(frames: DataFrame, points: DataFrame, zones: DataFrame) -> DataFrame:
