@@ -2,8 +2,9 @@
 
 Rows reach a rule in event-time order however they arrive: a row waits in the
 state until the watermark has passed it, and is then worked on. Every key's
-state is bounded by what its rule remembers plus the rows still waiting.
-``seconds_kept`` lets idle state go.
+state is bounded by what its rule remembers plus the rows still waiting, and a
+key that has been idle for ``idle_seconds`` of event time is forgotten if the
+processor has such a limit.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ class InOrder(StatefulProcessor):
     order: tuple[str, ...] = ("ts",)
     columns: tuple[str, ...] = ()
     hold_seconds = 0.0
+    idle_seconds: float | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts double, body string")
         self.memory = handle.getValueState("memory", "body string")
+        self.latest = handle.getValueState("latest", "ts double")
 
     def work(self, key: tuple, rows: list[dict], state: str | None) -> tuple[list[dict], str | None]:
         raise NotImplementedError
@@ -59,7 +62,15 @@ class InOrder(StatefulProcessor):
         for ts, body in self.waiting.get():
             (ready if self._due(ts) <= now else later).append((ts, body))
         if not ready:
+            if self.idle_seconds is not None and not later and self.latest.exists():
+                if self._due(self.latest.get()[0] + self.idle_seconds) <= now:
+                    self.memory.clear()
+                    self.latest.clear()
             return
+        if self.idle_seconds is not None:
+            last = max(ts for ts, _ in ready)
+            self.latest.update((last,))
+            self.handle.registerTimer(self._due(last + self.idle_seconds))
         if later:
             self.waiting.put(later)
         else:
@@ -96,6 +107,9 @@ class _Wires(InOrder):
     order = ("frame_idx",)
     columns = ("frame_idx", "ts", "track_ord", "cx", "cy", "wires")
 
+    def __init__(self, idle_seconds: float | None):
+        self.idle_seconds = idle_seconds
+
     def work(self, key, rows, state):
         out = []
         for r in rows:
@@ -108,14 +122,20 @@ class _Wires(InOrder):
         return out, state
 
 
-def stream_tripwire_crossings(points: DataFrame, tripwires: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """``tripwire_crossings`` on a stream of track points, by camera and track."""
+def stream_tripwire_crossings(
+    points: DataFrame, tripwires: DataFrame, delay: str = "10 seconds", idle_seconds: float | None = None
+) -> DataFrame:
+    """``tripwire_crossings`` on a stream of track points, by camera and track.
+
+    With ``idle_seconds`` a track not seen for so long is forgotten, which keeps
+    the state small where ids are never used again.
+    """
     wires = tripwires.groupBy("stream_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(
         "tw_ord", F.col("tripwire_id").alias("id"), F.col("p1.x").alias("x1"), F.col("p1.y").alias("y1"),
         F.col("p2.x").alias("x2"), F.col("p2.y").alias("y2"), "direction_in",
         F.col("recycle_after_frames").alias("frames"), F.col("recycle_distance_px").alias("px"))))).alias("wires"))
     return _run(
-        points.join(wires, "stream_id"), ["stream_id", "track_id"], _Wires(),
+        points.join(wires, "stream_id"), ["stream_id", "track_id"], _Wires(idle_seconds),
         "stream_id string, tripwire_id string, track_id bigint, frame_idx bigint, ts double, track_ord bigint, "
         "direction string, cx double, cy double", delay)
 
