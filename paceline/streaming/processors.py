@@ -67,17 +67,19 @@ class InOrder(StatefulProcessor):
                     self.memory.clear()
                     self.latest.clear()
             return
-        if self.idle_seconds is not None:
-            last = max(ts for ts, _ in ready)
-            self.latest.update((last,))
-            self.handle.registerTimer(self._due(last + self.idle_seconds))
         if later:
             self.waiting.put(later)
         else:
             self.waiting.clear()
         rows = sorted((json.loads(b) for _, b in ready), key=lambda r: tuple(r[c] for c in self.order))
         state = self.memory.get()[0] if self.memory.exists() else None
-        out, state = self.work(key, rows, state)
+        out = []
+        for fresh_start, block in self._blocks(rows):
+            found, state = self.work(key, block, None if fresh_start else state)
+            out += found
+        if self.idle_seconds is not None:
+            self.latest.update((rows[-1]["ts"],))
+            self.handle.registerTimer(self._due(rows[-1]["ts"] + self.idle_seconds))
         if state is None:
             self.memory.clear()
         else:
@@ -85,6 +87,22 @@ class InOrder(StatefulProcessor):
         if out:
             yield pd.DataFrame(out)
 
+    def _blocks(self, rows: list[dict]) -> Iterator[tuple[bool, list[dict]]]:
+        """Rows between gaps longer than ``idle_seconds``, and whether the key is new by then."""
+        if self.idle_seconds is None:
+            yield False, rows
+            return
+        last = self.latest.get()[0] if self.latest.exists() else rows[0]["ts"]
+        fresh, block = False, []
+        for r in rows:
+            if r["ts"] - last > self.idle_seconds:
+                if block:
+                    yield fresh, block
+                fresh, block = True, []
+            block.append(r)
+            last = r["ts"]
+        yield fresh, block
+
     def close(self) -> None:
         pass
 
@@ -99,7 +117,9 @@ def _timed(stream: DataFrame, delay: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, keys: list[str], processor: StatefulProcessor, ddl: str, delay: str) -> DataFrame:
-    return _timed(stream, delay).groupBy(*keys).transformWithStateInPandas(
+    # a stream that was timed before a join keeps the watermark of all its rows
+    timed = stream if "event_time" in stream.columns else _timed(stream, delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=ddl, outputMode="append", timeMode="EventTime")
 
 
@@ -135,7 +155,7 @@ def stream_tripwire_crossings(
         F.col("p2.x").alias("x2"), F.col("p2.y").alias("y2"), "direction_in",
         F.col("recycle_after_frames").alias("frames"), F.col("recycle_distance_px").alias("px"))))).alias("wires"))
     return _run(
-        points.join(wires, "stream_id"), ["stream_id", "track_id"], _Wires(idle_seconds),
+        _timed(points, delay).join(wires, "stream_id"), ["stream_id", "track_id"], _Wires(idle_seconds),
         "stream_id string, tripwire_id string, track_id bigint, frame_idx bigint, ts double, track_ord bigint, "
         "direction string, cx double, cy double", delay)
 
