@@ -111,14 +111,17 @@ def consumption_ordinal(matched: DataFrame, order: Sequence[str] = IN_ORDER) ->
 
 def access_decisions(
     crossings: DataFrame, scans: DataFrame, window: float, order: Sequence[str] = IN_ORDER,
-    seconds_per_stretch: float = S.SECONDS_PER_STRETCH,
+    seconds_per_stretch: float = S.SECONDS_PER_STRETCH, occupancy: DataFrame | None = None,
 ) -> DataFrame:
     """Every crossing record with ``kind`` authorized / tailgating / unmatched.
 
     Crossings are taken in time order. Each one that reaches a scan is noted on
     it, so "somebody used this scan within the window" is the same as "the one
-    before did".
+    before did". With ``occupancy`` the zone's count at the crossing is added; it
+    decides nothing.
     """
+    if occupancy is not None:
+        crossings = occupancy_asof(crossings, occupancy, seconds_per_stretch)
     if window <= 0:
         raise ValueError("window must be > 0")
     used = consumption_ordinal(nearest_scan(crossings, dedup_scans(scans), window, seconds_per_stretch), order)

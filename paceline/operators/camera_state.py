@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from paceline.operators import stretches as S
 from paceline.session import cut_lineage
 
 STRETCH = ["stream_id", "__stretch"]
+# Frames per grouped task: minutes of video, some hundred thousand rows.
+FRAMES_PER_TASK = 5_000
 _RUN = "stream_id string, __stretch bigint, __end boolean, __state string, __refs array<bigint>, __fresh bigint, "
 
 
@@ -130,11 +133,18 @@ def _overlap(a, b) -> float:
     return inter / (union + G.IOU_EPS)
 
 
-def _frames_of(pdf: pd.DataFrame, order: str):
-    """(frame_idx, ts, rows) per frame in order; a frame without objects has none."""
-    pdf = pdf.sort_values(["frame_idx", order], kind="stable")
-    for frame_idx, group in pdf.groupby("frame_idx", sort=True):
-        yield int(frame_idx), float(group["ts"].iloc[0]), group[group[order].notna()]
+def _frames_of(pdf: pd.DataFrame, order: str, columns: list[str]):
+    """(frame_idx, ts, rows) per frame of ``pdf``, which is in order; rows are tuples of ``columns``.
+
+    A frame without objects has no rows.
+    """
+    frame_no = pdf["frame_idx"].to_numpy()
+    starts = [0, *(np.flatnonzero(np.diff(frame_no)) + 1).tolist(), len(pdf)]
+    times = pdf["ts"].tolist()
+    filled = pdf[order].notna().tolist()
+    rows = list(zip(*[pdf[c].tolist() for c in columns]))
+    for a, b in zip(starts, starts[1:]):
+        yield int(frame_no[a]), times[a], [rows[i] for i in range(a, b) if filled[i]]
 
 
 _PASSED_ON = ["frame_idx", "ts", "det_ord", "det_id", "x1", "y1", "x2", "y2", "conf", "cls"]
@@ -166,8 +176,8 @@ def _tracker_step(max_age: int, iou_threshold: float):
         tracker = BoxTracker(max_age, iou_threshold, live)
         pdf = pdf.sort_values(["frame_idx", "det_ord"], kind="stable")
         refs: list[int] = []
-        for _, _, dets in _frames_of(pdf, "det_ord"):
-            refs += tracker.frame(list(zip(dets["x1"], dets["y1"], dets["x2"], dets["y2"])))
+        for _, _, boxes in _frames_of(pdf, "det_ord", ["x1", "y1", "x2", "y2"]):
+            refs += tracker.frame(boxes)
         rows = pdf.loc[pdf["det_ord"].notna(), _PASSED_ON].reset_index(drop=True)
         rows["ref"] = pd.Series(refs, dtype="Int64")
         return _with_end(rows, {
@@ -180,7 +190,7 @@ def _tracker_step(max_age: int, iou_threshold: float):
 
 def iou_tracker(
     frames: DataFrame, detections: DataFrame, max_age: int = 30, iou_threshold: float = 0.20,
-    frames_per_stretch: int = S.FRAMES_PER_STRETCH, warm_up_frames: int | None = None,
+    frames_per_stretch: int = FRAMES_PER_TASK, warm_up_frames: int | None = None,
 ) -> DataFrame:
     """Detections with a ``track_id``, per camera, 1, 2, 3, ... in order of first sight.
 
@@ -261,6 +271,31 @@ class _track_names:  # noqa: N801
         )
 
 
+# From frames and detections to detections with a track_id.
+TrackerFn = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def index_tracker(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """A stand-in for tests: the track id is the place of the detection in its frame, from 0."""
+    place = F.row_number().over(Window.partitionBy("stream_id", "frame_idx").orderBy("det_ord")) - 1
+    return detections.withColumn("track_id", place.cast("long"))
+
+
+# The two configurable names stand for third-party trackers, in whose place the box tracker works.
+TRACKERS: dict[str, TrackerFn] = {"bytetrack": iou_tracker, "botsort": iou_tracker, "index": index_tracker}
+
+
+def run_tracker(
+    frames: DataFrame, detections: DataFrame, tracker_type: str = "bytetrack", trackers: dict[str, TrackerFn] | None = None
+) -> DataFrame:
+    """Track with the tracker of that name, from ``trackers`` (a user's own) or the known ones."""
+    known = {**TRACKERS, **(trackers or {})}
+    name = tracker_type.lower().strip()
+    if name not in known:
+        raise ValueError(f"unknown tracker_type: {tracker_type!r}")
+    return known[name](frames, detections)
+
+
 # --------------------------------------------------------------------------- id switches
 
 
@@ -299,11 +334,11 @@ def _switch_step(seconds: float, px: float, memory: float, by_streak: bool = Fal
         detector = SwitchDetector(seconds, px, memory, json.loads(entry))
         entered: dict[int, int] = {}
         rows = []
-        for frame_idx, ts, people in _frames_of(pdf, "track_ord"):
-            listed = list(zip(people["track_id"].astype("int64"), people["x"], people["y"]))
+        pdf = pdf.sort_values(["frame_idx", "track_ord"], kind="stable")
+        for frame_idx, ts, people in _frames_of(pdf, "track_ord", ["track_id", "x", "y", "__streak"]):
             if by_streak:
-                entered.update(zip(people["track_id"].astype("int64").tolist(), people["__streak"].tolist()))
-            found = detector.frame(ts, [(int(t), float(x), float(y)) for t, x, y in listed])
+                entered.update({p[0]: p[3] for p in people})
+            found = detector.frame(ts, [p[:3] for p in people])
             rows += [(frame_idx, ts, i, *map(float, s)) for i, s in enumerate(found)]
         slots = list(detector.slots.items())
         if by_streak:
@@ -318,8 +353,8 @@ def _switch_step(seconds: float, px: float, memory: float, by_streak: bool = Fal
 
 def id_switches(
     tracks: DataFrame, seconds: float = G.SWITCH_SECONDS, px: float = G.SWITCH_PX,
-    memory_seconds: float = G.SWITCH_MEMORY_SECONDS, frames_per_stretch: int = S.FRAMES_PER_STRETCH,
-    warm_up_frames: int = 600,
+    memory_seconds: float = G.SWITCH_MEMORY_SECONDS, frames_per_stretch: int = FRAMES_PER_TASK,
+    warm_up_frames: int = 300,
 ) -> DataFrame:
     """Hand-offs of a person from one id to another.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from paceline.functions import text as X
 from paceline.operators import access, alertlog, camera_state, density, evidence, metrics, quality, report, scans
 from paceline.operators import tracking, tripwire, validate, zones
 from paceline.plans import inputs as I  # noqa: E741
-from paceline.sources import config
+from paceline.sources import config, media
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +105,22 @@ def read_detections(s, d):
     return I.detections(s, d)
 
 
+@query
+def detect_frames(s, d):
+    """Frames whose content spells out what is to be seen, and a detector that reads it."""
+    shown = I.detections(s, d).withColumn("cls", F.when(F.col("det_ord") == 5, 2).otherwise(0))
+    frames = tracking.detections_matrix(shown).select(
+        "stream_id", "frame_idx", (F.col("frame_idx").cast("double") * F.lit(0.5)).alias("ts"),
+        F.to_json("matrix").alias("content"))
+    return media.detect_frames(frames, lambda frame: json.loads(frame["content"]))
+
+
+@query
+def index_tracker(s, d):
+    return camera_state.run_tracker(I.frames(s, d), I.detections(s, d), " Index").select(
+        "stream_id", "frame_idx", "det_ord", "track_id")
+
+
 @query
 def ingest_scans(s, d):
     return scans.ingest_scans(I.scan_payloads(s, d)).drop("payload")
@@ -688,6 +705,15 @@ def access_decisions(s, d):
         "stream_id", "zone_id", "track_id", "ts", "kind", "authorized", "scan_ts", "scan_identity", "prior_crossings")
 
 
+@query
+def access_with_occupancy(s, d):
+    placed = records(s, d)
+    per_wire = counts(s, d).filter("zone_id = 'z_rect'").select(
+        "stream_id", F.concat(F.lit("tw_"), F.col("stream_id")).alias("zone_id"), "ts", "count")
+    return access.access_decisions(placed, I.scans(s, d), W, occupancy=per_wire).select(
+        "stream_id", "zone_id", "track_id", "ts", "kind", "occupancy_at_crossing")
+
+
 @query
 def late_scan_reevaluation(s, d):
     # scans with a high identity number are the late ones

@@ -326,6 +326,10 @@ def _rules(table: str, object_id: str, rules: dict[str, str]) -> str:
 
 BODIES: dict[str, str] = {
     "read_detections": "SELECT stream_id, frame_idx, ts, det_ord, det_ord - 1 AS det_id, x1, y1, x2, y2, conf, cls FROM tracks",
+    "detect_frames": """SELECT stream_id, frame_idx, ts, det_no AS det_ord, det_no AS det_id, x1, y1, x2, y2, conf, cls FROM (
+        SELECT *, row_number() OVER (PARTITION BY stream_id, frame_idx ORDER BY det_ord) - 1 AS det_no FROM tracks) WHERE det_ord <> 5""",
+    "index_tracker": """SELECT stream_id, frame_idx, det_ord,
+        row_number() OVER (PARTITION BY stream_id, frame_idx ORDER BY det_ord) - 1 AS track_id FROM tracks""",
     "ingest_scans": "SELECT * FROM taken",
     "rejected_scans": "SELECT reason, count(*) AS n FROM taken WHERE reason IS NOT NULL GROUP BY reason",
     "parse_timestamp": "SELECT arrival, ts FROM bodies",
@@ -506,6 +510,9 @@ BODIES: dict[str, str] = {
         nth - 1 AS prior_crossings, notes FROM vlog""",
     "access_decisions": """SELECT stream_id, zone_id, track_id, ts, kind, kind = 'authorized' AS authorized, scan_ts, scan_identity,
         nth - 1 AS prior_crossings FROM decided""",
+    "access_with_occupancy": """SELECT c.stream_id, c.zone_id, c.track_id, c.ts, c.kind, o.count AS occupancy_at_crossing FROM decided c
+        LEFT JOIN (SELECT * FROM occ WHERE zone_id = 'z_rect') o
+          ON o.stream_id = c.stream_id AND c.zone_id = concat('tw_', o.stream_id) AND o.ts = c.ts""",
     "late_scan_reevaluation": """SELECT a.zone_id, a.stream_id, a.tripwire_id, a.track_id, a.frame_idx, a.ts, a.kind AS kind_then, b.kind AS kind_final
         FROM then_decided a JOIN final_decided b USING (zone_id, stream_id, tripwire_id, track_id, frame_idx, ts) WHERE a.kind <> b.kind""",
     "reset_density_zone": "SELECT * FROM reset_alerts",
