@@ -10,6 +10,7 @@ from paceline.operators import stretches as S
 from paceline.session import cut_lineage
 
 ZONE = ["stream_id", "zone_id"]
+COOLDOWN_STRETCH_SECONDS = 14_400.0
 
 
 def occupancy_snapshots(occupancy: DataFrame) -> DataFrame:
@@ -126,11 +127,13 @@ def _cooled_down(cooldown: float):
 
 def density_cooldown_alerts(
     occupancy: DataFrame, threshold: int = 8, cooldown_seconds: float = 10.0,
-    seconds_per_stretch: float = S.SECONDS_PER_STRETCH,
+    seconds_per_stretch: float = COOLDOWN_STRETCH_SECONDS,
 ) -> DataFrame:
     """The plain rule: above the threshold, and again every ``cooldown_seconds`` while it stays so.
 
-    The clock starts at 0, as if an alert had been raised then.
+    The clock starts at 0, as if an alert had been raised then. While a zone
+    stays crowded each alert sets the time of the next, across any cut, so
+    stretches are long here: a few hundred thousand narrow rows.
     """
     crowded = occupancy.filter(
         (F.col("count") > F.lit(int(threshold))) & (F.col("ts") >= F.lit(float(cooldown_seconds)))

@@ -103,7 +103,7 @@ def test_cooldown_random(spark):
         state, fires = T.cooled(state, ts, n, 8, 10.0)
         truth += [ts] if fires else []
     df = spark.createDataFrame([("c", "z", t, n) for t, n in series], "stream_id string, zone_id string, ts double, count long")
-    for size in (1200.0, 4.0):
+    for size in (14400.0, 30.0):
         got = density.density_cooldown_alerts(df, seconds_per_stretch=size).orderBy("timestamp").collect()
         assert [r.timestamp for r in got] == truth
 
