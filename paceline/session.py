@@ -2,34 +2,71 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the session names, else (local runs only) a new one."""
+    """The shared folder for written copies.
+
+    The one the session names (``spark.checkpoint.dir``), else a folder in the
+    session's warehouse, which executors and driver share as well. A warehouse on
+    a local disk is taken on local masters only.
+    """
     context = spark.sparkContext
     active = context._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return active.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        warehouse = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        scheme = warehouse.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="paceline-checkpoint-")
+        folder = f"{warehouse.toString().rstrip('/')}/_checkpoints"
     context.setCheckpointDir(folder)
-    return folder
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from the written copy.
 
     The copy outlives the executors that made it, can be read by column, and
-    tells the planner its true size.
+    tells the planner its true size. ``release`` deletes it once it is superseded.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/paceline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._paceline_path = path
+    return copy
+
+
+def release(*copies: DataFrame) -> None:
+    """Delete copies made by ``cut_lineage`` that nothing reads any more."""
+    for copy in copies:
+        spark = copy.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(copy._paceline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_paceline_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="paceline-package-")  # the driver's own copy; Spark hands it to the executors
+    archive = os.path.join(folder, "paceline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    out.write(full, os.path.join("paceline", os.path.relpath(full, top)))
+    context.addPyFile(archive)
+    context._paceline_shipped = True
