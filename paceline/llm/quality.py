@@ -183,6 +183,8 @@ def fit_quality(
         return QualityModel((), (), float(np.log((good + 1.0) / (len(y) - good + 1.0))))
     x = np.array([r[1:] for r in rows], np.float64)
     rules = tree_rules(x, y, trees, depth)
+    if not rules:  # too few rows for a cut
+        return QualityModel((), (), float(np.log((good + 1.0) / (len(y) - good + 1.0))))
     z = np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64)
     weights, constant = fit_lasso(z, y, strength)
     kept = [at for at in np.argsort(-np.abs(weights), kind="stable") if weights[at]]
