@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -13,6 +14,9 @@ def parse_timestamp(raw: Column) -> Column:
     """Epoch seconds from a number, a numeric text or an ISO date-time; null where it is none.
 
     An ISO text without an offset is taken as UTC, whatever the session's zone.
+    Numbers are plain decimals with or without exponent, blanks around them are
+    put away; type suffixes (``1.5d``), hexadecimal and underscored numbers,
+    ``true`` and words like ``NaN`` are no times.
     """
     text = F.trim(raw.cast("string"))
     is_iso = text.rlike(_ISO)
@@ -24,7 +28,7 @@ def parse_timestamp(raw: Column) -> Column:
         .otherwise(F.concat(clock, F.lit("Z")))
     )
     micros = F.unix_micros(F.when(is_iso, F.try_to_timestamp(absolute)))
-    return F.coalesce(micros / F.lit(1e6), F.when(~is_iso, text.try_cast("double")))
+    return F.coalesce(micros / F.lit(1e6), F.when(text.rlike(_NUMBER), text.try_cast("double")))
 
 
 def utc_date(ts: Column) -> Column:

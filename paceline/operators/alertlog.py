@@ -10,6 +10,10 @@ from paceline import schemas
 from paceline.operators import stretches as S
 
 
+# Alerts are numbered minute by minute, so that a day of all cameras is many tasks; the minutes' offsets are a small table.
+SECONDS_NUMBERED = 60.0
+
+
 def _known_columns(rows: DataFrame, ddl: str) -> list[Column]:
     wanted = T.StructType.fromDDL(ddl)
     have = set(rows.columns)
@@ -21,7 +25,7 @@ def _known_columns(rows: DataFrame, ddl: str) -> list[Column]:
 def _numbered(rows: DataFrame, existing: DataFrame | None, order: list[str], ddl: str, created_at: Column | None) -> DataFrame:
     """``rows`` with the log's columns and ids that go on after the largest one in ``existing``."""
     plain = rows.drop("id", "clip_path", "clip_url")
-    numbered = S.running_number(plain, [], order, S.by_seconds(F.col("timestamp"), 86_400.0), "id")
+    numbered = S.running_number(plain, [], order, S.by_seconds(F.col("timestamp"), SECONDS_NUMBERED), "id")
     if existing is not None:
         last = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("last")).scalar()
         numbered = numbered.withColumn("id", F.col("id") + last)

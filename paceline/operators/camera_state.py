@@ -332,12 +332,12 @@ _SWITCH_DDL = (
 def _switch_step(seconds: float, px: float, memory: float, by_streak: bool = False):
     def step(pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
         detector = SwitchDetector(seconds, px, memory, json.loads(entry))
-        entered: dict[int, int] = {}
+        entered: dict[int, tuple] = {}
         rows = []
         pdf = pdf.sort_values(["frame_idx", "track_ord"], kind="stable")
-        for frame_idx, ts, people in _frames_of(pdf, "track_ord", ["track_id", "x", "y", "__streak"]):
+        for frame_idx, ts, people in _frames_of(pdf, "track_ord", ["track_id", "x", "y", "__since", "__since_ord"]):
             if by_streak:
-                entered.update({p[0]: p[3] for p in people})
+                entered.update({p[0]: p[3:] for p in people})
             found = detector.frame(ts, [p[:3] for p in people])
             rows += [(frame_idx, ts, i, *map(float, s)) for i, s in enumerate(found)]
         slots = list(detector.slots.items())
@@ -370,12 +370,12 @@ def id_switches(
     stretch = S.by_frames(F.col("frame_idx"), frames_per_stretch)
     # since when an id has been in memory, but for ids that were taken: good enough to guess with
     key, order = ["stream_id", "track_id"], ["frame_idx", "track_ord"]
-    at = S.place(F.col("frame_idx"), F.col("track_ord"))
-    back = S.previous_row(seen, key, order, ["ts"], stretch, "__last_seen", at=at)
+    back = S.previous_row(seen, key, order, ["ts"], stretch, "__last_seen")
     fresh = F.col("__last_seen").isNull() | (F.col("ts") - F.col("__last_seen.ts") > F.lit(memory_seconds))
-    streaks = S.last_known(back, key, order, F.when(fresh, at), stretch, "__streak", at=at)
+    streaks = S.last_known(back, key, order, F.when(fresh, S.at(order)), stretch, "__streak")
     rows = cut_lineage(streaks.select(
-        *seen.columns, "__streak", stretch.alias("__stretch"),
+        *seen.columns, F.col("__streak.frame_idx").alias("__since"), F.col("__streak.track_ord").alias("__since_ord"),
+        stretch.alias("__stretch"),
     ))
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm_up_frames)
     runs = _settle(

@@ -55,8 +55,7 @@ def _above_rows(ruled: DataFrame, stretch: Column) -> DataFrame:
         # at one instant a reset comes before the count
         rows = rows.withColumn("__turn", F.when(reset, 0).otherwise(1))
         order = ["ts", "__turn"]
-        rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch",
-                            at=F.col("ts")).withColumn("epoch", F.coalesce("epoch", never))
+        rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch").withColumn("epoch", F.coalesce("epoch", never))
     else:
         rows = rows.withColumn("epoch", never)
     rows = S.previous_row(cut_lineage(rows), ZONE, order, ["__above", "ts"], stretch, "__prev").filter("__above")

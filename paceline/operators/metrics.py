@@ -39,8 +39,12 @@ def event_counters(events: DataFrame) -> DataFrame:
 
 
 def _seconds_sum():
-    # a sum of decimals does not depend on the order the rows come in
-    return F.sum(F.col("seconds").cast("decimal(18,6)")).cast("double")
+    """Sum of ``seconds`` to the nanosecond. Of decimals, so that it does not depend on the order the rows come in.
+
+    Samples that are not finite count as samples, but add nothing.
+    """
+    finite = F.abs("seconds") < F.lit(float("inf"))
+    return F.sum(F.when(finite & ~F.isnan("seconds"), F.col("seconds")).cast("decimal(28,9)")).cast("double")
 
 
 def latency_histogram(samples: DataFrame) -> DataFrame:
@@ -69,12 +73,12 @@ def stage_latency_avg(samples: DataFrame) -> DataFrame:
 
 def metrics_snapshot(events: DataFrame, samples: DataFrame) -> DataFrame:
     """One row: all counter totals and how many samples each stage has."""
-    totals = events.agg(*[
-        F.count_if(F.col("event") == event).alias(counter) for counter, event in COUNTERS.items()
-    ])
-    counts = samples.agg(*[F.count_if(F.col("stage") == s).alias(f"{s}_count") for s in STAGES])
-    # two one-row tables side by side
-    return totals.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    happened = events.select(F.concat(F.lit("e "), "event").alias("__what"))
+    sampled = samples.select(F.concat(F.lit("s "), "stage").alias("__what"))
+    counted = lambda what: F.count_if(F.col("__what") == F.lit(what))
+    return happened.unionByName(sampled).agg(
+        *[counted(f"e {event}").alias(counter) for counter, event in COUNTERS.items()],
+        *[counted(f"s {s}").alias(f"{s}_count") for s in STAGES])
 
 
 def stage_split(frames: DataFrame) -> tuple[DataFrame, DataFrame]:

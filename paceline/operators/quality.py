@@ -53,7 +53,6 @@ def gt_id_switches(matches: DataFrame, frames_per_stretch: int = S.FRAMES_PER_ST
     with_prev = S.previous_row(
         found, ["scenario", "gt_id"], ["frame_idx", "track_ord"], ["track_id"],
         S.by_frames(F.col("frame_idx"), frames_per_stretch), "__last",
-        at=S.place(F.col("frame_idx"), F.col("track_ord")),
     )
     return with_prev.filter(F.col("__last.track_id") != F.col("track_id")).select(
         "scenario", "gt_id", "frame_idx", F.col("__last.track_id").alias("from_track_id"),

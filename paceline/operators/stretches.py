@@ -38,31 +38,22 @@ def _cut(df: DataFrame, stretch: Column) -> DataFrame:
     return df.withColumn("__s_stretch", stretch)
 
 
-def place(frame_idx: Column, ord_in_frame: Column) -> Column:
-    """Frame and place in the frame's list as one number that sorts the same way."""
-    return F.shiftleft(frame_idx.cast("long"), 20) + ord_in_frame.cast("long")
-
-
-def _at(order: Sequence[str], at: Column | None) -> Column:
-    # one plain number lets the grouping hash instead of sort
-    if at is not None:
-        return at
+def at(order: Sequence[str]) -> Column:
+    """The columns of an order as one value that sorts the same way."""
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def previous_row(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], stretch: Column, into: str,
-    at: Column | None = None,
 ) -> DataFrame:
     """Add struct ``into``: ``values`` of the row before, by ``order`` within ``keys``; null on the first.
 
-    Keys are not null, here and in the other functions. ``at`` is ``order`` as
-    one number, if there is more than one column to it.
+    Keys are not null, here and in the other functions.
     """
     cut = _cut(df, stretch)
     part = [*keys, "__s_stretch"]
     local = cut.withColumn("__s_prev", F.lag(F.struct(*values)).over(Window.partitionBy(*part).orderBy(*order)))
-    ends = cut.groupBy(*part).agg(*[F.max_by(v, _at(order, at)).alias(v) for v in values]).select(
+    ends = cut.groupBy(*part).agg(*[F.max_by(v, at(order)).alias(v) for v in values]).select(
         *part, F.struct(*values).alias("__s_end"))
     along = Window.partitionBy(*keys).orderBy("__s_stretch")
     carried = ends.select(*part, F.lag("__s_end").over(along).alias("__s_carried")).filter("__s_carried is not null")
@@ -75,7 +66,6 @@ def previous_row(
 
 def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, stretch: Column, into: str,
-    at: Column | None = None,
 ) -> DataFrame:
     """Add ``into``: the latest non-null ``value`` up to and including each row."""
     cut = _cut(df, stretch).withColumn("__s_value", value)
@@ -84,7 +74,7 @@ def last_known(
     local = cut.withColumn("__s_local", F.last("__s_value", ignorenulls=True).over(upto))
     # rows without a value do not compete, but their stretch still receives the earlier one
     ends = cut.groupBy(*part).agg(
-        F.max_by("__s_value", F.when(F.col("__s_value").isNotNull(), _at(order, at))).alias("__s_end"))
+        F.max_by("__s_value", F.when(F.col("__s_value").isNotNull(), at(order))).alias("__s_end"))
     before = Window.partitionBy(*keys).orderBy("__s_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *part, F.last("__s_end", ignorenulls=True).over(before).alias("__s_carried")

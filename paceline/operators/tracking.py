@@ -13,10 +13,6 @@ TRACK_ORDER = ["frame_idx", "track_ord"]
 HISTORY = 30
 
 
-def _place():
-    return S.place(F.col("frame_idx"), F.col("track_ord"))
-
-
 def display_tracks(tracks: DataFrame, cameras: DataFrame) -> DataFrame:
     """Tracks a camera shows: confidence at or above its limit. For output only, all other work uses every track."""
     limits = cameras.select("stream_id", F.col("display_conf").alias("__limit"))
@@ -78,7 +74,6 @@ def carry_embedding(
     """Fill ``column`` with the track's latest known value."""
     carried = S.last_known(
         tracks, TRACK, TRACK_ORDER, F.col(column), S.by_frames(F.col("frame_idx"), frames_per_stretch), "__carried",
-        at=_place(),
     )
     return carried.withColumn(column, F.col("__carried")).drop("__carried")
 
@@ -93,9 +88,9 @@ def track_lifetimes(tracks: DataFrame) -> DataFrame:
 def latest_track_state(tracks: DataFrame, embedding: str | None = None) -> DataFrame:
     """The newest row of every track; its embedding is the newest known one."""
     rest = [c for c in tracks.columns if c not in TRACK and c != embedding]
-    aggs = [F.max_by(c, _place()).alias(c) for c in rest]
+    aggs = [F.max_by(c, S.at(TRACK_ORDER)).alias(c) for c in rest]
     if embedding:
-        aggs.append(F.max_by(embedding, F.when(F.col(embedding).isNotNull(), _place())).alias(embedding))
+        aggs.append(F.max_by(embedding, F.when(F.col(embedding).isNotNull(), S.at(TRACK_ORDER))).alias(embedding))
     return tracks.groupBy(*TRACK).agg(*aggs)
 
 
@@ -127,7 +122,7 @@ def id_switch_pairs(
     backwards = seen.withColumn("__neg", -F.col("frame_idx")).withColumn("__neg_ord", -F.col("track_ord"))
     known = S.previous_row(
         backwards, TRACK, ["__neg", "__neg_ord"], ["frame_idx", "ts"],
-        -S.by_frames(F.col("frame_idx"), frames_per_stretch), "__next", at=-_place(),
+        -S.by_frames(F.col("frame_idx"), frames_per_stretch), "__next",
     ).drop("__neg", "__neg_ord")
     cell = lambda c, shift=0.0: F.floor((c + F.lit(float(shift))) / F.lit(float(cell_px)))
     bucket = lambda t: F.floor(t / F.lit(float(bucket_seconds)))

@@ -19,7 +19,6 @@ def prev_centroid(points: DataFrame, frames_per_stretch: int = S.FRAMES_PER_STRE
     return S.previous_row(
         points, TRACK_KEYS, ["frame_idx", "track_ord"], ["cx", "cy"],
         S.by_frames(F.col("frame_idx"), frames_per_stretch), "prev",
-        at=S.place(F.col("frame_idx"), F.col("track_ord")),
     )
 
 

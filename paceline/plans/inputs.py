@@ -1,7 +1,8 @@
 """Camera-shaped views of the star-schema tables.
 
-Four cameras of two frames per second, five people each, with hidden people,
-blind cameras and swapped ids, all computed from ``events``.
+Four cameras of two frames per second, five people each, with people and whole
+cameras that are far off for a while and swapped ids, all computed from
+``events``; every event is a row.
 """
 
 from __future__ import annotations
@@ -43,15 +44,13 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = seen.select(
         "*",
         (F.col("frame_idx").cast("double") * F.lit(0.5)).alias("ts"),
-        F.expr("cast(20 + slot * 120 + user_id % 11 - 5 - 100 as double)").alias("cx"),
+        # far off: the third person in every fifth stretch of ten frames, all of cam3 now and then
+        F.expr("cast(20 + slot * 120 + user_id % 11 - 5 - 100 + case when slot = 3 and frame_idx % 50 between 20 and 29 "
+               "or stream_id = 'cam3' and frame_idx % 100 between 60 and 64 then 10000 else 0 end as double)").alias("cx"),
         F.expr("cast(40 + abs((frame_idx * 7 * slot) % 800 - 400) + user_id % 7 - 3 as double)").alias("y2"),
         F.expr("cast((event_id * 7) % 95 + 5 as double) / cast(100 as double)").alias("conf"),
     )
-    visible = placed.filter(
-        "not (slot = 3 and frame_idx % 50 between 20 and 29) "
-        "and not (stream_id = 'cam3' and frame_idx % 100 between 60 and 64)"
-    )
-    return visible.select(
+    return placed.select(
         "stream_id", "frame_idx", "ts", F.col("slot").alias("det_ord"), F.col("slot").alias("gt_id"),
         F.expr("case when (frame_idx div 60) % 2 = 1 and slot in (2, 4) then 6 - slot else slot end").alias("track_id"),
         (F.col("cx") - 20.0).alias("x1"), (F.col("y2") - 80.0).alias("y1"),
@@ -68,7 +67,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase' and event_id % 3 = 0").select(
+    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
         F.concat(F.lit("tw_cam"), (F.col("event_id") % 4).cast("string")).alias("zone_id"),
         (_frame_no().cast("double") * F.lit(0.5) + F.lit(0.25)).alias("ts"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("identity"),
@@ -77,7 +76,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Webhook bodies in five forms: number, ISO with Z, numeric text, no identity, not a time."""
+    """Webhook bodies in several forms: number, ISO with Z, numeric text, no identity, and texts that are no times."""
     payload = F.expr(
         """concat('{"zone_id": "tw_cam', event_id % 4, '"',
              case when event_id % 5 = 3 then '' else concat(', "identity": "user', user_id, '"') end,
@@ -88,7 +87,8 @@ def scan_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   lpad(cast(event_id % 24 as string), 2, '0'), ':30:00Z"')
                when 2 then concat('"', event_id div 20, '.25"')
                when 3 then concat(event_id div 20, '.5')
-               else '"not-a-number"' end, '}')"""
+               else concat('"', case event_id % 35 when 4 then 'not-a-number' when 9 then '1.5d' when 14 then '12f'
+                 when 19 then '0x1F' when 24 then 'NaN' when 29 then '1_000' else ' 7.5e1 ' end, '"') end, '}')"""
     )
     return table(spark, sf_dir, "events").select(payload.alias("payload"), F.col("event_id").alias("arrival"))
 
@@ -207,15 +207,18 @@ def camera_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks to be scored: drifting off by up to 20 px, one person missed every ninth frame."""
-    return tracks(spark, sf_dir).filter("not (det_ord = 1 and frame_idx % 9 = 0)").select(
+    """Tracks to be scored: drifting off by up to 20 px, one box misplaced every ninth frame."""
+    drift = F.expr(
+        "cast((frame_idx % 6) * 4 + case when det_ord = 1 and frame_idx % 9 = 0 then 20000 else 0 end as double)")
+    return tracks(spark, sf_dir).select(
         F.col("stream_id").alias("scenario"), "frame_idx", "track_ord", "track_id",
-        *[(F.col(c) + F.expr("cast((frame_idx % 6) * 4 as double)")).alias(c) for c in ("x1", "x2")], "y1", "y2",
+        *[(F.col(c) + drift).alias(c) for c in ("x1", "x2")], "y1", "y2",
     )
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).filter("not (det_ord = 5 and frame_idx % 7 = 0)").select(
+    away = F.expr("cast(case when det_ord = 5 and frame_idx % 7 = 0 then 40000 else 0 end as double)")
+    return tracks(spark, sf_dir).select(
         F.col("stream_id").alias("scenario"), "frame_idx", "gt_id", F.col("det_ord").alias("gt_ord"),
-        "x1", "y1", "x2", "y2", "conf",
+        (F.col("x1") + away).alias("x1"), "y1", (F.col("x2") + away).alias("x2"), "y2", "conf",
     )

@@ -8,8 +8,21 @@ from __future__ import annotations
 
 import re
 
-from paceline.operators.metrics import COUNTERS, LATENCY_BUCKETS, STAGES
-from paceline.plans import inputs as I  # noqa: E741
+from paceline.plans.inputs import CAMERA_DOC_SQL
+
+# The values below are written out here once more, so that an error in the operators' own tables shows.
+LATENCY_BUCKETS = (0.001, 0.0025, 0.005, 0.010, 0.025, 0.050, 0.100, 0.250)
+STAGES = ("detect", "track", "zone", "tripwire")
+COUNTERS = {
+    "frames_processed_total": "frame_processed", "frames_dropped_total": "frame_dropped",
+    "stream_reconnects_total": "reconnect", "stream_build_failures_total": "build_failure",
+    "id_switches_total": "id_switch", "violations_total": "violation", "stage_failures_total": "stage_failure",
+}
+CAMERAS = [(f"cam{n}", f"rtsp://cam{n}", limit) for n, limit in enumerate((0.25, 0.375, 0.5, 0.625))]
+POLYGONS = {
+    "z_rect": [(100.0, 100.0), (500.0, 100.0), (500.0, 400.0), (100.0, 400.0)],
+    "z_ell": [(50.0, 50.0), (350.0, 50.0), (350.0, 250.0), (200.0, 250.0), (200.0, 420.0), (50.0, 420.0)],
+}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -25,15 +38,19 @@ def _values(rows: list[tuple]) -> str:
 
 def _edge_rows() -> list[tuple]:
     out = []
-    for stream, zone, _, polygon in I.zone_rows():
-        for i, (x1, y1) in enumerate(polygon):
-            x2, y2 = polygon[(i + 1) % len(polygon)]
-            out.append((stream, zone, i, x1, y1, x2, y2))
+    for stream, *_ in CAMERAS:
+        for zone, polygon in POLYGONS.items():
+            for i, (x1, y1) in enumerate(polygon):
+                x2, y2 = polygon[(i + 1) % len(polygon)]
+                out.append((stream, zone, i, x1, y1, x2, y2))
     return out
 
 
 def _wire_rows() -> list[tuple]:
-    return [(s, w, p1[0], p1[1], p2[0], p2[1], d, f, px) for s, w, _, p1, p2, d, f, px in I.tripwire_rows()]
+    return [
+        row for stream, *_ in CAMERAS for row in (
+            (stream, f"tw_{stream}", 50.0, 240.0, 590.0, 240.0, "left_to_right", 60, 200.0, 0),
+            (stream, f"diag_{stream}", 50.0, 60.0, 590.0, 430.0, "right_to_left", 60, 200.0, 1))]
 
 
 def _crossing_parts(prefix: str, person: str) -> dict[str, str]:
@@ -136,29 +153,28 @@ def _proper(a: str, b: str, c: str, d: str) -> str:
 
 
 PARTS: dict[str, str] = {
-    "cams": "SELECT * FROM (VALUES " + _values([(r[0], r[1], r[7]) for r in I.camera_rows()])
+    "cams": "SELECT * FROM (VALUES " + _values(CAMERAS)
             + ") AS t(stream_id, source, display_conf)",
     "wires": "SELECT * FROM (VALUES " + _values(_wire_rows())
-             + ") AS t(stream_id, tripwire_id, x1, y1, x2, y2, direction_in, rf, rd)",
+             + ") AS t(stream_id, tripwire_id, x1, y1, x2, y2, direction_in, rf, rd, tw_ord)",
     "edges": "SELECT * FROM (VALUES " + _values(_edge_rows()) + ") AS t(stream_id, zone_id, e, x1, y1, x2, y2)",
     "frames": """SELECT DISTINCT concat('cam', CAST(event_id % 4 AS STRING)) AS stream_id, event_id // 20 AS frame_idx,
         CAST(event_id // 20 AS DOUBLE) * 5e-1 AS ts FROM events""",
     "seen": """SELECT event_id, user_id, event_id // 20 AS frame_idx, (event_id // 4) % 5 + 1 AS slot,
         concat('cam', CAST(event_id % 4 AS STRING)) AS stream_id FROM events""",
     "placed": """SELECT *, CAST(frame_idx AS DOUBLE) * 5e-1 AS ts,
-        CAST(20 + slot * 120 + user_id % 11 - 5 - 100 AS DOUBLE) AS cx0,
+        CAST(20 + slot * 120 + user_id % 11 - 5 - 100 + CASE WHEN slot = 3 AND frame_idx % 50 BETWEEN 20 AND 29
+          OR stream_id = 'cam3' AND frame_idx % 100 BETWEEN 60 AND 64 THEN 10000 ELSE 0 END AS DOUBLE) AS cx0,
         CAST(40 + abs((frame_idx * 7 * slot) % 800 - 400) + user_id % 7 - 3 AS DOUBLE) AS y2,
         CAST((event_id * 7) % 95 + 5 AS DOUBLE) / 1e2 AS conf FROM seen""",
     "tracks": """SELECT stream_id, frame_idx, ts, slot AS det_ord, slot AS track_ord, slot AS gt_id,
         CASE WHEN (frame_idx // 60) % 2 = 1 AND slot IN (2, 4) THEN 6 - slot ELSE slot END AS track_id,
         cx0 - 2e1 AS x1, y2 - 8e1 AS y1, cx0 + 2e1 AS x2, y2, conf, 0 AS cls,
-        CASE WHEN event_id % 7 = 0 THEN event_id END AS emb_key FROM placed
-        WHERE NOT (slot = 3 AND frame_idx % 50 BETWEEN 20 AND 29)
-          AND NOT (stream_id = 'cam3' AND frame_idx % 100 BETWEEN 60 AND 64)""",
+        CASE WHEN event_id % 7 = 0 THEN event_id END AS emb_key FROM placed""",
     "pts": "SELECT *, (x1 + x2) / 2e0 AS cx, y2 AS cy FROM tracks",
     "raw_scans": """SELECT concat('tw_cam', CAST(event_id % 4 AS STRING)) AS zone_id,
         CAST(event_id // 20 AS DOUBLE) * 5e-1 + 25e-2 AS ts, concat('user', CAST(user_id AS STRING)) AS identity,
-        event_id AS arrival FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0""",
+        event_id AS arrival FROM events WHERE event_type = 'purchase'""",
     "scans": """SELECT zone_id, ts, arg_max(identity, arrival) AS identity, max(arrival) AS arrival
         FROM raw_scans GROUP BY zone_id, ts""",
     "payloads": """SELECT event_id AS arrival, concat('{"zone_id": "tw_cam', CAST(event_id % 4 AS STRING), '"',
@@ -169,14 +185,18 @@ PARTS: dict[str, str] = {
                                lpad(CAST(event_id % 24 AS STRING), 2, '0'), ':30:00Z"')
             WHEN 2 THEN concat('"', CAST(event_id // 20 AS STRING), '.25"')
             WHEN 3 THEN concat(CAST(event_id // 20 AS STRING), '.5')
-            ELSE '"not-a-number"' END, '}') AS payload FROM events""",
+            ELSE concat('"', CASE event_id % 35 WHEN 4 THEN 'not-a-number' WHEN 9 THEN '1.5d' WHEN 14 THEN '12f'
+              WHEN 19 THEN '0x1F' WHEN 24 THEN 'NaN' WHEN 29 THEN '1_000' ELSE ' 7.5e1 ' END, '"') END, '}') AS payload FROM events""",
     "bodies": """SELECT arrival, json_extract_string(payload, '$.zone_id') AS zone_id,
         json_extract_string(payload, '$.identity') AS identity,
-        coalesce(epoch(try_cast(json_extract_string(payload, '$.timestamp') AS TIMESTAMPTZ)),
-                 try_cast(json_extract_string(payload, '$.timestamp') AS DOUBLE)) AS ts FROM payloads""",
-    "taken": """SELECT arrival, zone_id, ts, identity, CASE WHEN ts IS NULL THEN 'bad timestamp'
+        coalesce(epoch(try_cast(CASE WHEN json_extract_string(payload, '$.timestamp') LIKE '____-__-__T%'
+                   THEN json_extract_string(payload, '$.timestamp') END AS TIMESTAMPTZ)),
+                 CASE WHEN regexp_full_match(trim(json_extract_string(payload, '$.timestamp')), '[0-9.]+(e[0-9]+)?')
+                   THEN try_cast(trim(json_extract_string(payload, '$.timestamp')) AS DOUBLE) END) AS ts,
+        payload FROM payloads""",
+    "taken": """SELECT payload, arrival, zone_id, ts, identity, CASE WHEN ts IS NULL THEN 'bad timestamp'
         WHEN identity IS NULL THEN 'missing identity' END AS reason FROM bodies""",
-    "docs": f"SELECT {I.CAMERA_DOC_SQL} AS doc FROM customer",
+    "docs": f"SELECT {CAMERA_DOC_SQL} AS doc FROM customer",
     "cfg": """SELECT doc, json_extract_string(doc, '$.id') AS stream_id, json_extract_string(doc, '$.source') AS source,
         lower(trim(coalesce(json_extract_string(doc, '$.tracker_type'), 'bytetrack'))) AS tracker_type,
         coalesce(CAST(json_extract(doc, '$.use_appearance') AS BOOLEAN), false) AS use_appearance,
@@ -258,10 +278,11 @@ PARTS: dict[str, str] = {
     "counted_events": "SELECT *, CASE event " + " ".join(f"WHEN '{e}' THEN '{c}'" for c, e in COUNTERS.items())
                       + """ END AS counter, CASE WHEN event = 'violation' THEN kind
         WHEN event = 'stage_failure' THEN concat(stream_id, '/', stage) ELSE stream_id END AS label FROM log_events""",
-    "scored": """SELECT stream_id AS scenario, frame_idx, track_ord, track_id, x1 + CAST((frame_idx % 6) * 4 AS DOUBLE) AS x1, y1,
-        x2 + CAST((frame_idx % 6) * 4 AS DOUBLE) AS x2, y2 FROM tracks WHERE NOT (det_ord = 1 AND frame_idx % 9 = 0)""",
-    "truth": """SELECT stream_id AS scenario, frame_idx, gt_id, det_ord AS gt_ord, x1, y1, x2, y2 FROM tracks
-        WHERE NOT (det_ord = 5 AND frame_idx % 7 = 0)""",
+    "scored": """SELECT stream_id AS scenario, frame_idx, track_ord, track_id, x1 + drift AS x1, y1, x2 + drift AS x2, y2 FROM (
+        SELECT *, CAST((frame_idx % 6) * 4 + CASE WHEN det_ord = 1 AND frame_idx % 9 = 0 THEN 20000 ELSE 0 END AS DOUBLE) AS drift
+        FROM tracks)""",
+    "truth": """SELECT stream_id AS scenario, frame_idx, gt_id, det_ord AS gt_ord, x1 + away AS x1, y1, x2 + away AS x2, y2 FROM (
+        SELECT *, CAST(CASE WHEN det_ord = 5 AND frame_idx % 7 = 0 THEN 40000 ELSE 0 END AS DOUBLE) AS away FROM tracks)""",
     "lapped": """SELECT a.scenario, a.frame_idx, a.track_ord, a.track_id, b.gt_id, b.gt_ord,
         greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter,
         (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas
@@ -330,8 +351,8 @@ BODIES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY stream_id, frame_idx ORDER BY det_ord) - 1 AS det_no FROM tracks) WHERE det_ord <> 5""",
     "index_tracker": """SELECT stream_id, frame_idx, det_ord,
         row_number() OVER (PARTITION BY stream_id, frame_idx ORDER BY det_ord) - 1 AS track_id FROM tracks""",
-    "ingest_scans": "SELECT * FROM taken",
-    "rejected_scans": "SELECT reason, count(*) AS n FROM taken WHERE reason IS NOT NULL GROUP BY reason",
+    "ingest_scans": "SELECT * EXCLUDE (payload) FROM taken",
+    "rejected_scans": "SELECT payload, arrival, reason FROM taken WHERE reason IS NOT NULL",
     "parse_timestamp": "SELECT arrival, ts FROM bodies",
     "dedup_scans": "SELECT * FROM scans",
     "prune_scans": "SELECT * FROM scans WHERE ts >= 1e2",
@@ -389,12 +410,13 @@ BODIES: dict[str, str] = {
     }) + " UNION ALL SELECT stream_id, tripwire_id, 'tripwire_id_unique' FROM cfg_wires GROUP BY ALL HAVING count(*) > 1",
     "duplicate_ids": "SELECT stream_id, zone_id, count(*) AS n FROM cfg_points GROUP BY ALL HAVING count(*) > 1",
     "signed_area": """SELECT p.stream_id, t.tripwire_id, p.frame_idx, p.track_id,
-        (t.x2 - t.x1) * (p.cy - t.y1) - (t.y2 - t.y1) * (p.cx - t.x1) AS side FROM pts p JOIN wires t USING (stream_id)""",
+        (t.x2 - t.x1) * (p.cy - t.y1) - (t.y2 - t.y1) * (p.cx - t.x1) AS side FROM pts p JOIN wires t
+        ON p.stream_id = t.stream_id AND t.tw_ord = p.frame_idx % 2""",
     "classify_direction": "SELECT stream_id, frame_idx, raw_direction FROM turned",
     "map_in_out": """SELECT stream_id, frame_idx, CASE WHEN raw_direction IS NULL THEN NULL
         WHEN raw_direction = CASE WHEN frame_idx % 2 = 0 THEN 'left_to_right' ELSE 'right_to_left' END THEN 'in' ELSE 'out' END AS direction FROM turned""",
     "point_on_segment": f"SELECT {_KEY}, {_TOUCH} AS on_segment FROM pts p, LATERAL (SELECT p.cx - 1e1 AS x1, 1e2 AS y1, p.cx + 1e1 AS x2, p.cy AS y2) e",
-    "point_in_polygon": f"SELECT {_KEY}, zone_id, inside FROM inside",
+    "point_in_polygon": f"SELECT {_KEY}, zone_id, inside FROM inside WHERE zone_id = CASE WHEN frame_idx % 2 = 0 THEN 'z_rect' ELSE 'z_ell' END",
     "segments_intersect": f"SELECT {_KEY}, {_proper('a_', 'b_', 'c_', 'd_')} AS hit FROM (SELECT *, x1 AS a_x, y1 AS a_y, x2 AS b_x, y2 AS b_y, "
                           "5e1 AS c_x, 6e1 AS c_y, 59e1 AS d_x, 43e1 AS d_y FROM tracks)",
     "polygon_self_intersects": """SELECT stream_id, zone_id, CAST(zone_ord AS INTEGER) AS zone_ord,
@@ -417,7 +439,7 @@ BODIES: dict[str, str] = {
     "unmatched_crossings": """SELECT stream_id, zone_id, track_id, ts FROM records r WHERE NOT EXISTS (
         SELECT 1 FROM raw_scans s WHERE s.zone_id = r.zone_id AND s.ts BETWEEN r.ts - 1e0 AND r.ts + 1e0)""",
     "occupancy_asof": """SELECT c.stream_id, c.tripwire_id, c.track_id, c.ts, o.count AS occupancy_at_crossing FROM crossings c
-        ASOF LEFT JOIN (SELECT * FROM occ WHERE zone_id = 'z_rect' AND frame_idx % 7 = 3) o
+        ASOF LEFT JOIN (SELECT stream_id, count, ts + CAST(frame_idx % 3 - 1 AS DOUBLE) * 3e-1 AS ts FROM occ WHERE zone_id = 'z_rect') o
           ON o.stream_id = c.stream_id AND c.ts >= o.ts""",
     "match_tracks_to_gt": "SELECT * FROM matched",
     "missed_ground_truth": "SELECT * FROM missed",
@@ -433,8 +455,8 @@ BODIES: dict[str, str] = {
           ON a.stream_id = b.stream_id AND a.track_id <> b.track_id AND b.frame_idx < a.frame_idx AND b.ts >= a.ts - 2e0
         WHERE (b.nf IS NULL OR a.frame_idx <= b.nf) AND (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) <= 16e2""",
     "zone_occupancy": "SELECT * FROM occ",
-    "zone_occupancy_history": """SELECT stream_id, frame_idx, ts, CAST(sum(count) FILTER (WHERE zone_id = 'z_rect') AS BIGINT) AS z_rect,
-        CAST(sum(count) FILTER (WHERE zone_id = 'z_ell') AS BIGINT) AS z_ell FROM occ GROUP BY ALL""",
+    "zone_occupancy_history": """SELECT stream_id, frame_idx, ts, string_agg(concat(zone_id, '=', CAST(count AS STRING)), ',' ORDER BY zone_id) AS zone_counts
+        FROM occ GROUP BY ALL""",
     "stream_report": """SELECT c.stream_id, c.source, concat('rep_', c.stream_id) AS report_id,
         (SELECT count(*) FROM frames f WHERE f.stream_id = c.stream_id) AS total_frames_processed,
         (SELECT round(max(ts) - min(ts), 2) FROM frames f WHERE f.stream_id = c.stream_id) AS processing_duration_seconds,
@@ -442,10 +464,16 @@ BODIES: dict[str, str] = {
         (SELECT count(DISTINCT track_id) FROM shown f WHERE f.stream_id = c.stream_id) AS unique_persons_tracked,
         (SELECT count(*) FROM crossings f WHERE f.stream_id = c.stream_id) AS total_tripwire_crossings,
         (SELECT count(*) FROM alerts f WHERE f.stream_id = c.stream_id) AS total_high_density_alerts FROM cams c""",
-    "report_items": """SELECT stream_id, 'person_track_ids' AS section, count(DISTINCT track_id) AS n_lines FROM shown GROUP BY 1
-        UNION ALL SELECT stream_id, 'tripwire_crossings', count(*) FROM crossings GROUP BY 1
-        UNION ALL SELECT stream_id, 'high_density_alerts', count(*) FROM alerts GROUP BY 1
-        UNION ALL SELECT stream_id, 'stage_latencies', count(DISTINCT stage) FROM samples WHERE stage <> 'other' GROUP BY 1""",
+    "report_items": """SELECT stream_id, 'person_track_ids' AS section, CAST(NULL AS DOUBLE) AS sort_ts, track_id AS sort_id,
+          CAST(track_id AS STRING) AS body FROM (SELECT DISTINCT stream_id, track_id FROM shown)
+        UNION ALL SELECT stream_id, 'tripwire_crossings', ts, track_id, concat('{"timestamp":', CAST(round(ts, 2) AS STRING),
+          ',"track_id":', CAST(track_id AS STRING), ',"tripwire_id":"', tripwire_id, '","direction":"', direction,
+          '","centroid":[', CAST(round(cx, 1) AS STRING), ',', CAST(round(cy, 1) AS STRING), ']}') FROM crossings
+        UNION ALL SELECT stream_id, 'high_density_alerts', timestamp, NULL, concat('{"timestamp":', CAST(round(timestamp, 2) AS STRING),
+          ',"zone_id":"', zone_id, '","density_count":', CAST(density_count AS STRING), ',"threshold":', CAST(threshold AS STRING), '}') FROM alerts
+        UNION ALL SELECT stream_id, 'stage_latencies', NULL, NULL, concat('{"stage":"', stage, '","count":', CAST(count(*) AS STRING),
+          ',"avg_ms":', CAST(round(CAST(sum(micros) AS DOUBLE) / 1e6 / (count(*) + 1e-6) * 1e3, 2) AS STRING), '}')
+          FROM samples WHERE stage <> 'other' GROUP BY stream_id, stage""",
     "list_streams": """SELECT c.stream_id, c.source, (SELECT count(*) FROM frames f WHERE f.stream_id = c.stream_id) AS processed_frames,
         (SELECT count(DISTINCT track_id) FROM shown f WHERE f.stream_id = c.stream_id) AS unique_persons_tracked,
         (SELECT count(*) FROM crossings f WHERE f.stream_id = c.stream_id) AS crossings_count, 'active' AS status FROM cams c""",
@@ -500,8 +528,10 @@ BODIES: dict[str, str] = {
     "all_crossings": f"SELECT {_CROSS} FROM crossings",
     "all_alerts": """SELECT kind, id, timestamp, stream_id, zone_id, CAST(NULL AS BIGINT) AS density_count, tripwire_id FROM vlog
         UNION ALL SELECT 'high_density', id, timestamp, stream_id, zone_id, density_count, NULL FROM alog""",
-    "surviving_track_ids": """SELECT stream_id, track_id FROM tracks WHERE frame_idx <= 19
-        INTERSECT SELECT stream_id, track_id FROM tracks WHERE frame_idx >= 30 AND NOT (track_id = 4 AND frame_idx > 40)""",
+    "surviving_track_ids": """WITH renamed AS (SELECT stream_id, frame_idx, CASE WHEN stream_id IN ('cam0', 'cam2') AND track_id = 4
+          AND frame_idx > 25 THEN 104 ELSE track_id END AS track_id FROM tracks)
+        SELECT stream_id, track_id FROM renamed WHERE frame_idx <= 19
+        INTERSECT SELECT stream_id, track_id FROM renamed WHERE frame_idx >= 30""",
     "tripwire_crossings": f"SELECT {_CROSS} FROM crossings",
     "density_alerts": "SELECT * FROM alerts",
     "density_cooldown_alerts": """SELECT c.ts AS timestamp, c.stream_id, c.zone_id, c.count AS density_count, 2 AS threshold
@@ -511,8 +541,8 @@ BODIES: dict[str, str] = {
     "access_decisions": """SELECT stream_id, zone_id, track_id, ts, kind, kind = 'authorized' AS authorized, scan_ts, scan_identity,
         nth - 1 AS prior_crossings FROM decided""",
     "access_with_occupancy": """SELECT c.stream_id, c.zone_id, c.track_id, c.ts, c.kind, o.count AS occupancy_at_crossing FROM decided c
-        LEFT JOIN (SELECT * FROM occ WHERE zone_id = 'z_rect') o
-          ON o.stream_id = c.stream_id AND c.zone_id = concat('tw_', o.stream_id) AND o.ts = c.ts""",
+        LEFT JOIN occ o ON o.stream_id = c.stream_id AND o.ts = c.ts
+          AND c.zone_id = concat(CASE WHEN o.zone_id = 'z_rect' THEN 'tw_' ELSE 'diag_' END, o.stream_id)""",
     "late_scan_reevaluation": """SELECT a.zone_id, a.stream_id, a.tripwire_id, a.track_id, a.frame_idx, a.ts, a.kind AS kind_then, b.kind AS kind_final
         FROM then_decided a JOIN final_decided b USING (zone_id, stream_id, tripwire_id, track_id, frame_idx, ts) WHERE a.kind <> b.kind""",
     "reset_density_zone": "SELECT * FROM reset_alerts",

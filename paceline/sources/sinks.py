@@ -27,8 +27,9 @@ def log_sink(path: str, fmt: str = "parquet") -> Handler:
     return write
 
 
-def evidence_manifest_sink(manifest: DataFrame, path: str, fmt: str = "parquet") -> None:
-    manifest.write.mode("append").format(fmt).save(path)
+def evidence_manifest_sink(manifest: DataFrame, path: str, batch_id: int = 0, fmt: str = "parquet") -> None:
+    """Write a batch's manifest once, in a folder of its own: a batch that is tried again overwrites what it wrote."""
+    manifest.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
 
 
 def alert_handler(handler: Handler, failed_path: str) -> Handler:

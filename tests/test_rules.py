@@ -209,11 +209,10 @@ def test_cuts_do_not_matter(spark):
             for f in sorted(rng.sample(range(300), 90))]
     df = spark.createDataFrame(rows, "stream_id string, track_id long, frame_idx long, track_ord long, ts double, v double, e long")
     keys, order = ["stream_id", "track_id"], ["frame_idx", "track_ord"]
-    at = stretches.place(F.col("frame_idx"), F.col("track_ord"))
     def all_of(size):
         cut = stretches.by_frames(F.col("frame_idx"), size)
-        out = stretches.previous_row(df, keys, order, ["v"], cut, "prev", at=at)
-        out = stretches.last_known(out, keys, order, F.col("e"), cut, "known", at=at)
+        out = stretches.previous_row(df, keys, order, ["v"], cut, "prev")
+        out = stretches.last_known(out, keys, order, F.col("e"), cut, "known")
         out = stretches.running_number(out, keys, order, cut, "n")
         out = stretches.running_max(out, keys, order, F.col("v"), cut, "top")
         out = stretches.trailing_rows(out, keys, order, F.col("v"), 5, cut, "tail", rows_per_chunk=size)
