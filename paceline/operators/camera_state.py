@@ -5,55 +5,102 @@ What state a stretch begins with is first *guessed* from the frames just before
 it, then all stretches run once from the guessed states, and a stretch whose
 guess was not the state its predecessor really ended in runs again. The rows
 that come out are those of one pass in order; the work is about one pass, as
-both machines forget within seconds.
+both machines forget within seconds. Only what has to run again is written again.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceline.functions import geometry as G
 from paceline.operators import stretches as S
-from paceline.session import cut_lineage
+from paceline.session import cut_lineage, release
 
 STRETCH = ["stream_id", "__stretch"]
 # Frames per grouped task: minutes of video, some hundred thousand rows.
 FRAMES_PER_TASK = 5_000
-_RUN = "stream_id string, __stretch bigint, __end boolean, __state string, __refs array<bigint>, __fresh bigint, "
+_RUN = (
+    "stream_id string, __stretch bigint, __end boolean, __state string, __refs array<bigint>, __fresh bigint, "
+    "__tied boolean, "
+)
+Step = Callable[[pd.DataFrame, str], pd.DataFrame]
 
 
 def _before(column: str) -> Column:
     return F.lag(column).over(Window.partitionBy("stream_id").orderBy("__stretch"))
 
 
-def _run_all(
-    rows: DataFrame, entries: DataFrame, step: Callable[[pd.DataFrame, str], pd.DataFrame], out_ddl: str
-) -> DataFrame:
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf["__entry"].iloc[0]
+def _run_all(rows: DataFrame, entries: DataFrame, step: Step, out_ddl: str) -> DataFrame:
+    """``step`` over the stretches that ``entries`` lists, each with its state, which travels once per stretch."""
+
+    def task(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        if not len(begin) or not len(pdf):
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in wanted})
+        entry = begin["__entry"].iloc[0]
         out = step(pdf, entry if isinstance(entry, str) else "[]")
         out["stream_id"] = pdf["stream_id"].iloc[0]
         out["__stretch"] = pdf["__stretch"].iloc[0]
         return out
 
-    return rows.join(entries, STRETCH).groupBy(*STRETCH).applyInPandas(task, _RUN + out_ddl)
+    wanted = T.StructType.fromDDL(_RUN + out_ddl).fields
+    return rows.groupBy(*STRETCH).cogroup(entries.groupBy(*STRETCH)).applyInPandas(task, _RUN + out_ddl)
 
 
-def _settle(
-    rows: DataFrame, parts: DataFrame, warm_up: Column, step: Callable[[pd.DataFrame, str], pd.DataFrame], out_ddl: str,
-    guess_step: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None,
-) -> DataFrame:
-    """Run ``step`` over all stretches until each begins with the state the one before ended in.
+class _Runs:
+    """What all stretches put out: the first run of each, less what was run again, and the later runs."""
 
-    ``parts`` lists the stretches; ``warm_up`` marks the rows near the end of
-    one that the guess is made from.
-    """
+    def __init__(self, rows: DataFrame, entries: DataFrame, step: Step, out_ddl: str):
+        self.rows, self.step, self.out_ddl = rows, step, out_ddl
+        self.entries = cut_lineage(entries)
+        self.now = cut_lineage(_run_all(rows, self.entries, step, out_ddl))
+        self.rounds = 1
+
+    def again(self, wrong: DataFrame) -> None:
+        """Run the stretches of ``wrong`` (a written table) again with the states it has; the others lie where they are."""
+        keys = wrong.select(*STRETCH)
+        redone = cut_lineage(_run_all(self.rows.join(keys, STRETCH, "left_semi"), wrong, self.step, self.out_ddl))
+        self.now = self.now.join(keys, STRETCH, "left_anti").unionByName(redone)
+        self.entries = self.entries.join(keys, STRETCH, "left_anti").unionByName(wrong)
+        self.rounds += 1
+
+    def ends(self) -> DataFrame:
+        return self.now.filter("__end")
+
+    def settle(self) -> None:
+        """Run again, all at once, what did not begin with the state the stretch before ended in, until nothing is wrong."""
+        none = F.lit("[]")
+        while True:
+            true = self.ends().select(*STRETCH, F.coalesce(_before("__state"), none).alias("__true"))
+            wrong = cut_lineage(
+                true.join(self.entries, STRETCH)
+                .filter(~F.col("__true").eqNullSafe(F.coalesce(_state_of("__entry"), none)))
+                .select(*STRETCH, F.col("__true").alias("__entry")))
+            if wrong.isEmpty():
+                release(wrong)
+                return
+            self.again(wrong)
+
+
+def _state_of(entry: str) -> Column:
+    """The state in an entry: all of it, or what stands before the mark behind which an order of tracks is given."""
+    return F.split(F.col(entry), RANKED)[0]
+
+
+RANKED = ";"
+
+
+def _guessed(
+    rows: DataFrame, parts: DataFrame, warm_up: Column, step: Step, out_ddl: str, guess_step: Step | None = None,
+) -> _Runs:
+    """All stretches, run from states guessed from the rows of the stretch before that ``warm_up`` marks, and settled."""
     feeding = parts.select(*STRETCH, F.lead("__stretch").over(
         Window.partitionBy("stream_id").orderBy("__stretch")).alias("__following"))
     none = F.lit(None).cast("string")
@@ -62,25 +109,10 @@ def _settle(
         feeding.filter("__following is not null").select(*STRETCH, none.alias("__entry")),
         guess_step or step, out_ddl,
     ).filter("__end").select(*STRETCH, F.col("__state").alias("__guess"))
-    entries = cut_lineage(
-        feeding.join(guesses, STRETCH, "left").select(
-            *STRETCH, _before("__guess").alias("__entry"))
-    )
-    runs = cut_lineage(_run_all(rows, entries, step, out_ddl))
-    while True:
-        ends = runs.filter("__end").select(*STRETCH, "__state")
-        true_entries = ends.select(*STRETCH, _before("__state").alias("__true"))
-        wrong = cut_lineage(
-            true_entries.join(entries, STRETCH)
-            .filter(~F.coalesce("__true", F.lit("[]")).eqNullSafe(F.coalesce("__entry", F.lit("[]"))))
-            .select(*STRETCH, F.col("__true").alias("__entry"))
-        )
-        if wrong.isEmpty():
-            return runs
-        redone = _run_all(rows, wrong, step, out_ddl)
-        keys = wrong.select(*STRETCH)
-        runs = cut_lineage(runs.join(keys, STRETCH, "left_anti").unionByName(redone))
-        entries = cut_lineage(entries.join(keys, STRETCH, "left_anti").unionByName(wrong))
+    entries = feeding.join(guesses, STRETCH, "left").select(*STRETCH, _before("__guess").alias("__entry"))
+    runs = _Runs(rows, entries, step, out_ddl)
+    runs.settle()
+    return runs
 
 
 # --------------------------------------------------------------------------- tracker
@@ -91,32 +123,36 @@ class BoxTracker:
 
     Live tracks are kept in the order they were made: ``[ref, x1, y1, x2, y2, age]``.
     ``ref`` is whatever names the track for the caller; new ones get 0, 1, 2, ...
+    ``tied`` tells whether of two tracks with a negative ref one was taken only
+    because it stood first.
     """
 
     def __init__(self, max_age: int, iou_threshold: float, live: list[list] | None = None, fresh: int = 0):
         self.max_age, self.iou_threshold = max_age, iou_threshold
         self.live = live or []
         self.fresh = fresh
+        self.tied = False
 
     def frame(self, boxes: list[tuple[float, float, float, float]]) -> list[int]:
         """The ref of every box of this frame, in the order given."""
         for track in self.live:
             track[5] += 1
         self.live = [t for t in self.live if t[5] <= self.max_age]
-        free = list(self.live)
-        refs: list[int | None] = []
-        for box in boxes:
-            best, best_iou = None, 0.0
-            for track in free:
-                overlap = _overlap(track[1:5], box)
-                if overlap > self.iou_threshold and overlap > best_iou:
-                    best, best_iou = track, overlap
-            if best is None:
-                refs.append(None)
-            else:
-                best[1:6] = [*box, 0]
-                free = [t for t in free if t is not best]
-                refs.append(best[0])
+        refs: list[int | None] = [None] * len(boxes)
+        if boxes and self.live:
+            overlaps = _overlaps(np.array([t[1:5] for t in self.live], np.float64), np.array(boxes, np.float64))
+            overlaps[~(overlaps > self.iou_threshold)] = 0.0
+            for i, box in enumerate(boxes):
+                own = overlaps[:, i]
+                at = int(own.argmax())
+                if own[at] <= 0.0:
+                    continue
+                taken = self.live[at]
+                if taken[0] < 0 and any(self.live[k][0] < 0 for k in np.flatnonzero(own == own[at]) if k != at):
+                    self.tied = True
+                taken[1:6] = [*box, 0]
+                refs[i] = taken[0]
+                overlaps[at] = 0.0
         for i, box in enumerate(boxes):
             if refs[i] is None:
                 refs[i] = self.fresh
@@ -125,11 +161,13 @@ class BoxTracker:
         return refs
 
 
-def _overlap(a, b) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+def _overlaps(tracks: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Overlap of each track (rows) with each box."""
+    a, b = tracks[:, None, :], boxes[None, :, :]
+    w = np.maximum(0.0, np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]))
+    h = np.maximum(0.0, np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
     inter = w * h
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    union = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]) + (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1]) - inter
     return inter / (union + G.IOU_EPS)
 
 
@@ -165,14 +203,26 @@ def _with_end(rows: pd.DataFrame, end: dict) -> pd.DataFrame:
     for c in ("__state", "__refs"):
         values = out[c] if c in out else [None] * len(out)
         out[c] = pd.Series([v if isinstance(v, (str, list)) else None for v in values], dtype=object)
+    if "__tied" not in out:
+        out["__tied"] = None
     out["__fresh"] = out["__fresh"].astype("Int64") if "__fresh" in out else pd.array([pd.NA] * len(out), "Int64")
     return out
 
 
 def _tracker_step(max_age: int, iou_threshold: float):
+    """One stretch. States are sets: tracks sorted by box and age, named -1, -2, ... by that order where they come in.
+
+    In which order they were made only matters where overlaps are exactly
+    equal. An entry may give that order behind ``RANKED``; one that does not is
+    taken in the sorted order, and ``__tied`` tells if that decided anything.
+    """
+
     def step(pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
-        # tracks that come in are named -1, -2, ... by their place
-        live = [[-(i + 1), *track] for i, track in enumerate(json.loads(entry))]
+        state, _, ranks = entry.partition(RANKED)
+        live = [[-(i + 1), *track] for i, track in enumerate(json.loads(state))]
+        if ranks:
+            order = json.loads(ranks)
+            live.sort(key=lambda t: order[-t[0] - 1])
         tracker = BoxTracker(max_age, iou_threshold, live)
         pdf = pdf.sort_values(["frame_idx", "det_ord"], kind="stable")
         refs: list[int] = []
@@ -180,14 +230,29 @@ def _tracker_step(max_age: int, iou_threshold: float):
             refs += tracker.frame(boxes)
         rows = pdf.loc[pdf["det_ord"].notna(), _PASSED_ON].reset_index(drop=True)
         rows["ref"] = pd.Series(refs, dtype="Int64")
+        ends = sorted(tracker.live, key=lambda t: t[1:6])
         return _with_end(rows, {
-            "__state": json.dumps([[float(v) for v in t[1:5]] + [int(t[5])] for t in tracker.live]),
-            "__refs": [int(t[0]) for t in tracker.live], "__fresh": tracker.fresh,
+            "__state": json.dumps([[float(v) for v in t[1:5]] + [int(t[5])] for t in ends]),
+            "__refs": [int(t[0]) for t in ends], "__fresh": tracker.fresh, "__tied": tracker.tied,
         })
 
     return step
 
 
+def _ranked(runs: _Runs, names: _track_names) -> DataFrame:
+    """Stretches in which the order of incoming tracks decided something and was not the order they were made in."""
+    numbers = names.incoming.groupBy(*STRETCH).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ref")).alias("at"), "__id"))), lambda t: t["__id"])
+        .alias("__ids"))
+    return (
+        runs.ends().filter("__tied").select(*STRETCH).join(numbers, STRETCH).join(runs.entries, STRETCH)
+        .select(*STRETCH, F.concat(_state_of("__entry"), F.lit(RANKED), F.to_json("__ids")).alias("__ordered"), "__entry",
+                F.to_json(F.sort_array("__ids")).eqNullSafe(F.to_json("__ids")).alias("__as_sorted"))
+        .filter((F.col("__ordered") != F.col("__entry")) & ~(F.col("__as_sorted") & ~F.col("__entry").contains(RANKED)))
+        .select(*STRETCH, F.col("__ordered").alias("__entry"))
+    )
+
+
 def iou_tracker(
     frames: DataFrame, detections: DataFrame, max_age: int = 30, iou_threshold: float = 0.20,
     frames_per_stretch: int = FRAMES_PER_TASK, warm_up_frames: int | None = None,
@@ -199,16 +264,8 @@ def iou_tracker(
     track unseen for more than ``max_age`` frames is gone; frames without
     detections count, so ``frames`` has to list them all.
     """
-    boxes = detections.select("stream_id", *[c for c in _PASSED_ON if c != "ts"])
-    rows = frames.select("stream_id", "frame_idx", "ts").join(boxes, ["stream_id", "frame_idx"], "left").withColumn(
-        "__stretch", S.by_frames(F.col("frame_idx"), frames_per_stretch)
-    )
-    warm = warm_up_frames if warm_up_frames is not None else 5 * max_age
-    near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
-    parts = frames.select("stream_id", S.by_frames(F.col("frame_idx"), frames_per_stretch).alias("__stretch")).distinct()
-    runs = _settle(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL)
-    names = _track_names(runs.filter("__end").select(*STRETCH, "__refs", "__fresh"))
-    found = runs.filter("not __end").select(*STRETCH, *_PASSED_ON, "ref")
+    runs, names = _tracked(frames, detections, max_age, iou_threshold, frames_per_stretch, warm_up_frames)
+    found = runs.now.filter("not __end").select(*STRETCH, *_PASSED_ON, "ref")
     return (
         found.join(names.offsets, STRETCH)
         .join(names.incoming, [*STRETCH, "ref"], "left")
@@ -219,6 +276,29 @@ def iou_tracker(
     )
 
 
+def _tracked(
+    frames: DataFrame, detections: DataFrame, max_age: int, iou_threshold: float, frames_per_stretch: int,
+    warm_up_frames: int | None,
+) -> tuple[_Runs, _track_names]:
+    boxes = detections.select("stream_id", *[c for c in _PASSED_ON if c != "ts"])
+    # frames and boxes are put together once; every round reads the written rows
+    rows = cut_lineage(
+        frames.select("stream_id", "frame_idx", "ts").join(boxes, ["stream_id", "frame_idx"], "left").withColumn(
+            "__stretch", S.by_frames(F.col("frame_idx"), frames_per_stretch)))
+    warm = min(warm_up_frames if warm_up_frames is not None else 5 * max_age, frames_per_stretch)
+    near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
+    parts = rows.select(*STRETCH).distinct()
+    runs = _guessed(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL)
+    while True:
+        names = _track_names(runs.ends().select(*STRETCH, "__refs", "__fresh"))
+        wrong = cut_lineage(_ranked(runs, names))
+        if wrong.isEmpty():
+            release(wrong)
+            return runs, names
+        runs.again(wrong)
+        runs.settle()
+
+
 class _track_names:  # noqa: N801
     """Numbers of tracks from the ends of stretches.
 
@@ -281,7 +361,7 @@ def index_tracker(frames: DataFrame, detections: DataFrame) -> DataFrame:
     return detections.withColumn("track_id", place.cast("long"))
 
 
-# The two configurable names stand for third-party trackers, in whose place the box tracker works.
+# The two configurable names stand for third-party trackers, in whose place the box tracker works; a log entry says so.
 TRACKERS: dict[str, TrackerFn] = {"bytetrack": iou_tracker, "botsort": iou_tracker, "index": index_tracker}
 
 
@@ -293,6 +373,8 @@ def run_tracker(
     name = tracker_type.lower().strip()
     if name not in known:
         raise ValueError(f"unknown tracker_type: {tracker_type!r}")
+    if known[name] is iou_tracker:
+        logging.getLogger(__name__).info("tracker %s: the box tracker is used in its place", name)
     return known[name](frames, detections)
 
 
@@ -378,10 +460,10 @@ def id_switches(
         stretch.alias("__stretch"),
     ))
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm_up_frames)
-    runs = _settle(
+    runs = _guessed(
         rows, rows.select(*STRETCH).distinct(), near_end, _switch_step(seconds, px, memory_seconds), _SWITCH_DDL,
         _switch_step(seconds, px, memory_seconds, by_streak=True),
     )
-    return runs.filter("not __end").select(
+    return runs.now.filter("not __end").select(
         "stream_id", "frame_idx", "ts", "ord", "from_track_id", "to_track_id", "dx", "dy", "dt"
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.text import density_notes
 from paceline.operators import stretches as S
-from paceline.session import cut_lineage
+from paceline.session import cut_lineage, release
 
 ZONE = ["stream_id", "zone_id"]
-COOLDOWN_STRETCH_SECONDS = 14_400.0
 
 
 def occupancy_snapshots(occupancy: DataFrame) -> DataFrame:
@@ -120,28 +121,116 @@ def density_alert_rows(alerts: DataFrame) -> DataFrame:
     )
 
 
-def _cooled_down(cooldown: float):
-    return lambda last, row: row["ts"] - last["ts"] >= F.lit(float(cooldown))
+def _following(ts: np.ndarray, cooldown: float) -> np.ndarray:
+    """For each of the rising times the place of the first one ``cooldown`` later; the length where there is none."""
+    at = np.searchsorted(ts, ts + cooldown)
+    while True:  # the rule is about differences, which round in another way than sums
+        early = (at > 0) & (ts[np.maximum(at - 1, 0)] - ts >= cooldown)
+        late = (at < len(ts)) & (ts[np.minimum(at, len(ts) - 1)] - ts < cooldown)
+        if not (early | late).any():
+            return at
+        at = at - early + late
+
+
+def _fired_from(ts: np.ndarray, first: int, following: np.ndarray) -> list[int]:
+    places = []
+    while first < len(ts):
+        places.append(first)
+        first = int(following[first])
+    return places
+
+
+def _exits(cooldown: float):
+    """Per stretch: each row that can be the first to fire, and the last one that then does."""
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = np.sort(pdf["ts"].to_numpy())
+        following = _following(ts, cooldown)
+        n = min(len(ts), int(following[0]) + 1)
+        last = np.arange(n)
+        while True:
+            onward = following[last]
+            move = onward < len(ts)
+            if not move.any():
+                break
+            last = np.where(move, onward, last)
+        return pd.DataFrame({
+            "stream_id": pdf["stream_id"].iloc[0], "zone_id": pdf["zone_id"].iloc[0],
+            "__stretch": pdf["__stretch"].iloc[0], "first": ts[:n], "exit": ts[last]})
+
+    return task
+
+
+def _firing(cooldown: float):
+    def task(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("ts", ignore_index=True)
+        places: list[int] = []
+        if len(begin) and len(rows):
+            ts = rows["ts"].to_numpy()
+            first = int(np.searchsorted(ts, begin["first"].iloc[0]))
+            places = _fired_from(ts, first, _following(ts, cooldown))
+        return rows.loc[places, [*ZONE, "ts", "count"]]
+
+    return task
 
 
 def density_cooldown_alerts(
     occupancy: DataFrame, threshold: int = 8, cooldown_seconds: float = 10.0,
-    seconds_per_stretch: float = COOLDOWN_STRETCH_SECONDS,
+    seconds_per_stretch: float = S.SECONDS_PER_STRETCH,
 ) -> DataFrame:
     """The plain rule: above the threshold, and again every ``cooldown_seconds`` while it stays so.
 
     The clock starts at 0, as if an alert had been raised then. While a zone
-    stays crowded each alert sets the time of the next, across any cut, so
-    stretches are long here: a few hundred thousand narrow rows.
+    stays crowded each alert sets the time of the next, across any cut. Only a
+    row within one cooldown of a stretch's start can be the first to fire in it,
+    so each stretch is summed up by a small table: first to fire, last to fire.
+    These tables are followed from the zone's first row in steps that double, so
+    a zone that never empties takes as many rounds as its number of stretches has
+    binary digits.
     """
     crowded = occupancy.filter(
         (F.col("count") > F.lit(int(threshold))) & (F.col("ts") >= F.lit(float(cooldown_seconds)))
-    )
-    fired = S.accepted_rows(
-        crowded, ZONE, ["ts"], ["count"], S.by_seconds(F.col("ts"), seconds_per_stretch),
-        _cooled_down(cooldown_seconds),
-    )
-    return fired.select(
+    ).select(*ZONE, "ts", "count")
+    if cooldown_seconds > 0:
+        crowded = _every(crowded, float(cooldown_seconds), max(float(seconds_per_stretch), float(cooldown_seconds)))
+    return crowded.select(
         F.col("ts").alias("timestamp"), "stream_id", "zone_id", F.col("count").alias("density_count"),
         F.lit(int(threshold)).alias("threshold"),
     )
+
+
+def _every(crowded: DataFrame, cooldown: float, size: float) -> DataFrame:
+    part = [*ZONE, "__stretch"]
+    rows = cut_lineage(crowded.withColumn("__stretch", S.by_seconds(F.col("ts"), size)))
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*part, "ts", "count"))
+    names = types.split(", ")
+    nodes = cut_lineage(rows.groupBy(*part).applyInPandas(
+        _exits(cooldown), ", ".join([*names[:3], "first double", "exit double"])))
+    # a stretch is as long as the cooldown at least, so the next alert is in the next stretch with rows or opens the one after it
+    along = Window.partitionBy(*ZONE).orderBy("__stretch")
+    ahead = nodes.groupBy(*part).agg(F.sort_array(F.collect_list("first")).alias("__firsts")).select(
+        *part, F.lead("__stretch").over(along).alias("__next"), F.lead("__firsts").over(along).alias("__next_firsts"),
+        F.lead("__stretch", 2).over(along).alias("__then"), F.lead(F.col("__firsts")[0], 2).over(along).alias("__then_first"),
+        F.row_number().over(along).alias("__nth"))
+    fits = F.filter("__next_firsts", lambda t: t - F.col("exit") >= F.lit(cooldown))
+    found = F.size(fits) > 0
+    steps = nodes.join(ahead, part).select(
+        *part, "first", F.when(found, F.col("__next")).otherwise(F.col("__then")).alias("to_stretch"),
+        F.when(found, F.get(fits, F.lit(0))).otherwise(F.col("__then_first")).alias("to_first"), "__nth")
+    jump = cut_lineage(steps.filter("to_stretch is not null").drop("__nth"))
+    fired = cut_lineage(steps.filter("__nth = 1").groupBy(*part).agg(F.min("first").alias("first")))
+    release(nodes)
+    while not jump.isEmpty():
+        onward = fired.join(jump, [*part, "first"]).select(
+            *ZONE, F.col("to_stretch").alias("__stretch"), F.col("to_first").alias("first"))
+        more = cut_lineage(fired.unionByName(onward).distinct())
+        second = jump.select(
+            *ZONE, F.col("__stretch").alias("to_stretch"), F.col("first").alias("to_first"),
+            F.col("to_stretch").alias("__far"), F.col("to_first").alias("__far_first"))
+        doubled = cut_lineage(jump.join(second, [*ZONE, "to_stretch", "to_first"]).select(
+            *part, "first", F.col("__far").alias("to_stretch"), F.col("__far_first").alias("to_first")))
+        release(fired, jump)
+        fired, jump = more, doubled
+    release(jump)
+    return rows.groupBy(*part).cogroup(fired.groupBy(*part)).applyInPandas(
+        _firing(cooldown), ", ".join([*names[:2], *names[3:]]))

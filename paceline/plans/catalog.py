@@ -19,6 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 W = I.ACCESS_WINDOW
 BASE = "/evidence"
+# Stretches far shorter than the defaults, so that results cross many cuts also on small tables.
+FRAMES, SECONDS = 50, 20.0
+TRACKER = dict(frames_per_stretch=100, warm_up_frames=60)
 RULE = dict(threshold=2, dwell_seconds=1.0, cooldown_seconds=5.0)
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -44,7 +47,7 @@ def points(s, d):
 
 
 def crossings(s, d):
-    return tripwire.crossings_of(points(s, d), I.tripwires(s))
+    return tripwire.crossings_of(points(s, d), I.tripwires(s), frames_per_stretch=FRAMES)
 
 
 def records(s, d):
@@ -52,11 +55,11 @@ def records(s, d):
 
 
 def decisions(s, d):
-    return access.access_decisions(records(s, d), I.scans(s, d), W)
+    return access.access_decisions(records(s, d), I.scans(s, d), W, seconds_per_stretch=SECONDS)
 
 
 def violations(s, d):
-    return access.access_violations(records(s, d), I.scans(s, d), W)
+    return access.access_violations(records(s, d), I.scans(s, d), W, seconds_per_stretch=SECONDS)
 
 
 def violation_log(s, d):
@@ -72,7 +75,7 @@ def ruled(s, d):
 
 
 def alerts(s, d):
-    return density.density_alerts(ruled(s, d))
+    return density.density_alerts(ruled(s, d), SECONDS)
 
 
 def alert_log(s, d):
@@ -371,7 +374,7 @@ def iou(s, d):
 
 @query
 def centroid_distance(s, d):
-    m = tripwire.prev_centroid(points(s, d)).filter("prev is not null")
+    m = tripwire.prev_centroid(points(s, d), FRAMES).filter("prev is not null")
     return m.select("stream_id", "frame_idx", "track_id",
                     F.round(G.centroid_distance(F.col("prev.cx"), F.col("prev.cy"), F.col("cx"), F.col("cy")), 6).alias("dist"),
                     G.centroid_distance_sq(F.col("prev.cx"), F.col("prev.cy"), F.col("cx"), F.col("cy")).alias("dist_sq"))
@@ -394,13 +397,13 @@ def zone_membership(s, d):
 
 @query
 def crossing_candidates(s, d):
-    return tripwire.crossing_candidates(tripwire.prev_centroid(points(s, d)), I.tripwires(s)).select(*CROSSING_COLUMNS)
+    return tripwire.crossing_candidates(tripwire.prev_centroid(points(s, d), FRAMES), I.tripwires(s)).select(*CROSSING_COLUMNS)
 
 
 @query
 def crossing_candidates_clipped(s, d):
     return tripwire.crossing_candidates(
-        tripwire.prev_centroid(points(s, d)), I.tripwires(s), clip_to_segment=True).select(*CROSSING_COLUMNS)
+        tripwire.prev_centroid(points(s, d), FRAMES), I.tripwires(s), clip_to_segment=True).select(*CROSSING_COLUMNS)
 
 
 @query
@@ -411,7 +414,7 @@ def scan_window_lookup(s, d):
 
 @query
 def nearest_scan(s, d):
-    return access.nearest_scan(records(s, d), scans.dedup_scans(I.scans(s, d)), W).select(
+    return access.nearest_scan(records(s, d), scans.dedup_scans(I.scans(s, d)), W, SECONDS).select(
         "stream_id", "zone_id", "track_id", "ts", "scan_ts", "scan_identity")
 
 
@@ -425,7 +428,7 @@ def occupancy_asof(s, d):
     placed = crossings(s, d).withColumn("zone_id", F.lit("z_rect"))
     # counted at times of its own, before, at or after a frame
     shifted = counts(s, d).withColumn("ts", F.col("ts") + F.expr("cast(frame_idx % 3 - 1 as double)") * F.lit(0.3))
-    return access.occupancy_asof(placed, shifted).select(
+    return access.occupancy_asof(placed, shifted, SECONDS).select(
         "stream_id", "tripwire_id", "track_id", "ts", "occupancy_at_crossing")
 
 
@@ -450,7 +453,7 @@ def evidence_window(s, d):
 
 @query
 def evidence_manifest(s, d):
-    return evidence.evidence_manifest(_log_alerts(s, d), I.frames(s, d), BASE, 2.0, 1.0, fps=2.0)
+    return evidence.evidence_manifest(_log_alerts(s, d), I.frames(s, d), BASE, 2.0, 1.0, fps=2.0, seconds_per_stretch=SECONDS)
 
 
 @query
@@ -458,13 +461,13 @@ def clip_join(s, d):
     log = violation_log(s, d)
     half = log.select(
         F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + UNKNOWN).alias("id"), "timestamp", "stream_id")
-    manifest = evidence.evidence_manifest(half, I.frames(s, d), BASE, 2.0, 1.0, fps=2.0)
+    manifest = evidence.evidence_manifest(half, I.frames(s, d), BASE, 2.0, 1.0, fps=2.0, seconds_per_stretch=SECONDS)
     return evidence.clip_join(log, manifest).select("id", "kind", "n_frames", "complete", "clip_path", "clip_url", "clip_backend")
 
 
 @query
 def id_switch_pairs(s, d):
-    return tracking.id_switch_pairs(I.tracks(s, d))
+    return tracking.id_switch_pairs(I.tracks(s, d), frames_per_stretch=FRAMES)
 
 
 # ---- aggregations
@@ -525,7 +528,7 @@ def scan_count_by_zone(s, d):
 
 @query
 def scan_count_near(s, d):
-    return scans.scan_count_near(records(s, d), scans.dedup_scans(I.scans(s, d)), 1.0)
+    return scans.scan_count_near(records(s, d), scans.dedup_scans(I.scans(s, d)), 1.0, SECONDS)
 
 
 @query
@@ -536,13 +539,13 @@ def detection_quality(s, d):
 @query
 def overall_quality(s, d):
     m = matches(s, d)
-    return quality.overall_quality(quality.detection_quality(m, I.truth(s, d)), quality.gt_id_switches(m))
+    return quality.overall_quality(quality.detection_quality(m, I.truth(s, d)), quality.gt_id_switches(m, FRAMES))
 
 
 @query
 def id_switch_rate(s, d):
     return quality.id_switch_rate(
-        quality.gt_id_switches(matches(s, d)), I.frames(s, d).withColumnRenamed("stream_id", "scenario"))
+        quality.gt_id_switches(matches(s, d), FRAMES), I.frames(s, d).withColumnRenamed("stream_id", "scenario"))
 
 
 def _by_person(s, d):
@@ -552,8 +555,8 @@ def _by_person(s, d):
 
 def _true_decisions(s, d):
     ideal = points(s, d).withColumn("track_id", F.col("gt_id"))
-    found = access.to_crossing_records(tripwire.crossings_of(ideal, I.tripwires(s)))
-    return access.access_decisions(found, I.scans(s, d), W).withColumnRenamed("stream_id", "scenario").withColumn(
+    found = access.to_crossing_records(tripwire.crossings_of(ideal, I.tripwires(s), frames_per_stretch=FRAMES))
+    return access.access_decisions(found, I.scans(s, d), W, seconds_per_stretch=SECONDS).withColumnRenamed("stream_id", "scenario").withColumn(
         "gt_id", F.col("track_id"))
 
 
@@ -578,20 +581,20 @@ def crossing_totals(s, d):
 
 @query
 def prev_centroid(s, d):
-    return tripwire.prev_centroid(points(s, d)).select(
+    return tripwire.prev_centroid(points(s, d), FRAMES).select(
         "stream_id", "frame_idx", "track_id", F.col("prev.cx").alias("prev_cx"), F.col("prev.cy").alias("prev_cy"))
 
 
 @query
 def centroid_history(s, d):
-    return tracking.centroid_history(I.tracks(s, d)).select(
+    return tracking.centroid_history(I.tracks(s, d), frames_per_stretch=FRAMES).select(
         "stream_id", "frame_idx", "track_id",
         _text(F.col("history"), lambda h: F.concat_ws(":", h["x"], h["y"], h["ts"]), ";").alias("history"))
 
 
 @query
 def carry_embedding(s, d):
-    return tracking.carry_embedding(I.tracks(s, d), "emb_key").select("stream_id", "frame_idx", "track_id", "emb_key")
+    return tracking.carry_embedding(I.tracks(s, d), "emb_key", FRAMES).select("stream_id", "frame_idx", "track_id", "emb_key")
 
 
 @query
@@ -607,18 +610,18 @@ def tailgating(s, d):
 
 @query
 def consumption_ordinal(s, d):
-    near = access.nearest_scan(records(s, d), scans.dedup_scans(I.scans(s, d)), W)
+    near = access.nearest_scan(records(s, d), scans.dedup_scans(I.scans(s, d)), W, SECONDS)
     return access.consumption_ordinal(near).select("stream_id", "zone_id", "track_id", "ts", "ordinal")
 
 
 @query
 def density_runs(s, d):
-    return density.density_runs(ruled(s, d))
+    return density.density_runs(ruled(s, d), SECONDS)
 
 
 @query
 def gt_id_switches(s, d):
-    return quality.gt_id_switches(matches(s, d))
+    return quality.gt_id_switches(matches(s, d), FRAMES)
 
 
 # ---- newest first, latest state
@@ -657,7 +660,7 @@ def latest_frame(s, d):
 def all_crossings(s, d):
     """Two crossing tables that were made apart: of each camera's first wire, and of all further ones."""
     return tripwire.all_crossings(*[
-        tripwire.crossings_of(points(s, d), I.tripwires(s).filter(which)).select(*CROSSING_COLUMNS)
+        tripwire.crossings_of(points(s, d), I.tripwires(s).filter(which), frames_per_stretch=FRAMES).select(*CROSSING_COLUMNS)
         for which in ("tw_ord = 0", "tw_ord <> 0")])
 
 
@@ -678,12 +681,12 @@ def surviving_track_ids(s, d):
 
 @query
 def id_switches(s, d):
-    return camera_state.id_switches(I.tracks(s, d))
+    return camera_state.id_switches(I.tracks(s, d), **TRACKER)
 
 
 @query
 def iou_tracker(s, d):
-    return camera_state.iou_tracker(I.frames(s, d), I.detections(s, d))
+    return camera_state.iou_tracker(I.frames(s, d), I.detections(s, d), **TRACKER)
 
 
 @query
@@ -698,7 +701,7 @@ def density_alerts(s, d):
 
 @query
 def density_cooldown_alerts(s, d):
-    return density.density_cooldown_alerts(counts(s, d), 2, 10.0)
+    return density.density_cooldown_alerts(counts(s, d), 2, 10.0, 2 * SECONDS)
 
 
 @query
@@ -719,7 +722,7 @@ def access_with_occupancy(s, d):
     placed = records(s, d)
     wire = F.concat(F.when(F.col("zone_id") == "z_rect", F.lit("tw_")).otherwise(F.lit("diag_")), F.col("stream_id"))
     per_wire = counts(s, d).select("stream_id", wire.alias("zone_id"), "ts", "count")
-    return access.access_decisions(placed, I.scans(s, d), W, occupancy=per_wire).select(
+    return access.access_decisions(placed, I.scans(s, d), W, seconds_per_stretch=SECONDS, occupancy=per_wire).select(
         "stream_id", "zone_id", "track_id", "ts", "kind", "occupancy_at_crossing")
 
 
@@ -733,7 +736,7 @@ def late_scan_reevaluation(s, d):
 @query
 def reset_density_zone(s, d):
     marks = F.expr("frame_idx % 97 = 50 and zone_id = 'z_rect'")
-    return density.density_alerts(ruled(s, d).withColumn("reset", marks))
+    return density.density_alerts(ruled(s, d).withColumn("reset", marks), SECONDS)
 
 
 def _staged(s, d):

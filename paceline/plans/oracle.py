@@ -250,6 +250,45 @@ PARTS: dict[str, str] = {
     **_alert_parts("", "occ"),
     **_alert_parts("reset_", "occ", "frame_idx % 97 = 50 AND zone_id = 'z_rect'"),
     "alog": "SELECT row_number() OVER (ORDER BY timestamp, stream_id, zone_id) AS id, * FROM alerts",
+    # the tracker, one box at a time: live tracks with the frame in which each was last seen
+    "numbered_frames": "SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx) AS fn FROM frames",
+    "box_steps": """SELECT f.stream_id, f.fn, f.frame_idx, f.ts, t.det_ord, t.det_ord - 1 AS det_id, t.x1, t.y1, t.x2, t.y2, t.conf, t.cls,
+        row_number() OVER (PARTITION BY f.stream_id ORDER BY f.frame_idx, t.det_ord) AS rn
+        FROM numbered_frames f LEFT JOIN tracks t USING (stream_id, frame_idx)""",
+    "box_walk": """SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS rn,
+          CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, fn BIGINT)[]) AS live,
+          CAST(0 AS BIGINT) AS made, CAST(NULL AS BIGINT) AS got FROM frames
+        UNION ALL
+        SELECT stream_id, rn, CASE WHEN x1 IS NULL THEN live
+            WHEN pick IS NULL THEN list_append(live, {'id': made + 1, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'fn': fn})
+            ELSE list_transform(live, lambda t: CASE WHEN t.id = pick
+              THEN {'id': pick, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'fn': fn} ELSE t END) END,
+          CASE WHEN x1 IS NOT NULL AND pick IS NULL THEN made + 1 ELSE made END,
+          CASE WHEN x1 IS NOT NULL THEN coalesce(pick, made + 1) END
+        FROM (SELECT q.*, list_sort(list_filter(list_transform(list_filter(q.live, lambda t: t.fn < q.fn), lambda t: {
+              'o': -(greatest(0e0, least(t.x2, q.x2) - greatest(t.x1, q.x1)) * greatest(0e0, least(t.y2, q.y2) - greatest(t.y1, q.y1)))
+                / ((t.x2 - t.x1) * (t.y2 - t.y1) + (q.x2 - q.x1) * (q.y2 - q.y1)
+                   - greatest(0e0, least(t.x2, q.x2) - greatest(t.x1, q.x1)) * greatest(0e0, least(t.y2, q.y2) - greatest(t.y1, q.y1)) + 1e-6),
+              'id': t.id}), lambda c: c.o < -2e-1))[1].id AS pick
+          FROM (SELECT s.*, w.made, list_filter(w.live, lambda t: s.fn - t.fn <= 30) AS live
+            FROM box_walk w JOIN box_steps s ON s.stream_id = w.stream_id AND s.rn = w.rn + 1) q)""",
+    # the id-switch detector, one person at a time: all of a frame look for a switch, then all are entered
+    "switch_steps": """SELECT stream_id, frame_idx, ts, track_ord, track_id, phase, (x1 + x2) / 2e0 AS x, (y1 + y2) / 2e0 AS y,
+        row_number() OVER (PARTITION BY stream_id ORDER BY frame_idx, phase, track_ord) AS rn,
+        phase = 1 AND track_ord = max(track_ord) OVER (PARTITION BY stream_id, frame_idx) AS closing
+        FROM tracks, (VALUES (0), (1)) p(phase)""",
+    "switch_walk": """SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS rn,
+          CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, since DOUBLE)[]) AS slots,
+          CAST(NULL AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, since DOUBLE)) AS pick FROM tracks
+        UNION ALL
+        SELECT stream_id, rn, CASE WHEN closing THEN list_filter(later, lambda t: ts - t.since <= 5e0) ELSE later END, pick
+        FROM (SELECT *, CASE WHEN phase = 0 THEN list_filter(slots, lambda t: pick IS NULL OR t.id <> pick.id)
+              WHEN len(list_filter(slots, lambda t: t.id = track_id)) > 0
+                THEN list_transform(slots, lambda t: CASE WHEN t.id = track_id THEN {'id': track_id, 'x': x, 'y': y, 'since': ts} ELSE t END)
+              ELSE list_append(slots, {'id': track_id, 'x': x, 'y': y, 'since': ts}) END AS later
+          FROM (SELECT s.*, w.slots, CASE WHEN s.phase = 0 THEN list_filter(w.slots, lambda t: t.id <> s.track_id AND s.ts - t.since <= 2e0
+                AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= 16e2)[1] END AS pick
+            FROM switch_walk w JOIN switch_steps s ON s.stream_id = w.stream_id AND s.rn = w.rn + 1))""",
     "crowded": "SELECT *, row_number() OVER (PARTITION BY stream_id, zone_id ORDER BY ts) AS rn FROM occ WHERE count > 2",
     "cooled": """SELECT stream_id, zone_id, CAST(0 AS BIGINT) AS rn, 0e0 AS lts, false AS fired FROM zone_ids
         UNION ALL SELECT c.stream_id, c.zone_id, c.rn, CASE WHEN c.ts - w.lts >= 1e1 THEN c.ts ELSE w.lts END,
@@ -532,6 +571,11 @@ BODIES: dict[str, str] = {
           AND frame_idx > 25 THEN 104 ELSE track_id END AS track_id FROM tracks)
         SELECT stream_id, track_id FROM renamed WHERE frame_idx <= 19
         INTERSECT SELECT stream_id, track_id FROM renamed WHERE frame_idx >= 30""",
+    "iou_tracker": """SELECT s.stream_id, frame_idx, ts, det_ord, det_id, x1, y1, x2, y2, conf, cls, w.got AS track_id
+        FROM box_steps s JOIN box_walk w USING (stream_id, rn) WHERE w.got IS NOT NULL""",
+    "id_switches": """SELECT s.stream_id, frame_idx, ts, row_number() OVER (PARTITION BY s.stream_id, frame_idx ORDER BY rn) - 1 AS ord,
+        w.pick.id AS from_track_id, track_id AS to_track_id, s.x - w.pick.x AS dx, s.y - w.pick.y AS dy, ts - w.pick.since AS dt
+        FROM switch_steps s JOIN switch_walk w USING (stream_id, rn) WHERE w.pick IS NOT NULL""",
     "tripwire_crossings": f"SELECT {_CROSS} FROM crossings",
     "density_alerts": "SELECT * FROM alerts",
     "density_cooldown_alerts": """SELECT c.ts AS timestamp, c.stream_id, c.zone_id, c.count AS density_count, 2 AS threshold

@@ -12,8 +12,8 @@ from paceline.plans import catalog, oracle
 SF = "/root/testdata/sf0.001"
 # the corpus operators have tests of their own
 QUERIES, SQL = {n: q for n, q in entry.queries().items() if n in catalog.QUERIES}, oracle.all_sql()
-# state machines over every row of a camera, tested against one-pass models
-WITHOUT_SQL = {"id_switches", "iou_tracker"}
+# none is left
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")

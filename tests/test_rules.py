@@ -232,3 +232,72 @@ def test_occupancy_keeps_low_confidence_and_empty_zones(spark):
     assert [(r["count"], r.track_ids) for r in got] == [(2, [1, 2]), (0, [])]
     cams = spark.createDataFrame([("c", 0.25)], "stream_id string, display_conf double")
     assert tracking.display_tracks(tracks, cams).count() == 2
+
+
+def test_large_order_numbers(spark):
+    """Order numbers far above any packing: the row before is the one of the frame before."""
+    rows = [("c", 7, 1, 3_145_728, 1.0, 10.0), ("c", 7, 2, 5_000_000_000, 2.0, 20.0), ("c", 7, 30, 0, 30.0, 30.0)]
+    df = spark.createDataFrame(rows, "stream_id string, track_id long, frame_idx long, track_ord long, ts double, v double")
+    keys, order = ["stream_id", "track_id"], ["frame_idx", "track_ord"]
+    for size in (10, 10_000):
+        cut = stretches.by_frames(F.col("frame_idx"), size)
+        out = stretches.previous_row(df, keys, order, ["v"], cut, "prev")
+        out = stretches.last_known(out, keys, order, F.when(F.col("frame_idx") < 3, F.col("v")), cut, "known").orderBy("frame_idx")
+        assert [(r.prev and r.prev.v, r.known) for r in out.collect()] == [(None, 10.0), (10.0, 20.0), (20.0, 20.0)]
+    assert tracking.latest_track_state(df).first().v == 30.0
+
+
+def test_people_who_stay_take_few_rounds(spark):
+    """Two who never leave, the later one listed first: one round, whatever the number of stretches."""
+    n, size = 64 * 20, 20
+    frames = spark.range(n).selectExpr("'c' as stream_id", "id as frame_idx", "id * 0.5D as ts")
+    dets = []
+    for f in range(n):
+        people = [(0.0, 0.0)] if f < 5 else [(200.0, 0.0), (0.0, 0.0)]
+        dets += [("c", f, k, k, x, y, x + 40.0, y + 80.0, 0.9, 0) for k, (x, y) in enumerate(people)]
+    df = spark.createDataFrame(dets, "stream_id string, frame_idx long, det_ord long, det_id long, x1 double, y1 double, "
+                                     "x2 double, y2 double, conf double, cls int")
+    runs, _ = camera_state._tracked(frames, df, 5, 0.2, size, 12)
+    assert runs.rounds <= 2
+    got = camera_state.iou_tracker(frames, df, 5, 0.2, size, 12)
+    assert {(r.x1, r.track_id) for r in got.select("x1", "track_id").distinct().collect()} == {(0.0, 1), (200.0, 2)}
+
+
+def test_order_decides_equal_overlaps_across_a_cut(spark):
+    """Two tracks in mirror image and one box between them just after a cut: the older one gets it."""
+    frames_df = spark.range(12).selectExpr("'c' as stream_id", "id as frame_idx", "id * 0.5D as ts")
+    left, right, middle = (0.0, 0.0, 40.0, 40.0), (20.0, 0.0, 60.0, 40.0), (10.0, 0.0, 50.0, 40.0)
+    for first, second in ((left, right), (right, left)):
+        boxes_of = {0: [first], 1: [first, second], 2: [second, first], 3: [first, second], 4: [middle], 5: [middle], 6: [left, right]}
+        rows = [("c", f, k, k, *b, 0.9, 0) for f, bs in boxes_of.items() for k, b in enumerate(bs)]
+        df = spark.createDataFrame(rows, "stream_id string, frame_idx long, det_ord long, det_id long, x1 double, y1 double, "
+                                         "x2 double, y2 double, conf double, cls int")
+        tracker, truth = camera_state.BoxTracker(30, 0.2, fresh=1), {}
+        for f in range(12):
+            for k, ref in enumerate(tracker.frame(boxes_of.get(f, []))):
+                truth[f, k] = ref
+        for size in (100, 4, 2):
+            got = camera_state.iou_tracker(frames_df, df, 30, 0.2, size, 2).collect()
+            assert {(r.frame_idx, r.det_ord): r.track_id for r in got} == truth
+
+
+def test_zone_that_never_empties(spark):
+    """64 stretches crowded throughout: alerts as in one pass, written tables by the logarithm of the stretches."""
+    rng = random.Random(5)
+    times = sorted(rng.uniform(0, 64 * 20) for _ in range(4000))
+    df = spark.createDataFrame([("c", "z", t, 9) for t in times], "stream_id string, zone_id string, ts double, count long")
+    truth, last = [], 0.0
+    for t in times:
+        if t - last >= 7.3:
+            truth.append(t)
+            last = t
+    made = []
+    kept = density.cut_lineage
+    density.cut_lineage = lambda d: made.append(1) or kept(d)
+    try:
+        got = density.density_cooldown_alerts(df, 8, 7.3, 20.0).orderBy("timestamp").collect()
+    finally:
+        density.cut_lineage = kept
+    assert [r.timestamp for r in got] == truth
+    assert len(made) <= 4 + 2 * 8
+    assert density.density_cooldown_alerts(df, 8, 0.0, 20.0).count() == len(times)
