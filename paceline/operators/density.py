@@ -59,15 +59,30 @@ def _above_rows(ruled: DataFrame, stretch: Column) -> DataFrame:
         rows = S.last_known(rows, ZONE, order, F.when(reset, F.col("ts")), stretch, "epoch").withColumn("epoch", F.coalesce("epoch", never))
     else:
         rows = rows.withColumn("epoch", never)
-    rows = S.previous_row(cut_lineage(rows), ZONE, order, ["__above", "ts"], stretch, "__prev").filter("__above")
-    # from here on only crowded rows are left; they are looked at several times
-    rows = cut_lineage(rows)
-    starts = F.when(~F.coalesce(F.col("__prev.__above"), F.lit(False)), F.col("ts"))
-    rows = S.last_known(rows, ZONE, ["ts"], starts, stretch, "run_start")
+    # one pass in each stretch, and one small table of what it hands on: its last row, and the run that is open there
+    part = [*ZONE, "__stretch"]
+    inside = Window.partitionBy(*part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__stretch", stretch).withColumn("__prev", F.lag(F.struct("__above", "ts")).over(inside))
+    rows = cut_lineage(
+        rows.withColumn("__start", F.last(F.when(F.col("__above") & ~F.col("__prev.__above"), F.col("ts")), True).over(upto))
+        .withColumn("__broken", F.max(~F.col("__above")).over(upto)).withColumn("__first_ts", F.first("ts").over(upto)))
+    ends = rows.groupBy(*part).agg(
+        F.max_by(F.struct("__above", "ts", "__start", "__broken", "__first_ts"), S.at(order)).alias("e")).select(*part, "e.*")
+    along = Window.partitionBy(*ZONE).orderBy("__stretch")
+    handed = ends.withColumn("__before", F.lag(F.struct("__above", "ts")).over(along)).withColumn(
+        "__opened", F.when(F.col("__broken"), F.struct(F.when(F.col("__above"), F.col("__start")).alias("at")))
+        .when(~F.coalesce(F.col("__before.__above"), F.lit(False)), F.struct(F.coalesce("__start", "__first_ts").alias("at"))))
+    carried = handed.select(*part, "__before", F.last("__opened", True).over(
+        along.rowsBetween(Window.unboundedPreceding, -1)).alias("__open"))
+    rows = rows.filter("__above").join(carried, part)
+    goes_on = F.coalesce(F.col("__before.__above"), F.lit(False))
+    rows = rows.withColumn("__prev", F.coalesce("__prev", "__before")).withColumn(
+        "run_start", F.coalesce("__start", F.when(goes_on, F.col("__open.at")).otherwise(F.col("__first_ts"))))
     return (
         rows.withColumn("prev_ts", F.when(F.col("ts") > F.col("run_start"), F.col("__prev.ts")))
         .withColumn("dwell_seconds", F.col("ts") - F.col("run_start"))
-        .drop("__above", "__prev", "__turn")
+        .drop("__above", "__prev", "__turn", "__start", "__broken", "__first_ts", "__before", "__open", "__stretch")
     )
 
 

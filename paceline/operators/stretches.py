@@ -130,26 +130,31 @@ def running_max(
 
 
 def trailing_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, length: int,
-    stretch: Column, into: str, rows_per_chunk: int = 5_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, length: int, stretch: Column, into: str,
 ) -> DataFrame:
     """Add ``into``: array of ``item`` over the last ``length`` rows up to each row, oldest first.
 
-    Rows are numbered along the key, cut into chunks of equal length, and the
-    last ``length - 1`` rows of a chunk are repeated in front of the next one.
+    Rows are shuffled once. The last ``length - 1`` rows of each stretch make a
+    small table, from which a stretch gets what it needs of those before it.
     """
-    numbered = running_number(df, keys, order, stretch, "__s_rn").withColumn("__s_item", item)
-    chunk = F.floor(F.col("__s_rn") / F.lit(rows_per_chunk)).cast("long")
-    ahead = F.floor((F.col("__s_rn") + F.lit(length - 1)) / F.lit(rows_per_chunk)).cast("long")
-    copies = numbered.withColumn("__s_home", chunk).withColumn("__s_chunk", F.explode(F.sequence(chunk, ahead)))
-    frame = (
-        Window.partitionBy(*keys, "__s_chunk").orderBy("__s_rn").rowsBetween(-(length - 1), Window.currentRow)
-    )
-    return (
-        copies.withColumn(into, F.collect_list("__s_item").over(frame))
-        .filter(F.col("__s_chunk") == F.col("__s_home"))
-        .drop("__s_rn", "__s_item", "__s_home", "__s_chunk")
-    )
+    cut = _cut(df, stretch).withColumn("__s_item", item)
+    part = [*keys, "__s_stretch"]
+    inside = Window.partitionBy(*part).orderBy(*order)
+    if length < 2:
+        return cut.withColumn(into, F.array("__s_item")).drop("__s_stretch", "__s_item")
+    local = cut.withColumn(into, F.collect_list("__s_item").over(inside.rowsBetween(-(length - 1), Window.currentRow)))
+    back = F.row_number().over(Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order]))
+    tails = cut.select(*part, *order, "__s_item").withColumn("__s_back", back).filter(F.col("__s_back") < length)
+    along = Window.partitionBy(*keys).orderBy("__s_stretch", *order)
+    before = tails.withColumn(
+        "__s_before", F.collect_list("__s_item").over(along.rowsBetween(-(length - 1), -1))
+    ).withColumn("__s_from", F.lag("__s_stretch").over(along))
+    carried = before.filter("__s_from < __s_stretch").select(*part, "__s_before")
+    joined = local.join(carried, part, "left")
+    both = F.when(F.col("__s_before").isNull(), F.col(into)).otherwise(F.concat("__s_before", into))
+    last = F.slice(both, F.greatest(F.lit(1), F.size(both) - F.lit(length - 1)), F.lit(length))
+    return joined.withColumn(into, F.when(F.size(into) < length, last).otherwise(F.col(into))).drop(
+        "__s_stretch", "__s_item", "__s_before")
 
 
 Accept = Callable[[Column, Column], Column]

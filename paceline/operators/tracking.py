@@ -57,14 +57,12 @@ def tracks_from_matrix(matrices: DataFrame) -> DataFrame:
 
 def centroid_history(
     tracks: DataFrame, length: int = HISTORY, frames_per_stretch: int = S.FRAMES_PER_STRETCH,
-    rows_per_chunk: int = 5_000,
 ) -> DataFrame:
     """Add ``history``: the last ``length`` centres ``(x, y, ts)`` of the track, oldest first."""
     centre = G.geometric_center(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     item = F.struct(centre["x"].alias("x"), centre["y"].alias("y"), F.col("ts"))
     return S.trailing_rows(
         tracks, TRACK, TRACK_ORDER, item, length, S.by_frames(F.col("frame_idx"), frames_per_stretch), "history",
-        rows_per_chunk,
     )
 
 

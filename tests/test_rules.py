@@ -215,7 +215,7 @@ def test_cuts_do_not_matter(spark):
         out = stretches.last_known(out, keys, order, F.col("e"), cut, "known")
         out = stretches.running_number(out, keys, order, cut, "n")
         out = stretches.running_max(out, keys, order, F.col("v"), cut, "top")
-        out = stretches.trailing_rows(out, keys, order, F.col("v"), 5, cut, "tail", rows_per_chunk=size)
+        out = stretches.trailing_rows(out, keys, order, F.col("v"), 5, cut, "tail")
         return sorted(map(str, out.select(*keys, "frame_idx", "prev", "known", "n", "top", "tail").collect()))
     whole = all_of(10_000)
     assert all_of(50) == whole and all_of(7) == whole
