@@ -24,9 +24,18 @@ PIECES_PER_GROUP = 4_096
 
 #: Words whose tokens are remembered in a Python worker; when there are more, the older half goes.
 REMEMBERED = 600_000
-#: A word of plain Latin letters, and one punctuation mark or none: one or two units for the tokenizer.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ž]+[.,]?")
+#: A word of plain Latin letters (such that have one lower-case letter each), with ASCII punctuation behind or none.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ž]+)([!-/:-@\[-`{-~]*)")
 _TOGETHER = 256
+#: Texts of these characters alone read the same in lower case, and with a full stop or comma set off from letters.
+_COMMON = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-įı-ž]*")
+_STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z0-9à-öø-įı-ž][.,])")
+
+
+def _words(text: str) -> list[str]:
+    if "<|" not in text and _COMMON.fullmatch(text):  # else it may hold a special token, which has its own case
+        text = _STOP.sub(r" \g<0>", text.lower())
+    return text.replace("\n", " ").split(" ")
 
 
 class WordTokens:
@@ -55,15 +64,14 @@ class WordTokens:
             self.new[word] = np.array(found.ids, "<u4").tobytes()
 
     def _together(self, words: list[str]) -> None:
-        """Plain words in one go: the marks at word ends tell where each one's ids stop."""
+        """Words of plain letters in one go: the marks at word ends tell where each one's ids stop."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        units = np.cumsum([1 if word[-1] not in ".," else 2 for word in words])
-        if len(stops) != units[-1]:  # not such words after all
+        if len(stops) != len(words):  # not such words after all
             self._one_by_one(words)
             return
         start, raw = 0, ids.tobytes()
-        for word, stop in zip(words, (4 * stops[units - 1]).tolist(), strict=True):
+        for word, stop in zip(words, (4 * stops).tolist(), strict=True):
             self.new[word] = raw[start:stop]
             start = stop
 
@@ -77,18 +85,30 @@ class WordTokens:
         for word in [w for w in unknown if w in self.old]:
             self.new[word] = self.old[word]
             unknown.discard(word)
-        plain = [w for w in unknown if self.ends is not None and _PLAIN.fullmatch(w)]
-        for at in range(0, len(plain), _TOGETHER):
-            self._together(plain[at:at + _TOGETHER])
-        rest = list(unknown.difference(plain))
+        # a plain word's ids are those of its letters in lower case, then those of the punctuation behind them
+        plain, bases, tails, rest = [], [], [], []
+        for word in unknown:
+            parts = self.ends is not None and _PLAIN.fullmatch(word)
+            if parts:
+                plain.append(word)
+                bases.append(parts[1].lower())
+                tails.append(parts[2])
+            else:
+                rest.append(word)
+        needed = list(set(bases).difference(self.new))
+        for at in range(0, len(needed), _TOGETHER):
+            self._together(needed[at:at + _TOGETHER])
+        rest += set(tails).difference(self.new, rest)
         if rest:
             self._one_by_one(rest)
+        new = self.new
+        new.update(zip(plain, [new[base] + new[tail] for base, tail in zip(bases, tails, strict=True)], strict=True))
 
     def encode(self, texts: list[str], block: int = 1 << 21) -> Iterator[bytes]:
         """Ids of each text, in order; texts are split about ``block`` characters at a time."""
         held, chars = [], 0
         for text in texts:
-            held.append(text.replace("\n", " ").split(" "))
+            held.append(_words(text))
             chars += len(text)
             if chars >= block:
                 yield from self._flush(held)
