@@ -5,11 +5,16 @@ state until the watermark has passed it, and is then worked on. Every key's
 state is bounded by what its rule remembers plus the rows still waiting, and a
 key that has been idle for ``idle_seconds`` of event time is forgotten if the
 processor has such a limit.
+
+Every output has a column ``event_time``, named to Spark as its event time: when
+the row could be known. So one form can feed the next in a single query, from
+boxes to tracks, crossings and decisions, or to counts and alerts.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from paceline.functions import geometry as G
 from paceline.functions.text import density_notes
 from paceline.operators.camera_state import BoxTracker, SwitchDetector
+from paceline.operators.zones import zone_membership
 from paceline.streaming import transitions as T
 
 
@@ -45,15 +51,20 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def _due(self, ts: float) -> int:
-        return int((ts + self.hold_seconds) * 1000) + 1
+        """The watermark, in ms, from which on nothing earlier can come."""
+        return math.ceil(round((ts + self.hold_seconds) * 1e6) / 1000)
+
+    def _wake(self, ts: float) -> None:
+        # timers that lie below the watermark expire
+        self.handle.registerTimer(self._due(ts) - 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             kept = pdf[list(self.columns)]
             bodies = [json.dumps(r, default=_plain) for r in kept.to_dict("records")]
             self.waiting.appendList([(float(t), b) for t, b in zip(pdf["ts"], bodies)])
-            for due in {self._due(t) for t in pdf["ts"]}:
-                self.handle.registerTimer(due)
+            # one timer for all: when it expires, it takes every row that is due and sets the next one
+            self._wake(float(pdf["ts"].min()))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,6 +73,8 @@ class InOrder(StatefulProcessor):
         for ts, body in self.waiting.get():
             (ready if self._due(ts) <= now else later).append((ts, body))
         if not ready:
+            if later:
+                self._wake(min(ts for ts, _ in later))
             if self.idle_seconds is not None and not later and self.latest.exists():
                 if self._due(self.latest.get()[0] + self.idle_seconds) <= now:
                     self.memory.clear()
@@ -69,6 +82,7 @@ class InOrder(StatefulProcessor):
             return
         if later:
             self.waiting.put(later)
+            self._wake(min(ts for ts, _ in later))
         else:
             self.waiting.clear()
         rows = sorted((json.loads(b) for _, b in ready), key=lambda r: tuple(r[c] for c in self.order))
@@ -79,13 +93,15 @@ class InOrder(StatefulProcessor):
             out += found
         if self.idle_seconds is not None:
             self.latest.update((rows[-1]["ts"],))
-            self.handle.registerTimer(self._due(rows[-1]["ts"] + self.idle_seconds))
+            self._wake(rows[-1]["ts"] + self.idle_seconds)
         if state is None:
             self.memory.clear()
         else:
             self.memory.update((state,))
         if out:
-            yield pd.DataFrame(out)
+            made = pd.DataFrame(out)
+            at = made["ts" if "ts" in made else "timestamp"] + self.hold_seconds
+            yield made.assign(event_time=pd.to_datetime((at * 1e6).round().astype("int64"), unit="us", utc=True))
 
     def _blocks(self, rows: list[dict]) -> Iterator[tuple[bool, list[dict]]]:
         """Rows between gaps longer than ``idle_seconds``, and whether the key is new by then."""
@@ -112,15 +128,17 @@ def _plain(v):
 
 
 def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    if "event_time" in stream.columns:
+        return stream
     return stream.withColumn("event_time", F.timestamp_micros((F.col("ts") * F.lit(1e6)).cast("long"))).withWatermark(
         "event_time", delay)
 
 
 def _run(stream: DataFrame, keys: list[str], processor: StatefulProcessor, ddl: str, delay: str) -> DataFrame:
-    # a stream that was timed before a join keeps the watermark of all its rows
-    timed = stream if "event_time" in stream.columns else _timed(stream, delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=ddl, outputMode="append", timeMode="EventTime")
+    # a stream that was timed before, by a join or another processor, keeps its watermark
+    return _timed(stream, delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{ddl}, event_time timestamp", outputMode="append",
+        timeMode="EventTime", eventTimeColumnName="event_time")
 
 
 class _Wires(InOrder):
@@ -160,6 +178,25 @@ def stream_tripwire_crossings(
         "direction string, cx double, cy double", delay)
 
 
+def stream_zone_counts(frames: DataFrame, points: DataFrame, zones: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """``zone_counts`` on streams of frames and track points, which carry the time of their frame.
+
+    A frame's counts come out once the watermark has passed it; frames without
+    people count 0 in every zone. The result feeds ``stream_density_alerts`` and
+    ``stream_density_cooldown_alerts``.
+    """
+    timed = _timed(points, delay).select("event_time", "stream_id", "frame_idx", "cx", "cy")
+    none = F.lit(None)
+    people = zone_membership(timed, zones).select(
+        "event_time", "stream_id", "frame_idx", "zone_id", none.cast("double").alias("ts"), F.lit(1).alias("one"))
+    blank = _timed(frames, delay).join(zones.select("stream_id", "zone_id"), "stream_id").select(
+        "event_time", "stream_id", "frame_idx", "zone_id", "ts", none.cast("int").alias("one"))
+    return (
+        blank.unionByName(people).groupBy("event_time", "stream_id", "frame_idx", "zone_id")
+        .agg(F.max("ts").alias("ts"), F.count("one").alias("count")).filter("ts is not null")
+    )
+
+
 class _Crowd(InOrder):
     columns = ("ts", "count", "reset", "threshold", "dwell_required", "cooldown")
     order = ("ts", "turn")
@@ -238,7 +275,7 @@ class _Access(InOrder):
                         latest[float(ts)] = [float(ts), who, int(arrival)]
                 state["scans"] = sorted(latest.values())
                 self.memory.update((json.dumps(state),))
-                self.handle.registerTimer(self._due(float(found["ts"].max()) + 2 * self.window))
+                self._wake(float(found["ts"].max()) + 2 * self.window)
             frames.append(pdf[~is_scan])
         yield from super().handleInputRows(key, iter([f for f in frames if len(f)]), timerValues)
 
@@ -276,11 +313,12 @@ def stream_access_decisions(crossings: DataFrame, scans: DataFrame, window: floa
     scans that come later than ``delay`` allows are too late to count.
     """
     no = lambda kind: F.lit(None).cast(kind)
+    crossings, scans = _timed(crossings, delay), _timed(scans, delay)
     c = crossings.select(
-        "zone_id", "ts", F.lit("crossing").alias("kind"), "stream_id", "tripwire_id", "track_id", "frame_idx", "track_ord",
+        "event_time", "zone_id", "ts", F.lit("crossing").alias("kind"), "stream_id", "tripwire_id", "track_id", "frame_idx", "track_ord",
         "direction", no("string").alias("identity"), F.lit(0).cast("long").alias("arrival"))
     s = scans.select(
-        "zone_id", "ts", F.lit("scan").alias("kind"), no("string").alias("stream_id"), no("string").alias("tripwire_id"),
+        "event_time", "zone_id", "ts", F.lit("scan").alias("kind"), no("string").alias("stream_id"), no("string").alias("tripwire_id"),
         F.lit(0).cast("long").alias("track_id"), F.lit(0).cast("long").alias("frame_idx"), F.lit(0).cast("long").alias("track_ord"),
         no("string").alias("direction"), "identity", "arrival")
     return _run(
@@ -323,10 +361,11 @@ def stream_iou_tracker(
 ) -> DataFrame:
     """``iou_tracker`` on streams of frames and detections, by camera."""
     boxes = ("x1", "y1", "x2", "y2", "conf")
+    frames, detections = _timed(frames, delay), _timed(detections, delay)
     blank = frames.select(
-        "stream_id", "frame_idx", "ts", F.lit(-1).cast("long").alias("det_ord"),
+        "event_time", "stream_id", "frame_idx", "ts", F.lit(-1).cast("long").alias("det_ord"),
         *[F.lit(0.0).alias(c) for c in boxes], F.lit(0).alias("cls"))
-    found = detections.select("stream_id", "frame_idx", "ts", "det_ord", *boxes, "cls")
+    found = detections.select("event_time", "stream_id", "frame_idx", "ts", "det_ord", *boxes, "cls")
     return _run(
         blank.unionByName(found), ["stream_id"], _Boxes(max_age, iou_threshold),
         "stream_id string, frame_idx bigint, ts double, det_ord bigint, x1 double, y1 double, x2 double, y2 double, "
@@ -352,8 +391,8 @@ class _Switches(InOrder):
 def stream_id_switches(tracks: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """``id_switches`` on a stream of tracks, by camera."""
     centre = G.geometric_center(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    rows = tracks.select(
-        "stream_id", "frame_idx", "ts", "track_ord", "track_id", centre["x"].alias("x"), centre["y"].alias("y"))
+    rows = _timed(tracks, delay).select(
+        "event_time", "stream_id", "frame_idx", "ts", "track_ord", "track_id", centre["x"].alias("x"), centre["y"].alias("y"))
     return _run(
         rows, ["stream_id"], _Switches(),
         "stream_id string, frame_idx bigint, ts double, ord bigint, from_track_id bigint, to_track_id bigint, "

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import access, camera_state, density, tripwire, zones
+from paceline.operators import access, alertlog, camera_state, density, tripwire, zones
 from paceline.plans import catalog as C
 from paceline.plans import inputs as I  # noqa: E741
 from paceline.sources import sinks
@@ -121,3 +121,43 @@ def test_counts_stream_from_zones(spark, feed, tmp_path):
     points = C.points(spark, SF).select("stream_id", "track_id", "frame_idx", "ts", "track_ord", "cx", "cy")
     got = run(spark, zones.zone_membership(feed(points, "members", "stream_id"), I.zones(spark)), tmp_path)
     same(got, zones.zone_membership(points, I.zones(spark)), ["stream_id", "frame_idx", "track_id", "zone_id"])
+
+
+def test_boxes_to_decisions_in_one_query(spark, feed, tmp_path):
+    later = lambda df: df.withColumn("ts", F.col("ts") + 10.0)
+    frames, found, scans = later(I.frames(spark, SF)), later(I.detections(spark, SF)), later(I.scans(spark, SF))
+    tracked = P.stream_iou_tracker(feed(frames, "f1", "stream_id"), feed(found, "d1", "stream_id"), delay="60 seconds")
+    points = zones.with_centroid(tracked.withColumn("track_ord", F.col("det_ord")), I.cameras(spark))
+    crossed = P.stream_tripwire_crossings(points, I.tripwires(spark), "60 seconds")
+    records = crossed.withColumn("zone_id", F.col("tripwire_id"))
+    stream = P.stream_access_decisions(records, feed(scans, "s1", "zone_id"), 1.0, "60 seconds")
+    got = run(spark, stream, tmp_path)
+    tracks = camera_state.iou_tracker(frames, found).withColumn("track_ord", F.col("det_ord"))
+    wanted = access.access_decisions(
+        access.to_crossing_records(tripwire.crossings_of(zones.with_centroid(tracks, I.cameras(spark)), I.tripwires(spark))),
+        scans, 1.0)
+    same(got, wanted, ["ts", "zone_id", "track_id", "direction", "kind", "scan_ts", "scan_identity"])
+
+
+def test_boxes_to_alert_log_in_one_query(spark, feed, tmp_path):
+    later = lambda df: df.withColumn("ts", F.col("ts") + 10.0)
+    frames, found = later(I.frames(spark, SF)), later(I.detections(spark, SF))
+    frames_stream = feed(frames, "f2", "stream_id")
+    tracked = P.stream_iou_tracker(frames_stream, feed(found, "d2", "stream_id"), delay="60 seconds")
+    points = zones.with_centroid(tracked, I.cameras(spark))
+    counted = P.stream_zone_counts(frames_stream, points, I.zones(spark), "60 seconds")
+    stream = P.stream_density_alerts(density.camera_rule(counted, I.cameras(spark)), "60 seconds")
+    path = str(tmp_path / "log")
+    write = sinks.numbered_log_sink(path, alertlog.record_density_alerts)
+    def twice(batch, batch_id):  # as if the first try had been lost
+        write(batch, batch_id)
+        write(batch, batch_id)
+    query = sinks.results_sink(stream, twice, str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    log = sinks.read_log(spark, path)
+    tracks = camera_state.iou_tracker(frames, found)
+    wanted = density.density_alerts(density.camera_rule(
+        zones.zone_counts(frames, zones.with_centroid(tracks, I.cameras(spark)), I.zones(spark)), I.cameras(spark)))
+    same(log, wanted, ["timestamp", "stream_id", "zone_id", "density_count", "notes"])
+    assert sorted(r.id for r in log.select("id").collect()) == list(range(1, wanted.count() + 1))
