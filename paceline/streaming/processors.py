@@ -198,9 +198,12 @@ def stream_zone_counts(frames: DataFrame, points: DataFrame, zones: DataFrame, d
 
 
 class _Crowd(InOrder):
-    columns = ("ts", "count", "reset", "threshold", "dwell_required", "cooldown")
+    columns = ("ts", "count", "reset", "turn", "threshold", "dwell_required", "cooldown")
     order = ("ts", "turn")
 
+    def __init__(self, idle_seconds: float | None):
+        self.idle_seconds = idle_seconds
+
     def work(self, key, rows, state):
         out = []
         for r in rows:
@@ -212,16 +215,18 @@ class _Crowd(InOrder):
         return out, state
 
 
-_Crowd.columns = (*_Crowd.columns, "turn")
-
+def stream_density_alerts(
+    ruled: DataFrame, delay: str = "10 seconds", idle_seconds: float | None = None
+) -> DataFrame:
+    """``density_alerts`` on a stream of counts with their rule; rows with ``reset`` clear the zone.
 
-def stream_density_alerts(ruled: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """``density_alerts`` on a stream of counts with their rule; rows with ``reset`` clear the zone."""
+    With ``idle_seconds`` a zone without counts for so long begins anew.
+    """
     rows = ruled if "reset" in ruled.columns else ruled.withColumn("reset", F.lit(False))
     rows = rows.withColumn("reset", F.coalesce("reset", F.lit(False)))
     rows = rows.withColumn("turn", F.when(F.col("reset"), 0).otherwise(1))
     alerts = _run(
-        rows, ["stream_id", "zone_id"], _Crowd(),
+        rows, ["stream_id", "zone_id"], _Crowd(idle_seconds),
         "timestamp double, stream_id string, zone_id string, density_count bigint, threshold int, dwell_seconds double", delay)
     return alerts.withColumn(
         "notes", density_notes(F.col("density_count"), F.col("threshold"), F.col("dwell_seconds")))

@@ -39,6 +39,9 @@ def cross_wires(state: str | None, frame_idx: int, x: float, y: float, wires: li
             memory["counted"][w["id"]] = [frame_idx, x, y]
             out.append((w["id"], "in" if raw == w["direction_in"] else "out"))
     memory["at"] = [x, y]
+    # a count older than its wire's guard decides nothing any more
+    guards = {w["id"]: w["frames"] for w in wires}
+    memory["counted"] = {k: v for k, v in memory["counted"].items() if frame_idx - v[0] < guards.get(k, 0)}
     return json.dumps(memory), out
 
 

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import access, alertlog, camera_state, density, tripwire, zones
+from paceline.operators import access, alertlog, camera_state, density, metrics, tripwire, zones
 from paceline.plans import catalog as C
 from paceline.plans import inputs as I  # noqa: E741
 from paceline.sources import sinks
@@ -161,3 +161,10 @@ def test_boxes_to_alert_log_in_one_query(spark, feed, tmp_path):
         zones.zone_counts(frames, zones.with_centroid(tracks, I.cameras(spark)), I.zones(spark)), I.cameras(spark)))
     same(log, wanted, ["timestamp", "stream_id", "zone_id", "density_count", "notes"])
     assert sorted(r.id for r in log.select("id").collect()) == list(range(1, wanted.count() + 1))
+
+
+def test_stage_failures_on_a_stream(spark, feed, tmp_path):
+    """Splitting frames by failed stage has no state, so failures run to their table on a stream as they are."""
+    staged = C._staged(spark, SF)
+    got = run(spark, metrics.stage_split(feed(staged, "staged", "stream_id"))[1], tmp_path).filter("stream_id <> '~'")
+    same(got, metrics.stage_split(staged)[1], ["stream_id", "frame_idx", "stage", "reason", "dropped"])
