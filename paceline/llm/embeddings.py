@@ -194,32 +194,58 @@ def _connected(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = new, other
 
 
+def _linked(i: np.ndarray, x: np.ndarray, n_i: np.ndarray, j, y, n_j, least: float):
+    """Of two intervals, or of one with itself (``j`` None): row, the row it hangs on, and how many rows it is linked to."""
+    if j is None:
+        mask = x @ x.T >= least
+        np.fill_diagonal(mask, False)
+        links, both = mask @ n_i, i
+        of = _connected(mask | np.eye(len(i), dtype=bool))[0] if mask.any() else np.arange(len(i))
+    else:
+        mask = x @ y.T >= least
+        if not mask.any():
+            return i[:0], i[:0], n_i[:0]
+        links, both, of = np.r_[mask @ n_j, mask.T @ n_i], np.r_[i, j], np.concatenate(_connected(mask))
+    hit = np.flatnonzero(links)
+    return both[hit], both[of[hit]], links[hit]
+
+
 def _compare(dim: int, least: float):
-    def unpack(ids, counts, raw):
-        return (np.array(ids, np.int64), np.array(counts, np.int64),
-                np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim))
+    """Over rows sorted by pair of intervals and side; one pair is held at a time."""
+
+    def work(parts: list[tuple]):
+        side, rep, n, unit = (np.concatenate(c) for c in zip(*parts, strict=True))
+        x = unit.reshape(-1, dim)
+        first = side == 0
+        if first.all():
+            return _linked(rep, x, n, None, None, None, least)
+        return _linked(rep[first], x[first], n[first], rep[~first], x[~first], n[~first], least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out(found):
+            found = [np.concatenate(c) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "links"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                i, n_i, x = unpack(r["ids_a"], r["n_a"], r["units_a"])
-                j, n_j, y = unpack(r["ids_b"], r["n_b"], r["units_b"])
-                mask = x @ y.T >= least
-                same = r["a"] == r["b"]
-                if same:
-                    np.fill_diagonal(mask, False)
-                if not mask.any():
-                    continue
-                left, right = _connected(mask | np.eye(len(i), dtype=bool) if same else mask)
-                both, of = np.r_[i, j], np.r_[left, right]
-                if same:
-                    both, of, links = i, left, mask @ n_j
-                else:
-                    links = np.r_[mask @ n_j, mask.T @ n_i]
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[hit]), pa.array(both[of[hit]] if same else np.r_[i, j][of[hit]]),
-                     pa.array(links[hit])], names=["a", "b", "links"])
+            if not batch.num_rows:
+                continue
+            a, b, side, rep, n = (batch.column(c).to_numpy() for c in ("a", "b", "side", "rep", "n"))
+            units = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            found = []
+            for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(a)], strict=True):
+                pair = (a[start], b[start])
+                if now is not None and pair != now:
+                    found.append(work(held))
+                    held = []
+                now = pair
+                held.append((side[start:end], rep[start:end], n[start:end], units[start:end].ravel()))
+            if found:
+                yield out(found)
+        if held:
+            yield out([work(held)])
 
     return run
 
@@ -261,15 +287,13 @@ def near_duplicate_embeddings(
         count = min(grid_dimensions, dim)
         leaves = _ordered(own, principal_axes(own, dim, count), radius + SLACK, leaf)
         pairs = interval_pairs(leaves, [f"p{i}" for i in range(count)], radius, fan)
-        packed = cut_lineage(leaves.groupBy("leaf").agg(
-            F.collect_list(F.struct("rep", "n", "unit")).alias("v")).select(
-            "leaf", F.col("v.rep").alias("ids"), F.col("v.n").alias("n"), F.col("v.unit").alias("units")))
-        release(leaves)
-        one = packed.select(*[F.col(c).alias(f"{c}_a") for c in packed.columns])
-        two = packed.select(*[F.col(c).alias(f"{c}_b") for c in packed.columns])
-        met = pairs.join(one, F.col("a") == F.col("leaf_a")).join(two, F.col("b") == F.col("leaf_b")).drop(
-            "leaf_a", "leaf_b", "stream_id")
-        found = met.mapInArrow(_compare(dim, cosine), "a bigint, b bigint, links bigint")
+        own_side = F.struct(F.lit(0).alias("side"), F.col("a").alias("leaf"))
+        other_side = F.struct(F.lit(1).alias("side"), F.col("b").alias("leaf"))
+        sides = pairs.select("a", "b", F.inline(F.when(F.col("a") == F.col("b"), F.array(own_side)).otherwise(
+            F.array(own_side, other_side))))
+        met = sides.join(leaves.select("leaf", "rep", "n", "unit"), "leaf").select("a", "b", "side", "rep", "n", "unit")
+        found = met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(
+            _compare(dim, cosine), "a bigint, b bigint, links bigint")
         links = found if links is None else links.unionByName(found)
     if links is None:
         return rows.select(
