@@ -32,13 +32,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Files of a narrow table: this many shuffle partitions to one, but so many at least.
+NARROW_SHARE, NARROW_FILES = 8, 8
+
+
+def cut_lineage(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from the written copy.
 
     The copy outlives the executors that made it, can be read by column, and
     tells the planner its true size. ``release`` deletes it once it is superseded.
+    ``narrow`` says that the rows are a few numbers or digests each and come out of
+    a shuffle that was laid out for whole texts: fewer and larger files do then.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(NARROW_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW_SHARE))
     path = f"{checkpoint_dir(spark).rstrip('/')}/paceline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
