@@ -109,7 +109,8 @@ def op7_chat_format(s, d):
 
 @query
 def op8_mixing(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").withColumnsRenamed({"doc_id": "id", "source": "stream_id"})
+    docs = s.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("stream_id"), "n_chars")
     weights = mixing.tempered_weights(docs.select("stream_id"))
     return mixing.mix_streams(docs, weights).withColumnsRenamed({"id": "doc_id", "stream_id": "source"})
 
@@ -176,7 +177,7 @@ steps AS (
   FROM steps WHERE k < ceil(rate + 12.0 * sqrt(rate) + 60.0)),
 listed AS (SELECT source, list(step ORDER BY k) AS steps FROM steps GROUP BY source),
 counted AS (
-  SELECT d.*, len(list_filter(l.steps, lambda s: s <= {_UNIFORM.format("'42:' || d.doc_id")})) AS times
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter(l.steps, lambda s: s <= {_UNIFORM.format("'42:' || d.doc_id")})) AS times
   FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
 copies AS (SELECT * EXCLUDE (times), unnest(range(times))::INT AS copy FROM counted WHERE times > 0)
 SELECT *, {_UNIFORM.format("'42+:' || doc_id || ':' || copy")} AS mix_key FROM copies
