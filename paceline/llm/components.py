@@ -15,7 +15,7 @@ def _state(links: DataFrame) -> tuple:
 def _least(links: DataFrame) -> DataFrame:
     """For each ``a`` the least of itself and its ``b``, as a written table so that a hub can be split in the join."""
     return cut_lineage(links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select(
-        "u", F.least("u", "m").alias("m")))
+        "u", F.least("u", "m").alias("m")), narrow=True)
 
 
 def _round(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -24,14 +24,14 @@ def _round(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # every neighbour above u is hung on the least one
     large = cut_lineage(
         both.join(least, F.col("a") == F.col("u")).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .distinct())
+        .distinct(), narrow=True)
     # then u and all neighbours below it
     below = _least(large)
     small = cut_lineage(
         large.join(below, F.col("a") == F.col("u"))
         .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                   F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        .select("e.*").filter("a > b").distinct())
+        .select("e.*").filter("a > b").distinct(), narrow=True)
     return small, [least, large, below]
 
 
@@ -43,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     longest chain, each one is a written table, and superseded ones are deleted.
     """
     now = cut_lineage(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), narrow=True)
     state = _state(now)
     while state[0]:
         after, done = _round(now)

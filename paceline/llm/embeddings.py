@@ -142,11 +142,11 @@ def _levels(leaves: DataFrame, names: list[str], fan: int) -> list[DataFrame]:
     found = []
     now = _boxes(leaves, "leaf", names, "{}", "{}")
     rank = F.row_number().over(Window.partitionBy("stream_id").orderBy("box")) - 1
-    level = cut_lineage(now.withColumn("parent", F.floor(rank / F.lit(fan)).cast("long")))
+    level = cut_lineage(now.withColumn("parent", F.floor(rank / F.lit(fan)).cast("long")), narrow=True)
     found.append(level)
     while True:
         up = _boxes(level.drop("box"), "parent", names, "{}_low", "{}_high")
-        level = cut_lineage(up.withColumn("parent", F.floor(F.col("box") / F.lit(fan)).cast("long")))
+        level = cut_lineage(up.withColumn("parent", F.floor(F.col("box") / F.lit(fan)).cast("long")), narrow=True)
         found.append(level)
         if level.filter("box > 0").isEmpty():
             return found
@@ -176,7 +176,7 @@ def interval_pairs(leaves: DataFrame, names: list[str], radius: float, fan: int
         both = one.join(first.alias("b"), (F.col("a.stream_id") == F.col("b.stream_id")) & (
             F.col("right") == F.col("b.parent")))
         pairs = cut_lineage(both.filter((F.col("a.box") <= F.col("b.box")) & _near(names, radius)).select(
-            F.col("a.stream_id").alias("stream_id"), F.col("a.box").alias("a"), F.col("b.box").alias("b")))
+            F.col("a.stream_id").alias("stream_id"), F.col("a.box").alias("a"), F.col("b.box").alias("b")), narrow=True)
     release(*levels)
     return pairs
 
@@ -306,12 +306,12 @@ def near_duplicate_embeddings(
         distinct.join(totals, "rep", "left").join(roots, "rep", "left").select(
             "stream_id", "digest", "dim", "rep", "n", "first_id",
             (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"),
-            F.coalesce("root", "rep").alias("root")))
+            F.coalesce("root", "rep").alias("root")), narrow=True)
     least = cut_lineage(rooted.groupBy("root").agg(
-        F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("weight")))
+        F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("weight")), narrow=True)
     named = cut_lineage(
         spread_join(rooted, least, ["root"], "weight", ["component_id"], F.col("rep"))
-        .select("stream_id", "dim", "digest", "n", "n_links", "component_id"))
+        .select("stream_id", "dim", "digest", "n", "n_links", "component_id"), narrow=True)
     release(distinct, links, rooted, least)
     whole = spread_join(
         rows.drop("unit"), named, ["stream_id", "dim", "digest"], "n", ["n_links", "component_id"], F.col("row"))

@@ -47,7 +47,7 @@ def merge_runs(entries: DataFrame, leaves: int, slices: int, fan_in: int = FAN_I
     runs, level = entries, None
     while True:
         merged = _merged(runs, F.col("run"))
-        written = cut_lineage(merged.sortWithinPartitions("slice", "run", "digest"))
+        written = cut_lineage(merged.sortWithinPartitions("slice", "run", "digest"), narrow=True)
         if level is not None:
             release(level)
         level = written

@@ -43,7 +43,7 @@ class LineRuns:
 
     @staticmethod
     def _run(rows: DataFrame) -> DataFrame:
-        return cut_lineage(rows.repartition("line").sortWithinPartitions("line"))
+        return cut_lineage(rows.sortWithinPartitions("line"), narrow=True)
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -63,12 +63,10 @@ class LineRuns:
         own = batch.groupBy("line").agg(F.max("id").alias("owner_id"), F.count(F.lit(1)).alias("n_alerts"))
         runs = [run for level in self.levels for run in level]
         if runs:
-            own = cut_lineage(own)
             known = self._union(runs).filter("owner_id is not null").select("line")
             fresh = own.join(known.hint("merge"), "line", "left_anti")
             again = own.join(known.hint("merge"), "line", "left_semi")
             new = self._run(fresh.unionByName(again.withColumn("owner_id", F.lit(None).cast("bigint"))))
-            release(own)
         else:
             new = self._run(own)
         self.levels[0].append(new)
@@ -86,8 +84,13 @@ class LineRuns:
             at += 1
 
     def repeated(self, min_alerts: int) -> DataFrame:
-        """``line, owner_id, n_alerts`` of the lines in ``min_alerts`` alerts or more, over all runs."""
-        return self._merged([run for level in self.levels for run in level]).filter(F.col("n_alerts") >= min_alerts)
+        """``line, owner_id, n_alerts`` of the lines in ``min_alerts`` alerts or more, over all runs, which become one."""
+        runs = [run for level in self.levels for run in level]
+        if len(runs) > 1:
+            self.levels = [[self._run(self._merged(runs))]]
+            release(*runs)
+            runs = self.levels[0]
+        return runs[0].filter(F.col("n_alerts") >= min_alerts)
 
     def close(self) -> None:
         release(*[run for level in self.levels for run in level])
@@ -137,12 +140,11 @@ def drop_repeated_lines(
     batch = F.least(F.lit(batches - 1), F.floor((F.lit(float(high)) - F.col("id").cast("double")) / F.lit(width)))
     once = cut_lineage(
         keys.groupBy("id", "line").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-        .withColumn("batch", F.when(F.col("id") < low, batches - 1).otherwise(batch).cast("int")))
+        .withColumn("batch", F.when(F.col("id") < low, batches - 1).otherwise(batch).cast("int")), narrow=True)
     runs = LineRuns(fan_in)
     for k in range(batches):
         runs.add(once.filter(F.col("batch") == k).select("id", "line"))
-    repeated = cut_lineage(runs.repeated(min_alerts))
-    runs.close()
+    repeated = runs.repeated(min_alerts)
     lost = spread_join(once, repeated, ["line"], "n_alerts", ["owner_id"], F.col("id")).filter(
         F.col("owner_id").isNotNull() & (F.col("owner_id") != F.col("id")))
     places = lost.groupBy(F.col("id").alias("__lost_id")).agg(

@@ -59,7 +59,7 @@ def source_rates(alerts: DataFrame, weights: DataFrame | None, total: float | No
         given = weights.select(F.col("stream_id").alias("__stream"), F.col("weight").cast("double").alias("weight"))
         weighed = counts.join(given, F.col("stream_id").eqNullSafe(F.col("__stream")), "left").select(
             "stream_id", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    weighed = cut_lineage(weighed)
+    weighed = cut_lineage(weighed, narrow=True)
     sums = weighed.agg(F.sum("weight"), F.sum("n")).first()
     all_weight, all_rows = float(sums[0] or 0.0), float(sums[1] or 0)
     wanted = all_rows if total is None else float(total)
@@ -97,7 +97,7 @@ def mix_streams(
     rates = source_rates(alerts, weights, total)
     table = cut_lineage(rates.select(
         F.coalesce(F.concat(F.lit("="), F.col("stream_id").cast("string")), F.lit("")).alias("__stream"), "n",
-        F.when(F.col("rate") > 0, poisson_steps(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("__steps")))
+        F.when(F.col("rate") > 0, poisson_steps(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("__steps")), narrow=True)
     keyed = alerts.drop("copy", "mix_key").withColumn(
         "__stream", F.coalesce(F.concat(F.lit("="), F.col("stream_id").cast("string")), F.lit("")))
     more = [F.col(c) for c in distinct_by]

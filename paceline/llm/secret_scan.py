@@ -130,7 +130,7 @@ def scan_secrets(alerts: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataF
     """
     found = cut_lineage(find_candidates(alerts).withColumn("row", F.monotonically_increasing_id()))
     spans = found.select("row", "stream_id", "zone_id", F.inline("found"))
-    owners = cut_lineage(ownership(spans))
+    owners = cut_lineage(ownership(spans), narrow=True)
     known = spread_join(
         spans, owners.withColumn("weight", F.col("n_spans")), ["value"], "weight",
         ["n_spans", "n_zones", "n_streams"], F.struct("row", "start"))

@@ -112,7 +112,7 @@ def _split_hot(rows: DataFrame, limit: int) -> DataFrame:
     """
     hot = cut_lineage(
         rows.filter("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"))
-        .filter(F.col("homes") > limit).select("anchor", F.lit(True).alias("hot")))
+        .filter(F.col("homes") > limit).select("anchor", F.lit(True).alias("hot")), narrow=True)
     if hot.isEmpty():
         release(hot)
         return rows.select("anchor", F.lit(0).cast("long").alias("part"), "fp")
@@ -233,18 +233,18 @@ def near_duplicates(
     """
     marked = cut_lineage(fingerprint_notes(alerts, words))
     distinct = cut_lineage(marked.groupBy(F.col("fingerprint").alias("fp")).agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), narrow=True)
     roots = components(fingerprint_links(distinct.select("fp"), bits, hot_anchor))
     rooted = cut_lineage(
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
+        .select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), narrow=True)
     release(distinct)
     # the number of fingerprints under a root is what its key weighs in the join
     least = cut_lineage(
-        rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("weight")))
+        rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("weight")), narrow=True)
     named = cut_lineage(
         spread_join(rooted, least, ["root"], "weight", ["component_id"], F.col("fp"))
-        .select(F.col("fp").alias("fingerprint"), "component_id", "n"))
+        .select(F.col("fp").alias("fingerprint"), "component_id", "n"), narrow=True)
     release(rooted, least)
     return spread_join(marked, named, ["fingerprint"], "n", ["component_id"], F.col("id")).select(
         "id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
