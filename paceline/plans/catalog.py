@@ -309,8 +309,7 @@ def duplicate_ids(s, d):
 
 def _on_wires(s, d):
     side = G.signed_area(F.col("p1.x"), F.col("p1.y"), F.col("p2.x"), F.col("p2.y"), F.col("cx"), F.col("cy"))
-    own = points(s, d).withColumn("tw_ord", (F.col("frame_idx") % 2).cast("int"))
-    return own.join(I.tripwires(s), ["stream_id", "tw_ord"]).withColumn("side", side)
+    return points(s, d).join(I.tripwires(s), "stream_id").withColumn("side", side)
 
 
 @query
@@ -346,8 +345,8 @@ def point_on_segment(s, d):
 
 @query
 def point_in_polygon(s, d):
-    own = points(s, d).withColumn("zone_ord", (F.col("frame_idx") % 2).cast("int"))
-    return own.join(I.zones(s), ["stream_id", "zone_ord"]).select(
+    z = I.zones(s)
+    return points(s, d).join(z, "stream_id").select(
         "stream_id", "frame_idx", "track_id", "zone_id",
         G.point_in_polygon(F.col("cx"), F.col("cy"), F.col("polygon")).alias("inside"))
 
