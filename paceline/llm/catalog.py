@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, embeddings, exact_dedup, line_dedup, mixing, packing, quality, secret_scan, simhash
-from paceline.llm import toxicity
+from paceline.llm import chat, embeddings, exact_dedup, fill_middle, line_dedup, merkle, mixing, packing, personal_data
+from paceline.llm import quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,44 @@ def op10_exact_dedup(s, d):
     return exact_dedup.exact_duplicates(documents(s, d)).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_fill_in_middle(s, d):
+    out = fill_middle.fill_in_middle(documents(s, d))
+    back = fill_middle.unfilled(F.col("filled"), F.col("form"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("filled", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_personal_data(s, d):
+    def text(span):
+        return F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string"))
+
+    base = F.filter("spans", lambda span: span["kind"].isin(*personal_data.BASE))
+    return personal_data.scan_personal_data(documents(s, d)).select(
+        F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", text), ",").alias("spans"), "n_added",
+        F.round(F.aggregate("spans", F.lit(0.0), lambda least, span: F.greatest(least, span["score"])), 3).alias("top_score"))
+
+
+@query
+def op13_merkle_manifest(s, d):
+    fields = ("id", "stream_id", "zone_id", "density_count", "notes")
+    alerts = s.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("stream_id"), F.col("lang").alias("zone_id"),
+        F.col("n_chars").alias("density_count"), F.col("text").alias("notes"))
+    tampered = F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0
+    bare = F.replace("notes", F.lit("\n"), F.lit(""))
+    shown = alerts.withColumn("shown", merkle.leaf_digest([*fields[:-1], F.when(tampered, bare).otherwise(F.col("notes"))]))
+    proof = F.col("proof")
+    return merkle.manifest_proofs(shown, fields, carry=("shown",)).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(proof), 256).alias("proof_sha256"),
+        merkle.fold(F.col("shown"), proof).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # ---- the same in SQL
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -213,3 +251,77 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc
   row_number() OVER (PARTITION BY t ORDER BY chars DESC, doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM bare
 """
+
+_DRAW = "('0x' || substr(sha256('1:' || doc_id), {0}, 8))::BIGINT"
+
+SQL["op11_fill_in_middle"] = f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    {_DRAW.format(1)} AS h1, {_DRAW.format(9)} AS h2, {_DRAW.format(17)} AS h3, {_DRAW.format(25)} AS h4 FROM documents),
+placed AS (
+  SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+    greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+pieces AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m,
+    array_to_string(tokens[b + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM pieces
+"""
+
+_ITEM = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_HEAD = " || ".join(_ITEM.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# the checksum of the decimal number, bit by bit: its character comes with the first of every eight steps
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)))"""
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_ITEM.format("text")}) AS leaf,
+    sha256({_HEAD} || {_ITEM.format("CASE WHEN " + _CRC + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS shown
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS size FROM leaves),
+low AS (
+  SELECT source, 0 AS level, place, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM low WHERE size > 1 GROUP BY source, level, place // 3, size),
+subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees
+  FROM low WHERE size = 1),
+high AS (
+  SELECT 0 AS level, tree AS place, trees AS size, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM high WHERE size > 1 GROUP BY level, place // 3, size),
+low_beside AS (
+  SELECT a.source, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM low a JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.size > 1 GROUP BY a.source, a.level, a.place),
+high_beside AS (
+  SELECT a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM high a JOIN high b ON a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.size > 1 GROUP BY a.level, a.place),
+steps AS (
+  SELECT p.source, p.doc_id, p.leaf, p.place AS spot, b.level AS step, b.l, b.r FROM placed p JOIN low_beside b
+  ON p.source IS NOT DISTINCT FROM b.source AND p.place // pow(3, b.level)::BIGINT = b.place
+  UNION ALL
+  SELECT p.source, p.doc_id, p.leaf, p.place, 1000 + b.level, b.l, b.r FROM placed p JOIN subroots s
+  ON p.source IS NOT DISTINCT FROM s.source JOIN high_beside b ON s.tree // pow(3, b.level)::BIGINT = b.place),
+proofs AS (
+  SELECT source, spot, string_agg(l || r, '' ORDER BY step) AS proof, list([l, r] ORDER BY step) AS ways
+  FROM steps GROUP BY source, spot)
+SELECT p.doc_id, p.leaf, s.subroot, h.digest AS root, sha256(coalesce(f.proof, '')) AS proof_sha256,
+  list_reduce(list_prepend([p.shown, ''], coalesce(f.ways, [])), lambda x, w: [sha256(w[1] || x[1] || w[2]), ''])[1] AS folded_root,
+  folded_root = h.digest AS verified
+FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source JOIN high h ON h.size = 1
+LEFT JOIN proofs f ON p.source IS NOT DISTINCT FROM f.source AND p.place = f.spot
+"""
