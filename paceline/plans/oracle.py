@@ -450,12 +450,12 @@ BODIES: dict[str, str] = {
     "duplicate_ids": "SELECT stream_id, zone_id, count(*) AS n FROM cfg_points GROUP BY ALL HAVING count(*) > 1",
     "signed_area": """SELECT p.stream_id, t.tripwire_id, p.frame_idx, p.track_id,
         (t.x2 - t.x1) * (p.cy - t.y1) - (t.y2 - t.y1) * (p.cx - t.x1) AS side FROM pts p JOIN wires t
-        ON p.stream_id = t.stream_id AND t.tw_ord = p.frame_idx % 2""",
+        ON p.stream_id = t.stream_id""",
     "classify_direction": "SELECT stream_id, frame_idx, raw_direction FROM turned",
     "map_in_out": """SELECT stream_id, frame_idx, CASE WHEN raw_direction IS NULL THEN NULL
         WHEN raw_direction = CASE WHEN frame_idx % 2 = 0 THEN 'left_to_right' ELSE 'right_to_left' END THEN 'in' ELSE 'out' END AS direction FROM turned""",
     "point_on_segment": f"SELECT {_KEY}, {_TOUCH} AS on_segment FROM pts p, LATERAL (SELECT p.cx - 1e1 AS x1, 1e2 AS y1, p.cx + 1e1 AS x2, p.cy AS y2) e",
-    "point_in_polygon": f"SELECT {_KEY}, zone_id, inside FROM inside WHERE zone_id = CASE WHEN frame_idx % 2 = 0 THEN 'z_rect' ELSE 'z_ell' END",
+    "point_in_polygon": f"SELECT {_KEY}, zone_id, inside FROM inside",
     "segments_intersect": f"SELECT {_KEY}, {_proper('a_', 'b_', 'c_', 'd_')} AS hit FROM (SELECT *, x1 AS a_x, y1 AS a_y, x2 AS b_x, y2 AS b_y, "
                           "5e1 AS c_x, 6e1 AS c_y, 59e1 AS d_x, 43e1 AS d_y FROM tracks)",
     "polygon_self_intersects": """SELECT stream_id, zone_id, CAST(zone_ord AS INTEGER) AS zone_ord,

@@ -12,6 +12,7 @@ sys.path.insert(0, {repo!r})
 import __spark_entry__ as entry
 from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "1g").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "1g")
          .config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {folder!r}).getOrCreate())
 sys.path.remove({repo!r})
 print("rows", entry.queries()["iou_tracker"](spark, "/root/testdata/sf0.001").count())
@@ -24,7 +25,8 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     out = subprocess.run(
         [sys.executable, "-c", SCRIPT.format(repo=repo, folder=str(tmp_path / "warehouse"))], cwd=tmp_path, env=env,
         capture_output=True, text=True, timeout=240)
-    assert "rows 1000" in out.stdout, out.stderr[-2000:]
+    # the JVM tells why it ended before Python does
+    assert "rows 1000" in out.stdout, out.stderr[:3000] + "\n...\n" + out.stderr[-1500:]
 
 
 def test_release_deletes_a_copy(spark):
