@@ -95,7 +95,7 @@ def density_runs(ruled: DataFrame, seconds_per_stretch: float = S.SECONDS_PER_ST
     )
 
 
-def _may_fire(last: Column, row: Column) -> Column:
+def _may_fire(last, row, m):
     return (row["run_start"] != last["run_start"]) & (row["ts"] - last["ts"] >= row["cooldown"])
 
 

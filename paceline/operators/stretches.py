@@ -15,12 +15,15 @@ in full once. Put ``cut_lineage`` in front where the input is costly to make.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.session import cut_lineage
+from paceline.session import cut_lineage, release
 
 FRAMES_PER_STRETCH = 20_000
 SECONDS_PER_STRETCH = 1_200.0
@@ -157,23 +160,103 @@ def trailing_rows(
         "__s_stretch", "__s_item", "__s_before")
 
 
-Accept = Callable[[Column, Column], Column]
+#: ``accept(last, row, m)`` says whether ``row`` is let through after ``last``. Both are looked up by column name, and
+#: ``m`` is ``pyspark.sql.functions`` or ``numpy``, for functions that both have, as ``last`` and ``row`` are of either.
+Accept = Callable[[object, object, object], object]
 
 
-def _fold_last(rows: Column, entry: Column, accept: Accept) -> Column:
-    return F.aggregate(
-        rows, entry, lambda last, row: F.when(last.isNull() | accept(last, row), row).otherwise(last)
-    )
+class _Rows:
+    """Some rows of a batch, column by column."""
+
+    def __init__(self, batch: pa.RecordBatch, places: np.ndarray, known: dict[str, np.ndarray]):
+        self.batch, self.places, self.known = batch, places, known
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        if column not in self.known:
+            self.known[column] = self.batch.column(column).to_numpy(zero_copy_only=False)
+        return self.known[column][self.places]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], part: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that end where a group does, with the places where groups start; rows come sorted by ``part``."""
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for name in part:
+            column = batch.column(name)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        places = starts(batch)
+        cut = int(places[-1])
+        held = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut), places[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def _following(batch: pa.RecordBatch, starts: np.ndarray, accept: Accept) -> np.ndarray:
+    """For each row the next one of its group that is let through after it; the number of rows where there is none."""
+    n, known = batch.num_rows, {}
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    following, open_, shift = np.full(n + 1, n), np.arange(n), 1
+    while True:
+        open_ = open_[open_ + shift < ends[open_]]
+        if not len(open_):
+            return following
+        hit = accept(_Rows(batch, open_, known), _Rows(batch, open_ + shift, known), np)
+        following[open_[hit]] = open_[hit] + shift
+        open_, shift = open_[~hit], shift + 1
 
 
-def _fold_kept(rows: Column, entry: Column, accept: Accept) -> Column:
-    start = F.struct(entry.alias("last"), F.slice(rows, 1, 0).alias("kept"))
+def _with_exits(part: Sequence[str], accept: Accept):
+    """Adds each row's place in its group, and the place where a chain that begins with the row leaves the group."""
 
-    def step(acc: Column, row: Column) -> Column:
-        taken = F.struct(row.alias("last"), F.concat(acc["kept"], F.array(row)).alias("kept"))
-        return F.when(acc["last"].isNull() | accept(acc["last"], row), taken).otherwise(acc)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, part):
+            n = batch.num_rows
+            jump = _following(batch, starts, accept)[:n]
+            jump = np.where(jump < n, jump, np.arange(n))
+            while True:
+                further = jump[jump]
+                if (further == jump).all():
+                    break
+                jump = further
+            first = np.repeat(starts, np.diff(np.r_[starts, n]))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.arange(n) - first, pa.int32()), pa.array(jump - first, pa.int32())],
+                names=[*batch.schema.names, "__at", "__exit"])
 
-    return F.aggregate(rows, start, step)["kept"]
+    return run
+
+
+def _on_chains(part: Sequence[str], accept: Accept):
+    """Of each group the rows on the chain that begins at the place ``__begin``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, part):
+            n = batch.num_rows
+            jump = _following(batch, starts, accept)
+            taken = np.zeros(n + 1, bool)
+            taken[starts + batch.column("__begin").to_numpy()[starts]] = True
+            while (jump[:n] < n).any():
+                taken[jump[np.flatnonzero(taken)]] = True
+                jump = jump[jump]
+            yield batch.filter(pa.array(taken[:n])).drop_columns(["__begin"])
+
+    return run
+
+
+def _types(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def accepted_rows(
@@ -182,44 +265,88 @@ def accepted_rows(
 ) -> DataFrame:
     """Rows that a rule lets through, where the rule looks at the last row let through.
 
-    The first row of a key is taken; a later one if ``accept(last_taken, row)``.
-    A stretch is one array and must hold a bounded number of rows, which the
-    caller sees to through ``stretch``. Stretches are worked on at once, as if
-    each began a key; then the last row taken before each stretch is looked up
-    and the stretches on which it has an effect are redone, until nothing
-    changes. That is as exact as one pass in order, and normally one or two
-    rounds, as the rules forget quickly.
+    The first row of a key is taken; a later one if ``accept(last_taken, row, m)``.
+    Which row follows one that is taken depends on that row alone, so rows point
+    to their next ones, and those let through lie on one chain from the key's first.
+
+    A stretch must hold a bounded number of rows, which the caller sees to. Within
+    stretches all chains are followed at once, to the row where each leaves. From
+    these rows one looks ahead into the stretches behind for the row that comes
+    next, as far as the rule reaches back (one stretch or two unless stretches are
+    shorter than that). So the chain is a path from stretch to stretch, and is
+    followed in steps that double: rounds grow with the logarithm of the number of
+    stretches, however the cuts fall and however long a chain goes on. Two written
+    tables stay behind the result, all others are deleted.
     """
-    part = [*keys, "__s_stretch"]
-    pieces = cut_lineage(
-        _cut(rows, stretch).groupBy(*part)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, *payload))).alias("__rows"))
-        .withColumn("__entry", F.expr("if(false, __rows[0], null)"))
-        .withColumn("__exit", _fold_last(F.col("__rows"), F.col("__entry"), accept))
-    )
+    part, item = [*keys, "__s_stretch"], [*order, *payload]
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(*part).sortWithinPartitions(*part, *item)
+
+    cut = _cut(rows, stretch).select(*part, *item)
+    ddl = _types(cut, [*part, *item])
+    pieces = cut_lineage(in_order(cut).mapInArrow(_with_exits(part, accept), f"{ddl}, __at int, __exit int"))
     along = Window.partitionBy(*keys).orderBy("__s_stretch")
+    spans = cut_lineage(pieces.groupBy(*part).agg(F.min_by("__exit", "__at").alias("__exit")).select(
+        *part, "__exit", F.lead("__s_stretch").over(along).alias("__after"), F.row_number().over(along).alias("__nth")), narrow=True)
+    steps, done = _next_stretches(pieces, spans, keys, item, accept)
+    most = spans.agg(F.max("__nth")).first()[0] or 1
+    begins = _begins(steps, spans, keys, most)
+    release(spans, *done)
+    marked = pieces.join(begins, part)
+    return in_order(marked.select(*part, *item, "__begin")).mapInArrow(_on_chains(part, accept), ddl).drop("__s_stretch")
+
+
+def _next_stretches(
+    pieces: DataFrame, spans: DataFrame, keys: Sequence[str], item: Sequence[str], accept: Accept,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Where chains go on: each row that one leaves a stretch from, with the stretch, place and exit of the next row."""
+    last, row = F.struct(*item), F.struct(*[F.col(f"__j_{c}").alias(c) for c in item])
+    ahead = pieces.select(
+        *keys, F.col("__s_stretch").alias("__look"), F.struct("__at", "__exit").alias("__to"),
+        *[F.col(c).alias(f"__j_{c}") for c in item])
+    after = spans.select(*keys, F.col("__s_stretch").alias("__look"), F.col("__after").alias("__then"))
+    left = pieces.filter("__at = __exit").join(spans.select(*keys, "__s_stretch", "__after"), [*keys, "__s_stretch"])
+    open_ = left.filter("__after is not null").select(*keys, "__s_stretch", *item, "__exit", F.col("__after").alias("__look"))
+    found, done = [], []
     while True:
-        slim = pieces.select(*part, "__entry", "__exit", F.col("__rows")[0].alias("__first"))
-        following = slim.withColumn("__s_before", F.lag("__exit").over(along)).select(
-            *part,
-            # a last row that would let the first one through has no effect at all
-            F.when(~accept(F.col("__s_before"), F.col("__first")), F.col("__s_before")).alias("__next"),
-            "__entry",
-        )
-        changed = following.filter(~F.col("__next").eqNullSafe(F.col("__entry"))).select(
-            *part, "__next", F.lit(True).alias("__redo")
-        )
-        if changed.isEmpty():
+        met = open_.join(ahead, [*keys, "__look"]).filter(accept(last, row, F)).groupBy(
+            *keys, "__s_stretch", "__exit").agg(F.min("__to").alias("__to"))
+        tried = cut_lineage(open_.join(met, [*keys, "__s_stretch", "__exit"], "left").join(after, [*keys, "__look"]), narrow=True)
+        done.append(tried)
+        found.append(tried.filter("__to is not null").select(
+            *keys, "__s_stretch", "__exit", F.col("__look").alias("__to_stretch"), "__to"))
+        rest = tried.filter("__to is null and __then is not null")
+        if rest.isEmpty():
             break
-        pieces = cut_lineage(
-            pieces.join(changed, part, "left")
-            .withColumn("__entry", F.when(F.col("__redo"), F.col("__next")).otherwise(F.col("__entry")))
-            .withColumn(
-                "__exit",
-                F.when(F.col("__redo"), _fold_last(F.col("__rows"), F.col("__entry"), accept))
-                .otherwise(F.col("__exit")),
-            )
-            .drop("__next", "__redo")
-        )
-    kept = pieces.withColumn("__kept", _fold_kept(F.col("__rows"), F.col("__entry"), accept))
-    return kept.select(*keys, F.inline("__kept"))
+        open_ = rest.select(*keys, "__s_stretch", *item, "__exit", F.col("__then").alias("__look"))
+    together = found[0]
+    for one in found[1:]:
+        together = together.unionByName(one)
+    return together, done
+
+
+def _begins(steps: DataFrame, spans: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """``__begin`` for every stretch on its key's path: the place where the chain enters it. At most ``most`` stretches a key."""
+    node = ["__s_stretch", "__exit"]
+    jumps = []
+    jump = steps
+    for _ in range(max(0, (most - 1).bit_length())):
+        written = cut_lineage(jump, narrow=True)
+        jumps.append(written)
+        second = written.select(
+            *keys, F.col("__s_stretch").alias("__to_stretch"), F.col("__exit").alias("__mid"),
+            F.col("__to_stretch").alias("__far_stretch"), F.col("__to").alias("__far"))
+        jump = written.withColumn("__mid", F.col("__to.__exit")).join(second, [*keys, "__to_stretch", "__mid"]).select(
+            *keys, *node, F.col("__far_stretch").alias("__to_stretch"), F.col("__far").alias("__to"))
+    # the first rows, then all that one jump of 1, 2, 4... adds
+    reached = spans.filter("__nth = 1").select(*keys, "__s_stretch", "__exit", F.lit(0).alias("__begin"))
+    for written in jumps:
+        reached = reached.join(written, [*keys, *node], "left").select(*keys, F.explode(F.array(
+            F.struct(*node, "__begin"),
+            F.when(F.col("__to").isNotNull(), F.struct(
+                F.col("__to_stretch").alias("__s_stretch"), F.col("__to.__exit").alias("__exit"),
+                F.col("__to.__at").alias("__begin"))))).alias("__e")).filter("__e is not null").select(*keys, "__e.*")
+    out = cut_lineage(reached.select(*keys, "__s_stretch", "__begin"), narrow=True)
+    release(*jumps)
+    return out

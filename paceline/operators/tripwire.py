@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions import geometry as G
@@ -40,8 +40,8 @@ def crossing_candidates(moves: DataFrame, tripwires: DataFrame, clip_to_segment:
     return out.withColumn("direction", G.map_in_out(F.col("raw_direction"), F.col("direction_in")))
 
 
-def _may_count(last: Column, row: Column) -> Column:
-    moved = G.centroid_distance(last["cx"], last["cy"], row["cx"], row["cy"])
+def _may_count(last, row, m):
+    moved = m.hypot(row["cx"] - last["cx"], row["cy"] - last["cy"])
     return (row["frame_idx"] - last["frame_idx"] >= row["recycle_after_frames"]) | (
         moved >= row["recycle_distance_px"]
     )
