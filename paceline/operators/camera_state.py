@@ -3,9 +3,10 @@
 A camera is cut into stretches of frames that run as separate grouped tasks.
 What state a stretch begins with is first *guessed* from the frames just before
 it, then all stretches run once from the guessed states, and a stretch whose
-guess was not the state its predecessor really ended in runs again. The rows
-that come out are those of one pass in order; the work is about one pass, as
-both machines forget within seconds. Only what has to run again is written again.
+guess was not the state its predecessor really ended in runs again, with those
+behind it for as long as its new end is not what they began with. The rows that
+come out are those of one pass in order; the work is about one pass, as both
+machines mostly forget within seconds. Only what has to run again is written again.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from paceline.operators import stretches as S
 from paceline.session import cut_lineage, release
 
 STRETCH = ["stream_id", "__stretch"]
-# Frames per grouped task: minutes of video, some hundred thousand rows.
-FRAMES_PER_TASK = 5_000
+# Frames per grouped task: minutes of video, some hundred thousand rows. What is repaired may take in some stretches.
+FRAMES_PER_TASK, FRAMES_PER_REPAIR = 5_000, 20_000
 _RUN = (
-    "stream_id string, __stretch bigint, __end boolean, __state string, __refs array<bigint>, __fresh bigint, "
-    "__tied boolean, "
+    "stream_id string, __stretch bigint, __end boolean, __entry string, __state string, __refs array<bigint>, "
+    "__fresh bigint, __tied boolean, "
 )
 Step = Callable[[pd.DataFrame, str], pd.DataFrame]
 
@@ -38,37 +39,97 @@ def _before(column: str) -> Column:
     return F.lag(column).over(Window.partitionBy("stream_id").orderBy("__stretch"))
 
 
+def _one(step: Step, pdf: pd.DataFrame, entry: str | None) -> pd.DataFrame:
+    """The rows of one stretch run from the state ``entry``, and its end."""
+    out = step(pdf, entry if isinstance(entry, str) else "[]")
+    out["stream_id"], out["__stretch"] = pdf["stream_id"].iloc[0], pdf["__stretch"].iloc[0]
+    begun = [None] * len(out)
+    begun[-1] = entry if isinstance(entry, str) else None
+    out["__entry"] = pd.Series(begun, dtype=object)
+    return out
+
+
+def _nothing(ddl: str) -> pd.DataFrame:
+    """No rows of these columns, for tasks to put out; made by the driver."""
+    return pd.DataFrame({f.name: pd.Series(dtype=object) for f in T.StructType.fromDDL(ddl).fields})
+
+
 def _run_all(rows: DataFrame, entries: DataFrame, step: Step, out_ddl: str) -> DataFrame:
     """``step`` over the stretches that ``entries`` lists, each with its state, which travels once per stretch."""
+    ddl = _RUN + out_ddl
+    nothing = _nothing(ddl)
 
     def task(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        if not len(begin) or not len(pdf):
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in wanted})
-        entry = begin["__entry"].iloc[0]
-        out = step(pdf, entry if isinstance(entry, str) else "[]")
-        out["stream_id"] = pdf["stream_id"].iloc[0]
-        out["__stretch"] = pdf["__stretch"].iloc[0]
-        return out
+        return _one(step, pdf, begin["__entry"].iloc[0]) if len(begin) and len(pdf) else nothing
 
-    wanted = T.StructType.fromDDL(_RUN + out_ddl).fields
-    return rows.groupBy(*STRETCH).cogroup(entries.groupBy(*STRETCH)).applyInPandas(task, _RUN + out_ddl)
+    # long work on few bytes: as many tasks as there are partitions, which bytes alone would not give
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *STRETCH).groupBy(*STRETCH).cogroup(entries.groupBy(*STRETCH)).applyInPandas(task, ddl)
+
+
+def _run_on(rows: DataFrame, ends: DataFrame, step: Step, out_ddl: str) -> DataFrame:
+    """``step`` over stretches that began with a wrong state, and on over those behind that this makes wrong as well.
+
+    Rows and ``ends`` (``__entry`` it had, ``__tied``, ``__refs``, ``__new`` or null,
+    whether it is the camera's ``__first``) come by ``__block``, some stretches long.
+    The work stops where the end of a stretch is what the next one had begun with,
+    and at the end of a block. The order of tracks is known from the camera's first
+    stretch on, or from one that was told, and goes along with what is not run again.
+    """
+    ddl = _RUN + out_ddl
+    nothing = _nothing(ddl)
+
+    def task(pdf: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
+        had = had.sort_values("__stretch")
+        found, handed, order = [], None, "[]" if had["__first"].iloc[0] else None
+        of = dict(list(pdf.groupby("__stretch")))
+        had = had[["__stretch", "__entry", "__tied", "__refs", "__new"]]
+        for had_stretch, entry, tied, refs, new in had.itertuples(index=False):
+            had_state, _, had_order = (entry if isinstance(entry, str) else "[]").partition(RANKED)
+            if handed is not None:
+                new = handed if handed != had_state else None
+            if order is None and isinstance(new, str):
+                order = new.partition(RANKED)[2] or None
+            # the same tracks in another order: it matters only where it decided something
+            if not isinstance(new, str) and tied and order and order != (had_order or _as_sorted(had_state)):
+                new = had_state
+            if not isinstance(new, str):
+                handed, order = None, order and refs is not None and _order_after(order, refs)
+                continue
+            out = _one(step, of[had_stretch], new.partition(RANKED)[0] + (RANKED + order if order else ""))
+            handed, refs = out["__state"].iloc[-1], out["__refs"].iloc[-1]
+            order = order and refs is not None and _order_after(order, refs)
+            found.append(out)
+        return pd.concat(found, ignore_index=True) if found else nothing
+
+    block = ["stream_id", "__block"]
+    return rows.groupBy(*block).cogroup(ends.groupBy(*block)).applyInPandas(task, ddl)
 
 
 class _Runs:
     """What all stretches put out: the first run of each, less what was run again, and the later runs."""
 
-    def __init__(self, rows: DataFrame, entries: DataFrame, step: Step, out_ddl: str):
+    def __init__(self, rows: DataFrame, entries: DataFrame, step: Step, out_ddl: str, stretches_per_repair: int):
         self.rows, self.step, self.out_ddl = rows, step, out_ddl
-        self.entries = cut_lineage(entries)
-        self.now = cut_lineage(_run_all(rows, self.entries, step, out_ddl))
+        self.block = F.floor(F.col("__stretch") / F.lit(stretches_per_repair)).alias("__block")
+        begun = cut_lineage(entries, narrow=True)
+        self.now = cut_lineage(_run_all(rows, begun, step, out_ddl))
+        release(begun)
         self.rounds = 1
 
     def again(self, wrong: DataFrame) -> None:
-        """Run the stretches of ``wrong`` (a written table) again with the states it has; the others lie where they are."""
-        keys = wrong.select(*STRETCH)
-        redone = cut_lineage(_run_all(self.rows.join(keys, STRETCH, "left_semi"), wrong, self.step, self.out_ddl))
+        """Run the stretches of ``wrong`` (a written table) again with the states it has, and what that makes wrong."""
+        ends = cut_lineage(self.ends().select(
+            *STRETCH, "__entry", "__tied", "__refs", self.block, _before("__stretch").isNull().alias("__first")).join(
+            wrong.select(*STRETCH, F.coalesce("__entry", F.lit("[]")).alias("__new")), STRETCH, "left"), narrow=True)
+        first = ends.filter("__new is not null or __tied").groupBy("stream_id", "__block").agg(F.min("__stretch").alias("__from"))
+        open_ = ends.filter("__new is not null").select(F.col("stream_id").alias("__s"), F.col("__block").alias("__b")).distinct()
+        first = first.join(open_, (F.col("stream_id") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left_semi")
+        rows = self.rows.select("*", self.block).join(first, ["stream_id", "__block"]).filter("__stretch >= __from")
+        redone = cut_lineage(_run_on(rows.drop("__from"), ends, self.step, self.out_ddl))
+        release(ends)
+        keys = redone.filter("__end").select(*STRETCH)
         self.now = self.now.join(keys, STRETCH, "left_anti").unionByName(redone)
-        self.entries = self.entries.join(keys, STRETCH, "left_anti").unionByName(wrong)
         self.rounds += 1
 
     def ends(self) -> DataFrame:
@@ -78,15 +139,16 @@ class _Runs:
         """Run again, all at once, what did not begin with the state the stretch before ended in, until nothing is wrong."""
         none = F.lit("[]")
         while True:
-            true = self.ends().select(*STRETCH, F.coalesce(_before("__state"), none).alias("__true"))
             wrong = cut_lineage(
-                true.join(self.entries, STRETCH)
+                self.ends().select(*STRETCH, "__entry", F.coalesce(_before("__state"), none).alias("__true"))
                 .filter(~F.col("__true").eqNullSafe(F.coalesce(_state_of("__entry"), none)))
-                .select(*STRETCH, F.col("__true").alias("__entry")))
-            if wrong.isEmpty():
+                .select(*STRETCH, F.col("__true").alias("__entry")), narrow=True)
+            if not wrong.isEmpty():
+                self.again(wrong)
                 release(wrong)
-                return
-            self.again(wrong)
+                continue
+            release(wrong)
+            return
 
 
 def _state_of(entry: str) -> Column:
@@ -97,8 +159,30 @@ def _state_of(entry: str) -> Column:
 RANKED = ";"
 
 
+def _as_sorted(state: str) -> str:
+    """The order of a state's tracks that is that of the state itself."""
+    return _order(list(range(1, len(json.loads(state)) + 1)))
+
+
+def _order(ranks: list[int]) -> str:
+    return json.dumps(ranks, separators=(",", ":"))
+
+
+def _order_after(order: str, refs: list[int]) -> str:
+    """The order of the tracks that a stretch ends with, from that in which it began: new ones come behind all others."""
+    before = json.loads(order)
+    made = [(0, before[-r - 1]) if r < 0 else (1, r) for r in map(int, refs)]
+    place = {m: k for k, m in enumerate(sorted(made), 1)}
+    return _order([place[m] for m in made])
+
+
+def per_repair(frames_per_stretch: int) -> int:
+    return max(1, FRAMES_PER_REPAIR // frames_per_stretch)
+
+
 def _guessed(
-    rows: DataFrame, parts: DataFrame, warm_up: Column, step: Step, out_ddl: str, guess_step: Step | None = None,
+    rows: DataFrame, parts: DataFrame, warm_up: Column, step: Step, out_ddl: str, stretches_per_repair: int,
+    guess_step: Step | None = None,
 ) -> _Runs:
     """All stretches, run from states guessed from the rows of the stretch before that ``warm_up`` marks, and settled."""
     feeding = parts.select(*STRETCH, F.lead("__stretch").over(
@@ -110,7 +194,7 @@ def _guessed(
         guess_step or step, out_ddl,
     ).filter("__end").select(*STRETCH, F.col("__state").alias("__guess"))
     entries = feeding.join(guesses, STRETCH, "left").select(*STRETCH, _before("__guess").alias("__entry"))
-    runs = _Runs(rows, entries, step, out_ddl)
+    runs = _Runs(rows, entries, step, out_ddl, stretches_per_repair)
     runs.settle()
     return runs
 
@@ -213,8 +297,9 @@ def _tracker_step(max_age: int, iou_threshold: float):
     """One stretch. States are sets: tracks sorted by box and age, named -1, -2, ... by that order where they come in.
 
     In which order they were made only matters where overlaps are exactly
-    equal. An entry may give that order behind ``RANKED``; one that does not is
-    taken in the sorted order, and ``__tied`` tells if that decided anything.
+    equal. An entry may give that order behind ``RANKED``, as a number for each
+    track; one that does not is taken in the sorted order, and ``__tied`` tells if
+    that decided anything.
     """
 
     def step(pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
@@ -241,12 +326,12 @@ def _tracker_step(max_age: int, iou_threshold: float):
 
 def _ranked(runs: _Runs, names: _track_names) -> DataFrame:
     """Stretches in which the order of incoming tracks decided something and was not the order they were made in."""
-    numbers = names.incoming.groupBy(*STRETCH).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ref")).alias("at"), "__id"))), lambda t: t["__id"])
-        .alias("__ids"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ref")).alias("at"), "__id"))), lambda t: t["__id"])
+    numbers = names.incoming.groupBy(*STRETCH).agg(ids.alias("__ids")).withColumn(
+        "__ranks", F.transform("__ids", lambda i: F.array_position(F.sort_array("__ids"), i)))
     return (
-        runs.ends().filter("__tied").select(*STRETCH).join(numbers, STRETCH).join(runs.entries, STRETCH)
-        .select(*STRETCH, F.concat(_state_of("__entry"), F.lit(RANKED), F.to_json("__ids")).alias("__ordered"), "__entry",
+        runs.ends().filter("__tied").select(*STRETCH, "__entry").join(numbers, STRETCH)
+        .select(*STRETCH, F.concat(_state_of("__entry"), F.lit(RANKED), F.to_json("__ranks")).alias("__ordered"), "__entry",
                 F.to_json(F.sort_array("__ids")).eqNullSafe(F.to_json("__ids")).alias("__as_sorted"))
         .filter((F.col("__ordered") != F.col("__entry")) & ~(F.col("__as_sorted") & ~F.col("__entry").contains(RANKED)))
         .select(*STRETCH, F.col("__ordered").alias("__entry"))
@@ -288,7 +373,7 @@ def _tracked(
     warm = min(warm_up_frames if warm_up_frames is not None else 5 * max_age, frames_per_stretch)
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
     parts = rows.select(*STRETCH).distinct()
-    runs = _guessed(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL)
+    runs = _guessed(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL, per_repair(frames_per_stretch))
     while True:
         names = _track_names(runs.ends().select(*STRETCH, "__refs", "__fresh"))
         wrong = cut_lineage(_ranked(runs, names))
@@ -462,7 +547,7 @@ def id_switches(
     near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm_up_frames)
     runs = _guessed(
         rows, rows.select(*STRETCH).distinct(), near_end, _switch_step(seconds, px, memory_seconds), _SWITCH_DDL,
-        _switch_step(seconds, px, memory_seconds, by_streak=True),
+        per_repair(frames_per_stretch), _switch_step(seconds, px, memory_seconds, by_streak=True),
     )
     return runs.now.filter("not __end").select(
         "stream_id", "frame_idx", "ts", "ord", "from_track_id", "to_track_id", "dx", "dy", "dt"

@@ -1,10 +1,12 @@
 """The ordered rules against one-row-at-a-time models, on hand cases and random series, cut in several ways."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from paceline import session
 from paceline.operators import access, camera_state, density, scans, stretches, tracking, tripwire, zones
 from paceline.streaming import transitions as T
 
@@ -301,3 +303,63 @@ def test_zone_that_never_empties(spark):
     assert [r.timestamp for r in got] == truth
     assert len(made) <= 4 + 2 * 8
     assert density.density_cooldown_alerts(df, 8, 0.0, 20.0).count() == len(times)
+
+
+@pytest.mark.parametrize("n_stretches", [64, 1000])
+def test_guard_chain_takes_rounds_by_the_logarithm(spark, monkeypatch, n_stretches):
+    """A chain that never breaks: one-pass results, a table per doubling and a few more, and two of them left."""
+    rng, size = random.Random(n_stretches), 20
+    rows, frame = [], 0
+    while frame < n_stretches * size:
+        rows.append(("c", "w", 1, frame, 0, frame * 0.5, "in", rng.uniform(0, 300), rng.uniform(0, 300), 30, 250.0))
+        frame += rng.choice([1, 2, 5, 11])
+    df = spark.createDataFrame(rows, "stream_id string, tripwire_id string, track_id long, frame_idx long, track_ord long, ts double, "
+                                     "direction string, cx double, cy double, recycle_after_frames int, recycle_distance_px double")
+    truth, last = [], None
+    for r in rows:
+        if last is None or r[3] - last[3] >= 30 or ((r[7] - last[7]) ** 2 + (r[8] - last[8]) ** 2) ** 0.5 >= 250.0:
+            truth.append(r[3])
+            last = r
+    made = []
+
+    def noted(df, narrow=False):
+        made.append(session.cut_lineage(df, narrow))
+        return made[-1]
+
+    monkeypatch.setattr(stretches, "cut_lineage", noted)
+    got = tripwire.tripwire_crossings(df, size)
+    assert [r.frame_idx for r in got.orderBy("frame_idx").collect()] == truth
+    # pieces, their spans, up to two stretches looked into (30 frames of 20), the doublings, the path
+    assert len(made) <= 6 + (n_stretches - 1).bit_length()
+    assert sum(os.path.exists(t._paceline_path.removeprefix("file:")) for t in made) <= 2
+
+
+def test_rule_that_looks_far_back(spark):
+    """Stretches far shorter than the rule's memory, and keys with one row or none accepted after the first."""
+    rows = [(k, f) for k in ("a", "b") for f in range(0, 90, 3)] + [("c", 5), ("d", 1), ("d", 2)]
+    df = spark.createDataFrame(rows, "k string, f long")
+    got = stretches.accepted_rows(df, ["k"], ["f"], [], stretches.by_frames(F.col("f"), 4), lambda last, row, m: row["f"] - last["f"] >= 25)
+    assert sorted(map(tuple, got.collect())) == sorted([(k, f) for k in ("a", "b") for f in (0, 27, 54, 81)] + [("c", 5), ("d", 1)])
+    none = stretches.accepted_rows(df.limit(0), ["k"], ["f"], [], stretches.by_frames(F.col("f"), 4), lambda last, row, m: row["f"] > last["f"])
+    assert none.count() == 0
+
+
+def test_ghosts_that_never_fade_take_few_rounds(spark):
+    """A state that goes on through all stretches (a second track kept alive by crossings): repaired some stretches a round."""
+    n, size = 60 * 20, 20
+    frames = spark.range(n).selectExpr("'c' as stream_id", "id as frame_idx", "id * 0.5D as ts")
+    boxes_of = {}
+    for f in range(n):
+        boxes_of[f] = [(0.0, 0.0, 40.0, 40.0), (20.0, 0.0, 60.0, 40.0)] if f < 3 else [(10.0, 0.0, 50.0, 40.0)] if f % 4 else [
+            (0.0, 0.0, 40.0, 40.0), (20.0, 0.0, 60.0, 40.0)][f // 4 % 2:][:1 + f % 3 // 2]
+    rows = [("c", f, k, k, *b, 0.9, 0) for f, bs in boxes_of.items() for k, b in enumerate(bs)]
+    df = spark.createDataFrame(rows, "stream_id string, frame_idx long, det_ord long, det_id long, x1 double, y1 double, "
+                                     "x2 double, y2 double, conf double, cls int")
+    tracker, truth = camera_state.BoxTracker(30, 0.2, fresh=1), {}
+    for f in range(n):
+        for k, ref in enumerate(tracker.frame(boxes_of[f])):
+            truth[f, k] = ref
+    runs, _ = camera_state._tracked(frames, df, 30, 0.2, size, 2)
+    assert runs.rounds <= 4
+    got = camera_state.iou_tracker(frames, df, 30, 0.2, size, 2).collect()
+    assert {(r.frame_idx, r.det_ord): r.track_id for r in got} == truth
