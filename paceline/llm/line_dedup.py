@@ -9,9 +9,9 @@ from paceline.llm.common import lower_ascii, spread_join, strip_spaces
 from paceline.session import cut_lineage, release
 
 #: Batches that the log is taken in, highest ids first.
-BATCHES = 4
+BATCHES = 5
 #: Runs of a level that are compacted to one run of the next level.
-FAN_IN = 4
+FAN_IN = 3
 
 
 def _lines(notes: Column) -> Column:
@@ -19,10 +19,10 @@ def _lines(notes: Column) -> Column:
 
 
 def line_keys(alerts: DataFrame, min_chars: int) -> DataFrame:
-    """``id, pos, line``: hash of every line whose key has ``min_chars`` code points at least."""
-    lines = alerts.select("id", F.posexplode(_lines(F.col("notes"))).alias("pos", "raw"))
-    keyed = lines.select("id", "pos", lower_ascii(strip_spaces(F.col("raw"))).alias("key"))
-    return keyed.filter(F.length("key") >= min_chars).select("id", "pos", F.unhex(F.md5("key")).alias("line"))
+    """``id, text, pos, line``: hash of every line whose key has ``min_chars`` code points at least."""
+    lines = alerts.select("id", "text", F.posexplode(_lines(F.col("notes"))).alias("pos", "raw"))
+    keyed = lines.select("id", "text", "pos", lower_ascii(strip_spaces(F.col("raw"))).alias("key"))
+    return keyed.filter(F.length("key") >= min_chars).select("id", "text", "pos", F.unhex(F.md5("key")).alias("line"))
 
 
 class LineRuns:
@@ -59,7 +59,7 @@ class LineRuns:
             F.max("owner_id").alias("owner_id"), F.sum("n_alerts").alias("n_alerts"))
 
     def add(self, batch: DataFrame) -> None:
-        """Take in ``id, line`` of one batch, lines of an alert once each."""
+        """Take in ``id, line`` of one batch, each pair once."""
         own = batch.groupBy("line").agg(F.max("id").alias("owner_id"), F.count(F.lit(1)).alias("n_alerts"))
         runs = [run for level in self.levels for run in level]
         if runs:
@@ -123,37 +123,42 @@ def drop_repeated_lines(
     Returns the alerts with ``notes`` of the lines that stay, joined by line
     feeds, and with ``n_lines`` (before) and ``n_dropped``; columns of these two
     names in the input are replaced. Rows that repeat an id count as one alert
-    and lose the same lines only if their notes are the same: an id is expected
-    to be unique, and rows without one are taken as one alert below all others.
-    An empty log gives no rows.
+    when a key's alerts are counted, and each of them keeps or loses its own lines,
+    whether their notes are the same or not: all rows of the largest id keep them.
+    Rows without an id are one alert, below all others. An empty log gives no rows.
 
     The log is taken in ``batches`` of falling ids by ``LineRuns``; then every
     line looks up its hash once. Lines of a frequent key are pre-aggregated per
     alert, and spread over all tasks in the look-up.
     """
-    whole = alerts.withColumn("__id", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))))
-    keys = line_keys(whole.select(F.col("__id").alias("id"), "notes"), min_chars)
+    # rows of one id are told apart by their text: those of equal text lose the same lines
+    whole = alerts.withColumns({
+        "__id": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))),
+        "__text": F.unhex(F.md5(F.coalesce("notes", F.lit("")).cast("binary")))})
+    keys = line_keys(whole.select(F.col("__id").alias("id"), F.col("__text").alias("text"), "notes"), min_chars)
     ends = alerts.agg(F.min(F.col("id").cast("long")), F.max(F.col("id").cast("long"))).first()
     low, high = ends if ends[0] is not None else (0, 0)
     # in doubles, which never fall where ids rise and do not overflow
     width = max(1.0, (float(high) - float(low) + 1.0) / batches)
     batch = F.least(F.lit(batches - 1), F.floor((F.lit(float(high)) - F.col("id").cast("double")) / F.lit(width)))
     once = cut_lineage(
-        keys.groupBy("id", "line").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+        keys.groupBy("id", "text", "line").agg(F.collect_set("pos").alias("at"))
         .withColumn("batch", F.when(F.col("id") < low, batches - 1).otherwise(batch).cast("int")), narrow=True)
     runs = LineRuns(fan_in)
     for k in range(batches):
-        runs.add(once.filter(F.col("batch") == k).select("id", "line"))
+        runs.add(once.filter(F.col("batch") == k).select("id", "line").distinct())
     repeated = runs.repeated(min_alerts)
     lost = spread_join(once, repeated, ["line"], "n_alerts", ["owner_id"], F.col("id")).filter(
         F.col("owner_id").isNotNull() & (F.col("owner_id") != F.col("id")))
-    places = lost.groupBy(F.col("id").alias("__lost_id")).agg(
-        F.sort_array(F.flatten(F.collect_list("at"))).alias("__dropped"))
-    joined = whole.join(places, F.col("__id") == F.col("__lost_id"), "left")
+    places = cut_lineage(lost.groupBy(F.col("id").alias("__lost_id"), F.col("text").alias("__lost_text")).agg(
+        F.sort_array(F.flatten(F.collect_list("at"))).alias("__dropped")), narrow=True)
+    release(once)
+    runs.close()
+    joined = whole.join(places, (F.col("__id") == F.col("__lost_id")) & (F.col("__text") == F.col("__lost_text")), "left")
     dropped = F.coalesce("__dropped", F.expr("cast(array() as array<int>)"))
     return joined.withColumns({
         "n_lines": F.size(_lines(F.col("notes"))).cast("long"),
         "n_dropped": F.size(dropped).cast("long"),
         "notes": F.when(F.col("__dropped").isNull(), F.coalesce("notes", F.lit(""))).otherwise(
             _kept_lines(F.col("notes"), dropped)),
-    }).drop("__id", "__lost_id", "__dropped")
+    }).drop("__id", "__text", "__lost_id", "__lost_text", "__dropped")

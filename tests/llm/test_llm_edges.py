@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,44 @@ def test_line_dedup(alerts, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def plain_lines(rows):
+    """``id, lines that stay, n_dropped`` of each row; rows of one id count as one alert."""
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+    held = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 20:
+                held.setdefault(key(line), set()).add(-1 if i is None else i)
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        stay = [x for x in lines if len(held.get(key(x), ())) < 3 or max(held[key(x)]) == (-1 if i is None else i)]
+        out.append((i, "\n".join(stay), len(lines) - len(stay)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that share an id keep and lose their own lines."""
+    own, shared = "a line that only this row of the log holds", [f"a line that is found in many rows, number {k}" for k in range(6)]
+    cases = [
+        [(1, f"{shared[0]}\n{own}\n{shared[0]}\nb")] * 2 + [(2, shared[0]), (3, shared[0])],
+        [(1, f"{shared[0]}\nown a"), (1, "zzz\nyyy"), (2, shared[0]), (3, shared[0])],
+    ]
+    rng = np.random.default_rng(4)
+    for _ in range(2):
+        cases.append([
+            (None if rng.random() < 0.1 else int(rng.integers(0, 12)),
+             "\n".join([*rng.choice(shared, int(rng.integers(0, 4))), own + str(rng.integers(0, 9))][:int(rng.integers(1, 5))]))
+            for _ in range(40)])
+    for rows in cases:
+        log = spark.createDataFrame(rows, "id bigint, notes string")
+        for batches, fan_in in ((5, 3), (2, 2)):
+            got = line_dedup.drop_repeated_lines(log, batches=batches, fan_in=fan_in).collect()
+            assert sorted(((r["id"], r["notes"], r["n_dropped"]) for r in got), key=str) == plain_lines(rows)
+
+
 def test_lines_lost_in_number(spark):
     lines = [f"line number {k} of many lines" for k in range(3000)]
     rows = [(k, "\n".join(["own"] + lines + [f"mine {k}"] + lines[:5])) for k in range(3)]
