@@ -15,7 +15,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The one the session names (``spark.checkpoint.dir``), else a folder in the
     session's warehouse, which executors and driver share as well. A warehouse on
-    a local disk is taken on local masters only.
+    a local disk is taken on local masters only; a folder that the session names is
+    taken as it is, since a mounted share is ``file:`` too.
     """
     context = spark.sparkContext
     active = context._jsc.sc().getCheckpointDir()
