@@ -256,66 +256,116 @@ def stream_density_cooldown_alerts(
         "timestamp double, stream_id string, zone_id string, density_count bigint, threshold int", delay)
 
 
+#: A watermark that moves on by more pages than this at once has the zone's pages listed.
+JUMP_PAGES = 64
+
+
 class _Access(InOrder):
-    """Crossings wait until every scan they could match must have come: their time plus the window."""
+    """Crossings wait until every scan they could match must have come: their time plus the window.
+
+    Scans and decided crossings lie in a map by page of time. With
+    ``correct_seconds`` rows behind the watermark come in as well, and decisions
+    they change are put out again.
+    """
 
-    columns = ("ts", "kind", "stream_id", "tripwire_id", "track_id", "frame_idx", "track_ord", "direction", "identity", "arrival")
+    columns = ("ts", "stream_id", "tripwire_id", "track_id", "frame_idx", "track_ord", "direction")
     order = ("ts", "stream_id", "frame_idx", "track_ord", "track_id", "tripwire_id")
 
-    def __init__(self, window: float):
-        self.window = window
+    def __init__(self, window: float, correct_seconds: float | None):
+        self.window, self.correct_seconds = window, correct_seconds
         self.hold_seconds = window
+        # a late scan decides anew three windows around it, which look one window further; two more for the ends of pages
+        self.keep_seconds = 2 * window + (correct_seconds or 0.0) + (0.0 if correct_seconds is None else 4 * window)
+
+    def init(self, handle):
+        super().init(handle)
+        self.stored = handle.getMapState("book", "page long", "body string")
+        self.oldest = handle.getValueState("oldest", "page long")
+
+    def _open(self) -> T.AccessBook:
+        def load(page: int) -> str | None:
+            return self.stored.getValue((page,))[0] if self.stored.containsKey((page,)) else None
+        return T.AccessBook(self.window, load)
+
+    def _save(self, book: T.AccessBook) -> None:
+        for page in book.changed:
+            self.stored.updateValue((page,), (json.dumps(book.pages[page]),))
+        if book.changed:
+            first = min(book.changed)
+            if not self.oldest.exists() or first < self.oldest.get()[0]:
+                self.oldest.update((first,))
+            self._wake((max(book.changed) + 1) * 2 * self.window + self.keep_seconds)
+
+    def _too_late(self, ts: float, now: float) -> bool:
+        return self.correct_seconds is not None and ts < now - self.correct_seconds
+
+    def _row(self, zone: str, row: dict, found: list, revision: int) -> dict:
+        return {
+            "ts": row["ts"], "stream_id": row["stream_id"], "zone_id": zone, "tripwire_id": row["tripwire_id"],
+            "track_id": row["track_id"], "frame_idx": row["frame_idx"], "direction": row["direction"], "kind": found[0],
+            "authorized": found[0] == "authorized", "scan_ts": found[1], "scan_identity": found[2], "revision": revision,
+        }
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = []
+        now = timerValues.getCurrentWatermarkInMs() / 1000.0
+        book, spans, out, frames = self._open(), [], [], []
         for pdf in rows:
             is_scan = pdf["kind"] == "scan"
-            found = pdf[is_scan]
-            if len(found):
-                state = json.loads(self.memory.get()[0]) if self.memory.exists() else {"scans": [], "used": {}}
-                latest = {s[0]: s for s in state["scans"]}
-                for ts, who, arrival in zip(found["ts"], found["identity"], found["arrival"]):
-                    old = latest.get(float(ts))
-                    if old is None or int(arrival) >= old[2]:
-                        latest[float(ts)] = [float(ts), who, int(arrival)]
-                state["scans"] = sorted(latest.values())
-                self.memory.update((json.dumps(state),))
-                self._wake(float(found["ts"].max()) + 2 * self.window)
-            frames.append(pdf[~is_scan])
+            late = pdf["ts"].map(lambda ts: self._too_late(ts, now)).astype(bool)
+            for r in pdf[late].to_dict("records"):
+                scan = r["kind"] == "scan"
+                out.append(self._row(key[0], r, ["too_late", r["ts"] if scan else None, r["identity"] if scan else None], 0))
+            found = pdf[is_scan & ~late]
+            for ts, who, arrival in zip(found["ts"], found["identity"], found["arrival"]):
+                if book.add_scan(float(ts), who, int(arrival)) and ts <= now:
+                    spans.append((ts - 3 * self.window, ts + 3 * self.window))
+            frames.append(pdf[~is_scan & ~late])
+        out += [self._row(key[0], c["row"], c["found"], c["revision"]) for c in book.settle(spans)]
+        self._save(book)
         yield from super().handleInputRows(key, iter([f for f in frames if len(f)]), timerValues)
+        if out:
+            yield _known_at(pd.DataFrame(out), now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.memory.exists():
-            # no crossing still to be decided can reach a scan this old
-            oldest = timerValues.getCurrentWatermarkInMs() / 1000.0 - self.hold_seconds - 2 * self.window
-            state = json.loads(self.memory.get()[0])
-            state["scans"] = [s for s in state["scans"] if s[0] >= oldest]
-            state["used"] = {k: v for k, v in state["used"].items() if v >= oldest}
-            if state["scans"] or state["used"]:
-                self.memory.update((json.dumps(state),))
-            else:
-                self.memory.clear()
+        now = timerValues.getCurrentWatermarkInMs() / 1000.0
+        for made in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield made if self.correct_seconds is None else _known_at(made, now)
+        if self.oldest.exists():
+            first, bound = self.oldest.get()[0], math.floor((now - self.keep_seconds) / (2 * self.window))
+            # time may have jumped: then the pages there are, not all those there could be
+            pages = range(first, bound) if bound - first <= JUMP_PAGES else [k[0] for k in self.stored.keys() if k[0] < bound]
+            for page in pages:
+                if self.stored.containsKey((page,)):
+                    self.stored.removeKey((page,))
+            if bound > first:
+                self.oldest.update((bound,))
 
     def work(self, key, rows, state):
-        s = json.loads(state) if state else {"scans": [], "used": {}}
-        out = []
+        book = self._open()
         for r in rows:
-            kind, scan = T.decide(r["ts"], s["scans"], s["used"], self.window)
-            out.append({
-                "ts": r["ts"], "stream_id": r["stream_id"], "zone_id": key[0], "tripwire_id": r["tripwire_id"],
-                "track_id": r["track_id"], "frame_idx": r["frame_idx"], "direction": r["direction"], "kind": kind,
-                "authorized": kind == "authorized", "scan_ts": scan[0] if scan else None,
-                "scan_identity": scan[1] if scan else None,
-            })
-        return out, json.dumps(s)
+            book.add_crossing(r["ts"], [r[c] for c in self.order], r)
+        decided = book.settle([(r["ts"], r["ts"] + self.window) for r in rows])
+        self._save(book)
+        return [self._row(key[0], c["row"], c["found"], c["revision"]) for c in decided], None
+
 
+def _known_at(made: pd.DataFrame, now: float) -> pd.DataFrame:
+    # just ahead of the watermark, as nothing may be put out behind it
+    return made.assign(event_time=pd.to_datetime(round(now * 1e3) + 1, unit="ms", utc=True))
 
-def stream_access_decisions(crossings: DataFrame, scans: DataFrame, window: float, delay: str = "10 seconds") -> DataFrame:
+
+def stream_access_decisions(
+    crossings: DataFrame, scans: DataFrame, window: float, delay: str = "10 seconds", correct_seconds: float | None = None
+) -> DataFrame:
     """``access_decisions`` on streams of crossing records and scans, by zone.
 
-    A decision is made once the watermark is past the crossing by ``window``;
-    scans that come later than ``delay`` allows are too late to count.
+    A decision is made once the watermark is past the crossing by ``window``.
+    Scans and crossings that come later than ``delay`` allows are too late to
+    count, unless ``correct_seconds`` is given: then those at most so far behind
+    the watermark still count, and every decision they change is put out again
+    with the next ``revision`` (``latest_decisions`` takes the last ones). Rows
+    still further behind come out with the kind ``too_late``, so none is lost
+    unseen. State is kept for that time and a few windows.
     """
     no = lambda kind: F.lit(None).cast(kind)
     crossings, scans = _timed(crossings, delay), _timed(scans, delay)
@@ -326,10 +376,24 @@ def stream_access_decisions(crossings: DataFrame, scans: DataFrame, window: floa
         "event_time", "zone_id", "ts", F.lit("scan").alias("kind"), no("string").alias("stream_id"), no("string").alias("tripwire_id"),
         F.lit(0).cast("long").alias("track_id"), F.lit(0).cast("long").alias("frame_idx"), F.lit(0).cast("long").alias("track_ord"),
         no("string").alias("direction"), "identity", "arrival")
+    rows = c.unionByName(s)
+    if correct_seconds is not None:
+        # a computed time is no event time to Spark, which would drop late rows by it; the watermark moves on all the same
+        rows = rows.withColumn("event_time", F.timestamp_micros(F.unix_micros("event_time")))
     return _run(
-        c.unionByName(s), ["zone_id"], _Access(float(window)),
+        rows, ["zone_id"], _Access(float(window), correct_seconds),
         "ts double, stream_id string, zone_id string, tripwire_id string, track_id bigint, frame_idx bigint, "
-        "direction string, kind string, authorized boolean, scan_ts double, scan_identity string", delay)
+        "direction string, kind string, authorized boolean, scan_ts double, scan_identity string, revision int", delay)
+
+
+def latest_decisions(decisions: DataFrame) -> DataFrame:
+    """Of the written output of ``stream_access_decisions`` the last revision of every decision; rows too late are left out."""
+    key = ["zone_id", "stream_id", "tripwire_id", "track_id", "frame_idx", "ts"]
+    values = [c for c in decisions.columns if c not in key]
+    return (
+        decisions.filter("kind <> 'too_late'").groupBy(*key)
+        .agg(F.max_by(F.struct(*values), "revision").alias("__last")).select(*key, "__last.*")
+    )
 
 
 class _Boxes(InOrder):

@@ -134,13 +134,24 @@ def test_access_cases(spark, crossings, scan_rows, expected):
     assert decisions(spark, crossings, scan_rows, 10.0) == expected
 
 
+def decide(ts, scans, used, window):
+    """One pass: ``used`` has the last crossing on each scan."""
+    near = [s for s in scans if ts - window <= s[0] <= ts + window]
+    if not near:
+        return "unmatched", None
+    best = min(near, key=lambda s: (abs(s[0] - ts), s[0]))
+    behind = best[0] in used and abs(used[best[0]] - ts) <= window
+    used[best[0]] = ts
+    return ("tailgating" if behind else "authorized"), best
+
+
 def test_access_random(spark):
     rng = random.Random(7)
     scan_rows = sorted({rng.randint(0, 400) * 0.5 for _ in range(60)})
     crossings = sorted(rng.randint(0, 800) * 0.25 for _ in range(120))
     used, truth = {}, []
     for ts in crossings:
-        kind, scan = T.decide(ts, [[s, f"p{s}", 0] for s in scan_rows], used, 1.5)
+        kind, scan = decide(ts, [[s, f"p{s}", 0] for s in scan_rows], used, 1.5)
         truth.append((kind, scan[1] if scan else None))
     for size in (1200.0, 6.0):
         assert decisions(spark, crossings, [(s, f"p{s}") for s in scan_rows], 1.5, size) == truth

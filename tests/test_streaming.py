@@ -1,5 +1,7 @@
 """Streaming forms give what the batch forms give, fed file by file and partly out of order."""
 
+import json
+import random
 import uuid
 
 import pytest
@@ -10,6 +12,7 @@ from paceline.plans import catalog as C
 from paceline.plans import inputs as I  # noqa: E741
 from paceline.sources import sinks
 from paceline.streaming import processors as P
+from paceline.streaming import transitions as T
 
 SF = "/root/testdata/sf0.001"
 END = 1e6
@@ -168,3 +171,65 @@ def test_stage_failures_on_a_stream(spark, feed, tmp_path):
     staged = C._staged(spark, SF)
     got = run(spark, metrics.stage_split(feed(staged, "staged", "stream_id"))[1], tmp_path).filter("stream_id <> '~'")
     same(got, metrics.stage_split(staged)[1], ["stream_id", "frame_idx", "stage", "reason", "dropped"])
+
+
+def _access_rows(seed, n):
+    rng = random.Random(seed)
+    crossings = [("cam", "z", "z", i, i, 0, round(1000 + rng.random() * n * 0.7, 1), "in") for i in range(n)]
+    scans = [("z", round(1000 + rng.random() * n * 0.7, 1), f"p{i % 5}", i) for i in range(n // 2)]
+    return crossings, scans
+
+
+CROSSED = "stream_id string, zone_id string, tripwire_id string, track_id long, frame_idx long, track_ord long, ts double, direction string"
+
+
+def test_late_rows_correct_decisions(spark, tmp_path):
+    """Scans and crossings behind the watermark: decisions and their corrections are those of the batch form."""
+    crossings, scans = _access_rows(7, 120)
+    all_c, all_s = spark.createDataFrame(crossings, CROSSED), spark.createDataFrame(scans, I.schemas.SCANS)
+    on_time = (F.col("track_id") % 7 != 0, F.col("arrival") % 4 != 0)
+    cp, sp = str(tmp_path / "c"), str(tmp_path / "s")
+    move = lambda ts: (spark.createDataFrame([("~", "~", "~", 0, 0, 0, ts, "in")], CROSSED), spark.createDataFrame([("~", ts, "p", 0)], I.schemas.SCANS))
+    out = str(tmp_path / "out")
+    def run_once():
+        stream = P.stream_access_decisions(
+            spark.readStream.schema(all_c.schema).parquet(cp), spark.readStream.schema(all_s.schema).parquet(sp), 2.0, "1 second",
+            correct_seconds=500.0)
+        query = sinks.results_sink(stream, sinks.log_sink(out), str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return stream.schema
+    for part_c, part_s, until in (
+        (all_c.filter(on_time[0]), all_s.filter(on_time[1]), 1300.0), (all_c.filter(~on_time[0]), all_s.filter(~on_time[1]), 1301.0),
+        (all_c.limit(0), all_s.limit(0).union(spark.createDataFrame([("z", 500.0, "old", 999)], I.schemas.SCANS)), 5000.0),
+    ):
+        end_c, end_s = move(until)
+        part_c.union(end_c).coalesce(1).write.mode("append").parquet(cp)
+        part_s.union(end_s).coalesce(1).write.mode("append").parquet(sp)
+        schema = run_once()
+    got = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out).filter("zone_id = 'z'")
+    columns = ["ts", "track_id", "kind", "authorized", "scan_ts", "scan_identity"]
+    same(P.latest_decisions(got), access.access_decisions(all_c, all_s, 2.0), columns)
+    # the first ones are those of the rows in time, and something had to be corrected
+    first = got.filter("revision = 0 and kind <> 'too_late'").filter(on_time[0])
+    same(first, access.access_decisions(all_c.filter(on_time[0]), all_s.filter(on_time[1]), 2.0), columns)
+    assert got.filter("revision > 0").count() > 5
+    assert [(r.kind, r.scan_ts, r.scan_identity) for r in got.filter("kind = 'too_late'").collect()] == [("too_late", 500.0, "old")]
+    # all pages of the zone are gone once the watermark is far past them
+    pages = spark.read.format("statestore").option("stateVarName", "book").load(str(tmp_path / "checkpoint"))
+    assert pages.filter("key.zone_id = 'z'").count() == 0 and pages.count() > 0
+
+
+def test_decision_reads_two_pages_of_many_scans():
+    """The work of a decision does not grow with the scans of its zone."""
+    kept = {}
+    filled = T.AccessBook(5.0, kept.get)
+    for i in range(100_000):
+        filled.add_scan(i * 3.0, f"p{i}", i)
+    kept = {page: json.dumps(body) for page, body in filled.pages.items()}
+    for ts in (12.0, 150_001.4, 299_990.0):
+        book = T.AccessBook(5.0, kept.get)
+        book.add_crossing(ts, [ts], {})
+        found = book.settle([(ts, ts + 5.0)])[0]["found"]
+        nearest = min(range(100_000), key=lambda i: (abs(i * 3.0 - ts), i))
+        assert found == ["authorized", nearest * 3.0, f"p{nearest}"] and len(book.pages) <= 2
