@@ -113,6 +113,19 @@ def point_in_polygon(px: Column, py: Column, polygon: Column) -> Column:
     return point_in_edges(px, py, polygon_edges(polygon))
 
 
+def edge_meets_box(e: Column, x_lo: Column, y_lo: Column, x_hi: Column, y_hi: Column, scale: Column) -> Column:
+    """False only where an edge stays clear of a box, tolerances and rounding at coordinates up to ``scale`` included."""
+    eps = F.lit(LINE_EPS)
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    side = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (x_lo, x_hi) for y in (y_lo, y_hi)]
+    clear = eps + F.lit(1e-9) * (F.abs(dx) + F.abs(dy)) * scale
+    return (
+        (F.least(e["x1"], e["x2"]) - eps <= x_hi) & (F.greatest(e["x1"], e["x2"]) + eps >= x_lo)
+        & (F.least(e["y1"], e["y2"]) - eps <= y_hi) & (F.greatest(e["y1"], e["y2"]) + eps >= y_lo)
+        & (F.least(*side) <= clear) & (F.greatest(*side) >= -clear)
+    )
+
+
 def segments_intersect(
     ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column
 ) -> Column:

@@ -50,6 +50,65 @@ def zone_membership(points: DataFrame, zones: DataFrame) -> DataFrame:
     return points.join(_prepared(zones), near).filter(inside).select(*points.columns, "zone_id")
 
 
+#: A zone is covered by at most so many cells along its longer side, and two more at its ends.
+RASTER_CELLS = 8
+
+
+def zone_raster(zones: DataFrame) -> DataFrame:
+    """Zones cut into grid cells, for cameras with thousands of them: an index that ``raster_membership`` joins by cell.
+
+    The side of a zone's cells is the power of two that covers it with about
+    ``RASTER_CELLS`` of them, so a zone has a hundred rows at most, however large
+    it is. A cell that no edge comes near lies wholly inside (``__whole``, no edges
+    kept) or outside (no row). Zones without corners or with corners that are not
+    finite hold nothing.
+    """
+    eps = F.lit(G.EDGE_EPS)
+    extent = F.greatest(F.col("__x_hi") - F.col("__x_lo"), F.col("__y_hi") - F.col("__y_lo"), F.lit(1.0))
+    side = F.pow(F.lit(2.0), F.ceil(F.log2(extent / F.lit(float(RASTER_CELLS)))))
+    bounds = [F.col(c) for c in ("__x_lo", "__x_hi", "__y_lo", "__y_hi")]
+    finite = bounds[0].isNotNull() & ~F.exists(F.array(*bounds), lambda b: ~G.is_finite(b))
+    cells = lambda lo, hi: F.explode(F.sequence(
+        F.floor((F.col(lo) - eps) / F.col("__side")), F.floor((F.col(hi) + eps) / F.col("__side"))))
+    cut = (
+        _prepared(zones).filter(finite).withColumn("__side", side)
+        .withColumn("__ix", cells("__x_lo", "__x_hi")).withColumn("__iy", cells("__y_lo", "__y_hi"))
+    )
+    x, y, s = F.col("__ix") * F.col("__side"), F.col("__iy") * F.col("__side"), F.col("__side")
+    scale = F.abs(bounds[0]) + F.abs(bounds[1]) + F.abs(bounds[2]) + F.abs(bounds[3])
+    near = F.exists("__edges", lambda e: G.edge_meets_box(e, x, y, x + s, y + s, scale))
+    inside = G.point_in_edges(x + s / 2, y + s / 2, F.col("__edges"))
+    return (
+        cut.withColumn("__near", near).withColumn("__whole", ~F.col("__near") & inside)
+        .filter(F.col("__near") | F.col("__whole"))
+        .withColumn("__edges", F.when(F.col("__near"), F.col("__edges"))).drop("__near")
+    )
+
+
+def raster_membership(points: DataFrame, raster: DataFrame) -> DataFrame:
+    """``zone_membership`` by the index of ``zone_raster``.
+
+    A point looks up one cell for each size of cell its camera has, by equality,
+    so it only meets zones that reach into its cells, and is tested against edges
+    only where an edge is near.
+    """
+    eps = F.lit(G.EDGE_EPS)
+    x, y = F.col("cx"), F.col("cy")
+    sides = raster.groupBy(F.col("__stream").alias("__of")).agg(F.collect_set("__side").alias("__sides"))
+    probes = (
+        points.join(sides, F.col("stream_id") == F.col("__of")).withColumn("__probe", F.explode("__sides"))
+        .withColumn("__px", F.floor(x / F.col("__probe"))).withColumn("__py", F.floor(y / F.col("__probe")))
+    )
+    cell = (
+        (F.col("stream_id") == F.col("__stream")) & (F.col("__probe") == F.col("__side"))
+        & (F.col("__px") == F.col("__ix")) & (F.col("__py") == F.col("__iy"))
+        & (x >= F.col("__x_lo") - eps) & (x <= F.col("__x_hi") + eps)
+        & (y >= F.col("__y_lo") - eps) & (y <= F.col("__y_hi") + eps)
+    )
+    inside = F.col("__whole") | G.point_in_edges(x, y, F.col("__edges"))
+    return probes.join(raster, cell).filter(inside).select(*points.columns, "zone_id")
+
+
 def zone_occupancy(frames: DataFrame, points: DataFrame, zones: DataFrame) -> DataFrame:
     """Per frame and zone: how many people and which track ids (in list order), empty zones included.
 

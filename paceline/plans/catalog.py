@@ -394,6 +394,12 @@ def zone_membership(s, d):
     return zones.zone_membership(points(s, d).select("stream_id", "frame_idx", "track_id", "cx", "cy"), I.zones(s))
 
 
+@query
+def raster_membership(s, d):
+    return zones.raster_membership(
+        points(s, d).select("stream_id", "frame_idx", "track_id", "cx", "cy"), zones.zone_raster(I.zones(s)))
+
+
 @query
 def crossing_candidates(s, d):
     return tripwire.crossing_candidates(tripwire.prev_centroid(points(s, d), FRAMES), I.tripwires(s)).select(*CROSSING_COLUMNS)

@@ -469,6 +469,7 @@ BODIES: dict[str, str] = {
         SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) / sqrt(list_reduce(list_transform(embedding,
           lambda q: CAST(q AS DOUBLE) * CAST(q AS DOUBLE)), lambda m, n: m + n))) AS v FROM embeddings)""",
     "zone_membership": f"SELECT {_KEY}, cx, cy, zone_id FROM member",
+    "raster_membership": f"SELECT {_KEY}, cx, cy, zone_id FROM member",
     "crossing_candidates": f"SELECT {_CROSS} FROM cands",
     "crossing_candidates_clipped": f"""SELECT {_CROSS} FROM cands WHERE
         ((cx - px) * (y1 - py) - (cy - py) * (x1 - px)) * ((cx - px) * (y2 - py) - (cy - py) * (x2 - px)) <= 0""",
