@@ -7,10 +7,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import access, alertlog, camera_state, density, metrics, tripwire, zones
+from paceline.operators import access, alertlog, camera_state, density, evidence, metrics, tripwire, zones
 from paceline.plans import catalog as C
 from paceline.plans import inputs as I  # noqa: E741
 from paceline.sources import sinks
+from paceline.streaming import intervals
 from paceline.streaming import processors as P
 from paceline.streaming import transitions as T
 
@@ -233,3 +234,26 @@ def test_decision_reads_two_pages_of_many_scans():
         found = book.settle([(ts, ts + 5.0)])[0]["found"]
         nearest = min(range(100_000), key=lambda i: (abs(i * 3.0 - ts), i))
         assert found == ["authorized", nearest * 3.0, f"p{nearest}"] and len(book.pages) <= 2
+
+
+def test_unmatched_on_a_stream(spark, feed, tmp_path):
+    crossings, scans = _access_rows(11, 200)
+    c, s = spark.createDataFrame(crossings, CROSSED), spark.createDataFrame(scans[::4], I.schemas.SCANS)
+    wanted = access.unmatched_crossings(c, s, 2.0)
+    later = lambda df: df.withColumn("ts", F.col("ts") - 1000.0 + 1.0)
+    stream = intervals.stream_unmatched_crossings(
+        feed(later(c), "uc", "zone_id"), feed(later(s), "us", "zone_id"), 2.0, "200 seconds", piece_seconds=10.0)
+    got = run(spark, stream, tmp_path).filter("zone_id <> '~'")
+    same(got, access.unmatched_crossings(later(c), later(s), 2.0), ["ts", "zone_id", "track_id", "frame_idx"])
+    assert 0 < wanted.count() < c.count()
+
+
+def test_evidence_on_a_stream(spark, feed, tmp_path):
+    frames = spark.createDataFrame([("cam", i, 1.0 + i * 0.5) for i in range(200) if not 90 <= i < 120], "stream_id string, frame_idx long, ts double")
+    alerts = spark.createDataFrame([(i, "cam", t, t) for i, t in enumerate([1.0, 3.25, 9.5, 52.0, 53.0, 60.0, 99.0])],
+                                   "id long, stream_id string, timestamp double, ts double")
+    stream = intervals.stream_evidence_window(
+        feed(alerts.drop("timestamp"), "ea", "stream_id").withColumn("timestamp", F.col("ts")), feed(frames, "ef", "stream_id"), 2.0, 1.0, "200 seconds", piece_seconds=6.0, keep_empty=True)
+    got = run(spark, stream, tmp_path).filter("stream_id <> '~'")
+    same(got.filter("frame_idx is not null"), evidence.evidence_window(alerts, frames, 2.0, 1.0), ["id", "stream_id", "alert_ts", "frame_idx", "ts"])
+    assert sorted(r.id for r in got.filter("frame_idx is null").collect()) == [3, 4]
