@@ -24,6 +24,12 @@ MIN_ROWS = 3
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 KEPT_BUCKETS = 8_192
+#: Neutral words of the corpus that are swapped beside the identity terms, at most.
+NEUTRAL_TERMS = 64
+#: Share of either class's rows that a neutral word has to occur in, and the chi-square that it has to stay under.
+NEUTRAL_SHARE, NEUTRAL_CHI = 0.02, 2.7
+#: Neighbours are counted in so many buckets a side; words with contexts at least so similar stand for each other.
+CONTEXT_BUCKETS, CONTEXT_COSINE = 128, 0.5
 
 #: Terms for groups of people that stand for each other in a sentence; a term is swapped within its row.
 IDENTITY_TERMS = (
@@ -37,6 +43,7 @@ IDENTITY_TERMS = (
 )
 
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
 def words_of(notes: str | None) -> set[str]:
@@ -67,10 +74,15 @@ def _bucket(feature: str) -> int:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of features by name, and the constant. A score needs nothing but the notes."""
+    """Weights of features by name, and the constant. A score needs nothing but the notes.
+
+    ``terms`` are the rows of terms that were swapped, ``swaps`` how many sentences could be swapped with them.
+    """
 
     weights: dict[str, float]
     constant: float
+    terms: tuple[tuple[str, ...], ...] = ()
+    swaps: int = 0
 
     def score(self, notes: str | None) -> float:
         words, weights = words_of(notes), self.weights
@@ -123,28 +135,100 @@ def _feature_counts(sample: DataFrame, buckets: set[int]) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _vectors(sample: DataFrame, vocabulary: dict[str, int], terms: Sequence[Sequence[str]]) -> DataFrame:
-    """Per row the places of its features, and of those of its counterfactuals (one list each)."""
+def _contexts(sample: DataFrame, words: set[str]) -> DataFrame:
+    """How often each word has neighbours of each bucket before it, and after it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            for notes in batch.column("notes"):
+                line = _WORD.findall((notes.as_py() or "").lower())
+                for at, word in enumerate(line):
+                    if word in words:
+                        for side, other in ((0, at - 1), (1, at + 1)):
+                            if 0 <= other < len(line):
+                                place = side * CONTEXT_BUCKETS + _bucket(line[other]) % CONTEXT_BUCKETS
+                                counts[word, place] = counts.get((word, place), 0) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.int32()),
+             pa.array(list(counts.values()), pa.int64())], names=["word", "place", "n"])
+
+    parts = sample.select("notes").mapInArrow(run, "word string, place int, n bigint")
+    return parts.groupBy("word", "place").agg(F.sum("n").alias("n"))
+
 
-    def places(words: set[str]) -> list[int]:
-        return sorted(vocabulary[f] for f in features_of(words) if f in vocabulary)
+def neutral_pairs(
+    sample: DataFrame, bucket_counts: DataFrame, n0: int, n1: int, most: int, known: set[str],
+) -> list[tuple[str, str]]:
+    """Pairs of frequent words that say nothing about the class and are used alike, from the sample itself.
 
-    shifts = range(1, max(map(len, terms), default=1))
+    Neutral is a word that both classes have, in at least ``NEUTRAL_SHARE`` of
+    their rows, and no oftener than chance allows; the ``most`` commonest are
+    taken. Two of them stand for each other if the words around them are
+    distributed alike; the most similar are paired first.
+    """
+    def neutral(df: DataFrame) -> DataFrame:
+        chi = F.abs(_strength(F.col("n0"), F.col("n1"), n0, n1)) * F.lit(float(n0 + n1))
+        return df.filter((F.col("n0") >= max(1.0, NEUTRAL_SHARE * n0)) & (F.col("n1") >= max(1.0, NEUTRAL_SHARE * n1)) & (chi < NEUTRAL_CHI))
+
+    often = F.col("n0") + F.col("n1")
+    buckets = {r["bucket"] for r in neutral(bucket_counts).orderBy(often.desc(), "bucket").limit(KEPT_BUCKETS).select("bucket").collect()}
+    words = [r["feature"] for r in neutral(_feature_counts(sample, buckets)).filter(~F.col("feature").endswith("*")).orderBy(
+        often.desc(), "feature").limit(most + len(known)).select("feature").collect() if r["feature"] not in known][:most]
+    at = {w: k for k, w in enumerate(words)}
+    around = np.zeros((len(words), 2 * CONTEXT_BUCKETS))
+    for r in _contexts(sample, set(words)).collect():
+        around[at[r["word"]], r["place"]] = r["n"]
+    around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-12)
+    alike = np.triu(around @ around.T, 1)
+    left, right = np.nonzero(alike >= CONTEXT_COSINE)
+    pairs, used = [], set()
+    for k in np.lexsort((right, left, -np.round(alike[left, right], 9))):
+        one, other = int(left[k]), int(right[k])
+        if not used & {one, other}:
+            used |= {one, other}
+            pairs.append((words[one], words[other]))
+    return pairs
+
+
+def swaps_of(sentence: set[str], terms: Sequence[Sequence[str]]) -> Iterator[set[str]]:
+    """The sentence with the one term it has of a row swapped for each other of that row; two of a row are left as they are."""
+    for row in terms:
+        if sum(t in sentence for t in row) == 1:
+            for shift in range(1, len(row)):
+                yield swapped(sentence, (row,), shift)
 
+
+def _vectors(sample: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """Per row the places of its features."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, others = [], []
+            own = [sorted(vocabulary[f] for f in features_of(words_of(n.as_py())) if f in vocabulary) for n in batch.column("notes")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
+
+    return sample.select("notes", "toxic").mapInArrow(run, "toxic int, own array<int>")
+
+
+def _differences(sample: DataFrame, vocabulary: dict[str, int], terms: Sequence[Sequence[str]]) -> DataFrame:
+    """What features a sentence loses and gains by a swap, and in how many sentences of the sample."""
+    places = lambda found: sorted(vocabulary[f] for f in found if f in vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+        for batch in batches:
             for notes in batch.column("notes"):
-                words = words_of(notes.as_py())
-                own.append(places(words))
-                turned = [swapped(words, terms, s) for s in shifts]
-                others.append([places(t) for t in turned if t != words])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(own, pa.list_(pa.int32())),
-                 pa.array(others, pa.list_(pa.list_(pa.int32())))], names=["toxic", "own", "others"])
+                for text in _SENTENCE_END.split(notes.as_py() or ""):
+                    words = words_of(text)
+                    before = features_of(words)
+                    for turned in swaps_of(words, terms):
+                        after = features_of(turned)
+                        key = tuple(places(before - after)), tuple(places(after - before))
+                        counts[key] = counts.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([list(k[0]) for k in counts], pa.list_(pa.int32())), pa.array([list(k[1]) for k in counts], pa.list_(pa.int32())),
+             pa.array(list(counts.values()), pa.int64())], names=["lost", "gained", "n"])
 
-    return sample.select("notes", "toxic").mapInArrow(
-        run, "toxic int, own array<int>, others array<array<int>>")
+    parts = sample.select("notes").mapInArrow(run, "lost array<int>, gained array<int>, n bigint")
+    return parts.groupBy("lost", "gained").agg(F.sum("n").alias("n"))
 
 
 def fit_weights(
@@ -174,6 +258,7 @@ def fit_weights(
 def fit_toxicity(
     alerts: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 10.0,
     ridge: float = 0.05, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_rows: int = MIN_ROWS,
+    neutral_terms: int = NEUTRAL_TERMS,
 ) -> ToxicityModel:
     """Fit on alerts (``id, notes``) that ``labels`` (``id, toxic`` 0 or 1) marks.
 
@@ -181,13 +266,15 @@ def fit_toxicity(
     their id; labels that are null or neither 0 nor 1 are passed over. Features
     are words and word beginnings; of these, the ``max_features`` that occur
     oftenest in toxic rows beyond chance (chi-square, at least ``min_rows`` toxic
-    rows) and the identity terms.
+    rows) and the terms that are swapped.
 
-    Every labelled row that has identity terms is also read with each term
-    swapped for the others of its row; the difference of the linear scores,
-    squared and times ``penalty``, is added to the loss. A term that comes with
-    toxic rows by accident so gets the weight of its counterparts, and a neutral
-    mention of a group is not marked for it.
+    These are the identity terms of ``terms`` and, for corpora that have others
+    or are in other languages, up to ``neutral_terms`` words found in the sample
+    (``neutral_pairs``). Every sentence of a labelled row that has one term of a
+    row of terms is also read with it swapped for the others; the difference of
+    the linear scores, squared and times ``penalty``, is added to the loss, once
+    for each different one. A term that comes with toxic rows by accident so gets
+    the weight of its counterparts, and a neutral mention is not marked for it.
 
     Without labelled rows of both classes the model is the share of toxic rows.
     """
@@ -204,26 +291,32 @@ def fit_toxicity(
         release(sample)
         return ToxicityModel({}, float(np.log((n1 + 1.0) / (n0 + 1.0))))
     strength = _strength(F.col("n0"), F.col("n1"), n0, n1)
-    buckets = {r["bucket"] for r in _bucket_counts(sample).filter(F.col("n1") >= min_rows).orderBy(
+    counted = cut_lineage(_bucket_counts(sample), narrow=True)
+    buckets = {r["bucket"] for r in counted.filter(F.col("n1") >= min_rows).orderBy(
         strength.desc(), "bucket").limit(KEPT_BUCKETS).select("bucket").collect()}
     names = [r["feature"] for r in _feature_counts(sample, buckets).filter(F.col("n1") >= min_rows).filter(
         strength > 0).orderBy(strength.desc(), "feature").limit(max_features).select("feature").collect()]
-    wanted = features_of({t for row in terms for t in row})
+    known = {t for row in terms for t in row}
+    all_terms = [tuple(row) for row in terms]
+    if neutral_terms:
+        all_terms += neutral_pairs(sample, counted, n0, n1, neutral_terms, known)
+    wanted = features_of({t for row in all_terms for t in row})
     vocabulary = {f: at for at, f in enumerate(dict.fromkeys([*names, *sorted(wanted)]))}
-    rows = _vectors(sample, vocabulary, terms).collect()
-    release(sample)
+    rows = _vectors(sample, vocabulary).collect()
+    turns = _differences(sample, vocabulary, all_terms).collect()
+    release(sample, counted)
     rows.sort(key=lambda r: (r["toxic"], r["own"]))  # the same sums whatever order they come in
     x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.array([r["toxic"] for r in rows], np.float64)
-    differences = []
     for at, row in enumerate(rows):
         x[at, row["own"]] = 1
-        for other in row["others"]:
-            turned = np.zeros(len(vocabulary), np.float32)
-            turned[other] = 1
-            differences.append(x[at] - turned)
-    unique = np.unique(np.array(differences), axis=0) if differences else np.zeros((0, len(vocabulary)), np.float32)
+    turns.sort(key=lambda r: (r["lost"], r["gained"]))
+    unique = np.zeros((len(turns), len(vocabulary)), np.float32)
+    for at, turn in enumerate(turns):
+        unique[at, turn["lost"]] = 1
+        unique[at, turn["gained"]] = -1
     w, constant = fit_weights(x, y, unique, penalty, ridge)
-    return ToxicityModel({f: float(w[at]) for f, at in vocabulary.items() if w[at]}, constant)
+    return ToxicityModel(
+        {f: float(w[at]) for f, at in vocabulary.items() if w[at]}, constant, tuple(all_terms), sum(t["n"] for t in turns))
 
 
 def score_toxicity(alerts: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:

@@ -195,3 +195,24 @@ def test_pipeline_stages(spark, docs, duck):
     ran = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, ran.drop("sequence_id", "offset").collect())) == sorted(
         map(tuple, tables[5].drop("sequence_id", "offset").collect()))
+
+
+def test_swapped_terms_of_the_corpus(spark):
+    """Terms found in the given documents are swapped in their sentences, and the penalty draws their weights together."""
+    from paceline.llm import toxicity
+    alerts = catalog.as_alerts(spark.read.parquet(f"{SF}/documents.parquet"))
+    labels = catalog.training_labels(spark, SF)
+    free, tied = (toxicity.fit_toxicity(alerts, labels, penalty=p) for p in (0.0, 10.0))
+    pairs = tied.terms[len(toxicity.IDENTITY_TERMS):]
+    assert free.terms == tied.terms and len(pairs) >= 5 and tied.swaps > 100
+    assert len({t for pair in pairs for t in pair}) == 2 * len(pairs)
+    gap = lambda m: sum(abs(m.weights.get(a, 0.0) - m.weights.get(b, 0.0)) for a, b in pairs)
+    assert gap(tied) < 0.5 * gap(free)
+
+
+def test_swaps_of_a_sentence():
+    from paceline.llm import toxicity
+    terms = (("women", "men"), ("red", "green", "blue"))
+    got = sorted(sorted(t) for t in toxicity.swaps_of({"women", "like", "red"}, terms))
+    assert got == [["blue", "like", "women"], ["green", "like", "women"], ["like", "men", "red"]]
+    assert list(toxicity.swaps_of({"women", "and", "men"}, terms)) == []
