@@ -11,9 +11,11 @@ machines mostly forget within seconds. Only what has to run again is written aga
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -270,6 +272,7 @@ def _frames_of(pdf: pd.DataFrame, order: str, columns: list[str]):
 
 
 _PASSED_ON = ["frame_idx", "ts", "det_ord", "det_id", "x1", "y1", "x2", "y2", "conf", "cls"]
+BOX_COLUMNS = ("x1", "y1", "x2", "y2", "conf", "cls")
 _WHOLE = ("frame_idx", "det_ord", "det_id", "cls", "ref", "ord", "from_track_id", "to_track_id")
 _TRACKER_DDL = (
     "frame_idx bigint, ts double, det_ord bigint, det_id bigint, x1 double, y1 double, x2 double, y2 double, "
@@ -349,7 +352,11 @@ def iou_tracker(
     track unseen for more than ``max_age`` frames is gone; frames without
     detections count, so ``frames`` has to list them all.
     """
-    runs, names = _tracked(frames, detections, max_age, iou_threshold, frames_per_stretch, warm_up_frames)
+    return _numbered(*_tracked(frames, detections, max_age, iou_threshold, frames_per_stretch, warm_up_frames))
+
+
+def _numbered(runs: _Runs, names: _track_names) -> DataFrame:
+    """The detections of all stretches with the numbers of their tracks."""
     found = runs.now.filter("not __end").select(*STRETCH, *_PASSED_ON, "ref")
     return (
         found.join(names.offsets, STRETCH)
@@ -365,15 +372,8 @@ def _tracked(
     frames: DataFrame, detections: DataFrame, max_age: int, iou_threshold: float, frames_per_stretch: int,
     warm_up_frames: int | None,
 ) -> tuple[_Runs, _track_names]:
-    boxes = detections.select("stream_id", *[c for c in _PASSED_ON if c != "ts"])
-    # frames and boxes are put together once; every round reads the written rows
-    rows = cut_lineage(
-        frames.select("stream_id", "frame_idx", "ts").join(boxes, ["stream_id", "frame_idx"], "left").withColumn(
-            "__stretch", S.by_frames(F.col("frame_idx"), frames_per_stretch)))
-    warm = min(warm_up_frames if warm_up_frames is not None else 5 * max_age, frames_per_stretch)
-    near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
-    parts = rows.select(*STRETCH).distinct()
-    runs = _guessed(rows, parts, near_end, _tracker_step(max_age, iou_threshold), _TRACKER_DDL, per_repair(frames_per_stretch))
+    warm = warm_up_frames if warm_up_frames is not None else 5 * max_age
+    runs = _tracker_runs(frames, detections, _tracker_step(max_age, iou_threshold), frames_per_stretch, warm)
     while True:
         names = _track_names(runs.ends().select(*STRETCH, "__refs", "__fresh"))
         wrong = cut_lineage(_ranked(runs, names))
@@ -384,6 +384,18 @@ def _tracked(
         runs.settle()
 
 
+def _tracker_runs(frames: DataFrame, detections: DataFrame, step: Step, frames_per_stretch: int, warm_up_frames: int) -> _Runs:
+    boxes = detections.select("stream_id", *[c for c in _PASSED_ON if c != "ts"])
+    # frames and boxes are put together once; every round reads the written rows
+    rows = cut_lineage(
+        frames.select("stream_id", "frame_idx", "ts").join(boxes, ["stream_id", "frame_idx"], "left").withColumn(
+            "__stretch", S.by_frames(F.col("frame_idx"), frames_per_stretch)))
+    warm = min(warm_up_frames, frames_per_stretch)
+    near_end = F.pmod(F.col("frame_idx"), F.lit(frames_per_stretch)) >= F.lit(frames_per_stretch - warm)
+    parts = rows.select(*STRETCH).distinct()
+    return _guessed(rows, parts, near_end, step, _TRACKER_DDL, per_repair(frames_per_stretch))
+
+
 class _track_names:  # noqa: N801
     """Numbers of tracks from the ends of stretches.
 
@@ -440,6 +452,109 @@ class _track_names:  # noqa: N801
 TrackerFn = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+class FrameTracker(Protocol):
+    """A user's own tracker, frame by frame, whose state can be put down and taken up again.
+
+    It is made by ``make(new_id)`` and calls ``new_id()`` for each track that it
+    numbers, in order. Ids only name tracks: what the tracker does must not depend
+    on their values.
+    """
+
+    def frame(self, ts: float, boxes: list[tuple]) -> list[int | None]:
+        """The id of every box ``(x1, y1, x2, y2, conf, cls)``, None where it belongs to no numbered track. Frames may be empty."""
+
+    def snapshot(self) -> tuple[str, list[int]]:
+        """The whole state as text, in which a numbered track stands as its place in a list, and that list of ids.
+
+        Two trackers that go on alike should have equal texts: the sooner a state
+        forgets what it began with, the less is run twice.
+        """
+
+    def restore(self, state: str, ids: list[int]) -> None:
+        """Take up a state that ``snapshot`` put down, with these ids for its tracks."""
+
+
+MakeTracker = Callable[[Callable[[], int]], FrameTracker]
+
+
+def _packed_state(state: str, tracks: int) -> str:
+    """A user's state and its number of tracks, without the mark that an order of tracks stands behind."""
+    return json.dumps([state, tracks]).replace(RANKED, f"\\u{ord(RANKED):04x}")
+
+
+def _protocol_step(make: MakeTracker) -> Step:
+    """One stretch of a user's tracker: tracks that come in are called -1, -2, ... and new ones 0, 1, 2, ..."""
+
+    def step(pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
+        numbers = itertools.count()
+        made: list[int] = []
+
+        def new_id() -> int:
+            made.append(next(numbers))
+            return made[-1]
+
+        tracker = make(new_id)
+        begun = json.loads(entry.partition(RANKED)[0])
+        if begun:
+            state, n = begun
+            tracker.restore(state, [-k - 1 for k in range(n)])
+        pdf = pdf.sort_values(["frame_idx", "det_ord"], kind="stable")
+        refs: list[int | None] = []
+        for _, ts, boxes in _frames_of(pdf, "det_ord", list(BOX_COLUMNS)):
+            refs += tracker.frame(ts, boxes)
+        rows = pdf.loc[pdf["det_ord"].notna(), _PASSED_ON].reset_index(drop=True)
+        rows["ref"] = pd.Series(refs, dtype="Int64")
+        state, ids = tracker.snapshot()
+        return _with_end(rows, {
+            "__state": _packed_state(state, len(ids)), "__refs": [int(i) for i in ids], "__fresh": len(made), "__tied": False,
+        })
+
+    return step
+
+
+def stretched_tracker(
+    make: MakeTracker, frames_per_stretch: int = FRAMES_PER_TASK, warm_up_frames: int = 150,
+) -> TrackerFn:
+    """A user's ``FrameTracker`` as a tracker for ``run_tracker``, run in stretches as the box tracker is.
+
+    Per camera, the result is that of one tracker over all frames in order, with
+    ids 1, 2, 3, ... as it asked for them; boxes it gave no id have a null
+    ``track_id``. A stretch begins from the state that ``warm_up_frames`` before it
+    lead to and is run again if that was not the true one. No detections give no
+    rows; a camera without frames gives none either.
+    """
+
+    def track(frames: DataFrame, detections: DataFrame) -> DataFrame:
+        runs = _tracker_runs(frames, detections, _protocol_step(make), frames_per_stretch, warm_up_frames)
+        return _numbered(runs, _track_names(runs.ends().select(*STRETCH, "__refs", "__fresh")))
+
+    return track
+
+
+class OverlapTracker:
+    """The box tracker as a ``FrameTracker``: a pattern for trackers of one's own."""
+
+    def __init__(self, new_id: Callable[[], int], max_age: int = 30, iou_threshold: float = 0.20):
+        self.new_id, self.boxes, self.ids = new_id, BoxTracker(max_age, iou_threshold), {}
+
+    def frame(self, ts: float, boxes: list[tuple]) -> list[int | None]:
+        refs = self.boxes.frame([b[:4] for b in boxes])
+        for ref in refs:
+            if ref not in self.ids:
+                self.ids[ref] = self.new_id()
+        found = [self.ids[ref] for ref in refs]
+        self.ids = {t[0]: self.ids[t[0]] for t in self.boxes.live}
+        return found
+
+    def snapshot(self) -> tuple[str, list[int]]:
+        return json.dumps([t[1:] for t in self.boxes.live]), [self.ids[t[0]] for t in self.boxes.live]
+
+    def restore(self, state: str, ids: list[int]) -> None:
+        live = [[k, *t] for k, t in enumerate(json.loads(state))]
+        self.boxes = BoxTracker(self.boxes.max_age, self.boxes.iou_threshold, live, fresh=len(live))
+        self.ids = dict(enumerate(ids))
+
+
 def index_tracker(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """A stand-in for tests: the track id is the place of the detection in its frame, from 0."""
     place = F.row_number().over(Window.partitionBy("stream_id", "frame_idx").orderBy("det_ord")) - 1

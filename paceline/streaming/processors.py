@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paceline.functions import geometry as G
 from paceline.functions.text import density_notes
-from paceline.operators.camera_state import BoxTracker, SwitchDetector
+from paceline.operators.camera_state import BOX_COLUMNS, BoxTracker, MakeTracker, SwitchDetector
 from paceline.operators.zones import zone_membership
 from paceline.streaming import transitions as T
 
@@ -414,6 +414,32 @@ class _Boxes(InOrder):
         return out, json.dumps({"live": tracker.live, "fresh": tracker.fresh})
 
 
+class _OwnBoxes(_Boxes):
+    """As ``_Boxes``, with a user's tracker; the state is its snapshot, the ids of its tracks and the next id."""
+
+    def __init__(self, make: MakeTracker):
+        self.make = make
+
+    def work(self, key, rows, state):
+        text, ids, begun = json.loads(state) if state else (None, [], 1)
+        numbers = [begun]
+
+        def new_id() -> int:
+            numbers[0] += 1
+            return numbers[0] - 1
+
+        tracker = self.make(new_id)
+        if text is not None:
+            tracker.restore(text, ids)
+        out = []
+        for _, group in _by_frame(rows):
+            seen = [r for r in group if r["det_ord"] >= 0]
+            found = tracker.frame(group[0]["ts"], [tuple(r[c] for c in BOX_COLUMNS) for r in seen])
+            out += [{"stream_id": key[0], **{c: r[c] for c in self.columns}, "track_id": t} for r, t in zip(seen, found)]
+        text, ids = tracker.snapshot()
+        return out, json.dumps([text, [int(i) for i in ids], numbers[0]])
+
+
 def _by_frame(rows: list[dict]):
     group: list[dict] = []
     for r in rows:
@@ -429,6 +455,15 @@ def stream_iou_tracker(
     frames: DataFrame, detections: DataFrame, max_age: int = 30, iou_threshold: float = 0.20, delay: str = "10 seconds"
 ) -> DataFrame:
     """``iou_tracker`` on streams of frames and detections, by camera."""
+    return _stream_boxes(frames, detections, _Boxes(max_age, iou_threshold), delay)
+
+
+def stream_tracker(frames: DataFrame, detections: DataFrame, make: MakeTracker, delay: str = "10 seconds") -> DataFrame:
+    """A user's ``FrameTracker`` on streams of frames and detections, by camera: the rows of ``stretched_tracker``."""
+    return _stream_boxes(frames, detections, _OwnBoxes(make), delay)
+
+
+def _stream_boxes(frames: DataFrame, detections: DataFrame, processor: InOrder, delay: str) -> DataFrame:
     boxes = ("x1", "y1", "x2", "y2", "conf")
     frames, detections = _timed(frames, delay), _timed(detections, delay)
     blank = frames.select(
@@ -436,7 +471,7 @@ def stream_iou_tracker(
         *[F.lit(0.0).alias(c) for c in boxes], F.lit(0).alias("cls"))
     found = detections.select("event_time", "stream_id", "frame_idx", "ts", "det_ord", *boxes, "cls")
     return _run(
-        blank.unionByName(found), ["stream_id"], _Boxes(max_age, iou_threshold),
+        blank.unionByName(found), ["stream_id"], processor,
         "stream_id string, frame_idx bigint, ts double, det_ord bigint, x1 double, y1 double, x2 double, y2 double, "
         "conf double, cls int, track_id bigint", delay)
 
