@@ -13,7 +13,8 @@ from paceline.functions import text as X
 from paceline.operators import access, alertlog, camera_state, density, evidence, metrics, quality, report, scans
 from paceline.operators import tracking, tripwire, validate, zones
 from paceline.plans import inputs as I  # noqa: E741
-from paceline.sources import config, media
+from paceline.session import new_folder
+from paceline.sources import config, ledger, media
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,6 +204,47 @@ def attach_clip(s, d):
     return alertlog.attach_clip(log, _clips(log)).select("id", "stream_id", "timestamp", "clip_path", "clip_url")
 
 
+@query
+def results_sink(s, d):
+    def shown(batch):
+        return displayed_of(batch).select("stream_id", "frame_idx", F.lit(None).cast("string").alias("name"), F.col("track_id").alias("n"))
+
+    def displayed_of(batch):
+        return tracking.display_tracks(batch, I.cameras(s))
+
+    def counted(batch):
+        placed = zones.with_centroid(batch, I.cameras(s))
+        return zones.zone_counts(I.frames(s, d), placed, I.zones(s)).select(
+            "stream_id", "frame_idx", F.col("zone_id").alias("name"), F.col("count").cast("long").alias("n"))
+
+    def crossed(batch):
+        placed = zones.with_centroid(batch, I.cameras(s))
+        return tripwire.crossings_of(placed, I.tripwires(s), frames_per_stretch=FRAMES).select(
+            "stream_id", "frame_idx", F.col("tripwire_id").alias("name"), F.col("track_id").alias("n"))
+
+    path = new_folder(s)
+    outputs = {"displayed": shown, "counts": counted, "crossings": crossed}
+    handler = ledger.outputs_sink(path, outputs)
+    for _ in range(2):  # the second time it is there already
+        handler(I.tracks(s, d), 0)
+    found = [ledger.read_output(s, path, name).select(F.lit(name).alias("output"), "stream_id", "frame_idx", "name", "n") for name in outputs]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def alert_log_versions(s, d):
+    rows = density.density_alert_rows(alerts(s, d))
+    middle = rows.agg(F.avg("timestamp")).first()[0] or 0.0
+    log = ledger.AlertLog(s, new_folder(s))
+    for batch, half in ((0, F.col("timestamp") < middle), (0, F.lit(True)), (1, F.col("timestamp") >= middle)):
+        log.append(alertlog.record_density_alerts(rows.filter(half)), "alerts", batch)  # a batch that is repeated counts once
+    if log.read() is None:
+        return alert_log(s, d).select(*ALERT_COLUMNS)
+    log.attach(_clips(log.read()))
+    log.compact()
+    return log.read().select(*ALERT_COLUMNS)
+
+
 @query
 def expired_clips(s, d):
     index = I.table(s, d, "orders").select(
@@ -694,6 +736,12 @@ def iou_tracker(s, d):
     return camera_state.iou_tracker(I.frames(s, d), I.detections(s, d), **TRACKER)
 
 
+@query
+def tracker_fn(s, d):
+    own = camera_state.stretched_tracker(camera_state.OverlapTracker, **TRACKER)
+    return camera_state.run_tracker(I.frames(s, d), I.detections(s, d), "own", {"own": own})
+
+
 @query
 def tripwire_crossings(s, d):
     return crossings(s, d).select(*CROSSING_COLUMNS)

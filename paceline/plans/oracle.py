@@ -405,6 +405,12 @@ BODIES: dict[str, str] = {
     "record_density_alerts": "SELECT *, CAST(NULL AS VARCHAR) AS clip_path, CAST(NULL AS VARCHAR) AS clip_url FROM alog",
     "attach_clip": """SELECT id, stream_id, timestamp, CASE WHEN id % 3 = 0 THEN path END AS clip_path,
         CASE WHEN id % 3 = 0 THEN concat('file://', path) END AS clip_url FROM clip""",
+    "results_sink": """SELECT 'displayed' AS output, stream_id, frame_idx, CAST(NULL AS VARCHAR) AS name, track_id AS n FROM shown
+        UNION ALL SELECT 'counts', stream_id, frame_idx, zone_id, CAST(count AS BIGINT) FROM occ
+        UNION ALL SELECT 'crossings', stream_id, frame_idx, tripwire_id, track_id FROM crossings""",
+    "alert_log_versions": """SELECT * EXCLUDE (path), CASE WHEN id % 3 = 0 THEN path END AS clip_path, CASE WHEN id % 3 = 0 THEN concat('file://', path) END AS clip_url
+        FROM (SELECT *, concat('/evidence/', stream_id, '/', strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d'), '/',
+          CAST(id AS STRING), '.mp4') AS path FROM alog)""",
     "expired_clips": """SELECT concat('/evidence/', CAST(o_orderkey AS STRING), '.mp4') AS path,
         CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS DOUBLE) * 864e2 AS modified_ts FROM orders
         WHERE CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS DOUBLE) * 864e2 < 883612800e0 - 365e0 * 864e2""",
@@ -574,6 +580,8 @@ BODIES: dict[str, str] = {
         INTERSECT SELECT stream_id, track_id FROM renamed WHERE frame_idx >= 30""",
     "iou_tracker": """SELECT s.stream_id, frame_idx, ts, det_ord, det_id, x1, y1, x2, y2, conf, cls, w.got AS track_id
         FROM box_steps s JOIN box_walk w USING (stream_id, rn) WHERE w.got IS NOT NULL""",
+    "tracker_fn": """SELECT s.stream_id, frame_idx, ts, det_ord, det_id, x1, y1, x2, y2, conf, cls, w.got AS track_id
+        FROM box_steps s JOIN box_walk w USING (stream_id, rn) WHERE w.got IS NOT NULL""",
     "id_switches": """SELECT s.stream_id, frame_idx, ts, row_number() OVER (PARTITION BY s.stream_id, frame_idx ORDER BY rn) - 1 AS ord,
         w.pick.id AS from_track_id, track_id AS to_track_id, s.x - w.pick.x AS dx, s.y - w.pick.y AS dy, ts - w.pick.since AS dt
         FROM switch_steps s JOIN switch_walk w USING (stream_id, rn) WHERE w.pick IS NOT NULL""",

@@ -33,6 +33,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder of one's own in the shared one; it is made by what is first written there."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/paceline-{uuid.uuid4().hex}"
+
+
 #: Files of a narrow table: this many shuffle partitions to one, but so many at least.
 NARROW_SHARE, NARROW_FILES = 8, 8
 
@@ -48,7 +53,7 @@ def cut_lineage(df: DataFrame, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(NARROW_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW_SHARE))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/paceline-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
     copy._paceline_path = path
