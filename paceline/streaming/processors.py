@@ -50,6 +50,16 @@ class InOrder(StatefulProcessor):
     def work(self, key: tuple, rows: list[dict], state: str | None) -> tuple[list[dict], str | None]:
         raise NotImplementedError
 
+    def forget(self, state: str | None) -> str | None:
+        """What stays of the state of a key that has been idle for too long."""
+        return None
+
+    def _remember(self, state: str | None) -> None:
+        if state is None:
+            self.memory.clear()
+        else:
+            self.memory.update((state,))
+
     def _due(self, ts: float) -> int:
         """The watermark, in ms, from which on nothing earlier can come."""
         return math.ceil(round((ts + self.hold_seconds) * 1e6) / 1000)
@@ -75,9 +85,10 @@ class InOrder(StatefulProcessor):
         if not ready:
             if later:
                 self._wake(min(ts for ts, _ in later))
-            if self.idle_seconds is not None and not later and self.latest.exists():
+            # rows that still wait are later than the watermark, and so than the gap
+            if self.idle_seconds is not None and self.latest.exists():
                 if self._due(self.latest.get()[0] + self.idle_seconds) <= now:
-                    self.memory.clear()
+                    self._remember(self.forget(self.memory.get()[0] if self.memory.exists() else None))
                     self.latest.clear()
             return
         if later:
@@ -89,15 +100,17 @@ class InOrder(StatefulProcessor):
         state = self.memory.get()[0] if self.memory.exists() else None
         out = []
         for fresh_start, block in self._blocks(rows):
-            found, state = self.work(key, block, None if fresh_start else state)
+            found, state = self.work(key, block, self.forget(state) if fresh_start else state)
             out += found
         if self.idle_seconds is not None:
-            self.latest.update((rows[-1]["ts"],))
-            self._wake(rows[-1]["ts"] + self.idle_seconds)
-        if state is None:
-            self.memory.clear()
-        else:
-            self.memory.update((state,))
+            last = rows[-1]["ts"]
+            if self._due(last + self.idle_seconds) <= now:
+                state = self.forget(state)
+                self.latest.clear()
+            else:
+                self.latest.update((last,))
+                self._wake(last + self.idle_seconds)
+        self._remember(state)
         if out:
             made = pd.DataFrame(out)
             at = made["ts" if "ts" in made else "timestamp"] + self.hold_seconds
@@ -237,6 +250,8 @@ class _Cooled(InOrder):
 
     def __init__(self, threshold: int, cooldown: float):
         self.threshold, self.cooldown = threshold, cooldown
+        # after a longer gap the rule fires whatever it remembers
+        self.idle_seconds = cooldown
 
     def work(self, key, rows, state):
         out = []
@@ -400,8 +415,11 @@ class _Boxes(InOrder):
     columns = ("frame_idx", "ts", "det_ord", "x1", "y1", "x2", "y2", "conf", "cls")
     order = ("frame_idx", "det_ord")
 
-    def __init__(self, max_age: int, iou_threshold: float):
-        self.max_age, self.iou_threshold = max_age, iou_threshold
+    def __init__(self, max_age: int, iou_threshold: float, idle_seconds: float | None):
+        self.max_age, self.iou_threshold, self.idle_seconds = max_age, iou_threshold, idle_seconds
+
+    def forget(self, state):
+        return state and json.dumps({"live": [], "fresh": json.loads(state)["fresh"]})
 
     def work(self, key, rows, state):
         s = json.loads(state) if state else {"live": [], "fresh": 1}
@@ -417,8 +435,11 @@ class _Boxes(InOrder):
 class _OwnBoxes(_Boxes):
     """As ``_Boxes``, with a user's tracker; the state is its snapshot, the ids of its tracks and the next id."""
 
-    def __init__(self, make: MakeTracker):
-        self.make = make
+    def __init__(self, make: MakeTracker, idle_seconds: float | None):
+        self.make, self.idle_seconds = make, idle_seconds
+
+    def forget(self, state):
+        return state and json.dumps([None, [], json.loads(state)[2]])
 
     def work(self, key, rows, state):
         text, ids, begun = json.loads(state) if state else (None, [], 1)
@@ -452,15 +473,24 @@ def _by_frame(rows: list[dict]):
 
 
 def stream_iou_tracker(
-    frames: DataFrame, detections: DataFrame, max_age: int = 30, iou_threshold: float = 0.20, delay: str = "10 seconds"
+    frames: DataFrame, detections: DataFrame, max_age: int = 30, iou_threshold: float = 0.20, delay: str = "10 seconds",
+    idle_seconds: float | None = None,
 ) -> DataFrame:
-    """``iou_tracker`` on streams of frames and detections, by camera."""
-    return _stream_boxes(frames, detections, _Boxes(max_age, iou_threshold), delay)
+    """``iou_tracker`` on streams of frames and detections, by camera.
+
+    With ``idle_seconds`` a camera without frames for so long loses its tracks; its ids go on.
+    """
+    return _stream_boxes(frames, detections, _Boxes(max_age, iou_threshold, idle_seconds), delay)
+
 
+def stream_tracker(
+    frames: DataFrame, detections: DataFrame, make: MakeTracker, delay: str = "10 seconds", idle_seconds: float | None = None,
+) -> DataFrame:
+    """A user's ``FrameTracker`` on streams of frames and detections, by camera: the rows of ``stretched_tracker``.
 
-def stream_tracker(frames: DataFrame, detections: DataFrame, make: MakeTracker, delay: str = "10 seconds") -> DataFrame:
-    """A user's ``FrameTracker`` on streams of frames and detections, by camera: the rows of ``stretched_tracker``."""
-    return _stream_boxes(frames, detections, _OwnBoxes(make), delay)
+    With ``idle_seconds`` a camera without frames for so long begins with a new tracker; its ids go on.
+    """
+    return _stream_boxes(frames, detections, _OwnBoxes(make, idle_seconds), delay)
 
 
 def _stream_boxes(frames: DataFrame, detections: DataFrame, processor: InOrder, delay: str) -> DataFrame:
@@ -479,6 +509,8 @@ def _stream_boxes(frames: DataFrame, detections: DataFrame, processor: InOrder,
 class _Switches(InOrder):
     columns = ("frame_idx", "ts", "track_ord", "track_id", "x", "y")
     order = ("frame_idx", "track_ord")
+    # after a longer gap no position is young enough to be taken
+    idle_seconds = max(G.SWITCH_MEMORY_SECONDS, G.SWITCH_SECONDS)
 
     def work(self, key, rows, state):
         detector = SwitchDetector(G.SWITCH_SECONDS, G.SWITCH_PX, G.SWITCH_MEMORY_SECONDS, json.loads(state) if state else [])
